@@ -61,13 +61,17 @@ class Words:
         else:
             self.hash = np.zeros(0, np.uint64)
 
-    def prefix(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the first ``k`` bytes of the words longer than that, and which words they are."""
-        which = np.flatnonzero(self.length > k)
-        total = np.full(len(which), U(k) * _ROLE[1])
-        for i in range(k):
-            total = total + _BYTE[self.data[self.start[which] + i]] * powers(k)[i]
-        return mix(total), which
+    def prefixes(self, ks: range) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each k of ``ks``: hashes of the first k bytes of the words longer than k, and which words they are."""
+        out, which = [], np.arange(len(self.start))
+        total = np.zeros(len(which), np.uint64)
+        for i in range(ks.stop - 1):
+            inside = self.length[which] > i + 1
+            which, total = which[inside], total[inside]
+            total = total + _BYTE[self.data[self.start[which] + i]] * powers(ks.stop)[i]
+            if i + 1 >= ks.start:
+                out.append((mix(total + _ROLE[24 + i]), which))
+        return out
 
     def shingles(self, k: int) -> list[np.ndarray]:
         """For each text the sorted distinct hashes of its runs of ``k`` words; of all its words if there are fewer."""

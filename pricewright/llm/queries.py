@@ -19,6 +19,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, n_words(F.col("text")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = fit(docs.where(~held))
+    return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit(docs, _table(spark, sf_dir, "labels").where(~held))
+    return score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "passages")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -27,6 +45,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op5_language_id": op5_language_id,
+    "op8_toxicity": op8_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 
