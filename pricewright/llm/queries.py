@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import n_words, pack
 
@@ -28,6 +34,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from uuid import uuid4
+
+    import public_tokenizers
+
+    from .common import shared_dir
+    from .token_store import read_store, write_store
+
+    path = f"{shared_dir(spark)}/pricewright-store-{uuid4().hex}"
+    write_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_store(spark, path)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -50,8 +69,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op3_packing": op3_packing,
     "op5_language_id": op5_language_id,
+    "op6_token_store": op6_token_store,
     "op8_toxicity": op8_toxicity,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
