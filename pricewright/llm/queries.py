@@ -47,6 +47,17 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the text that they decode to, by its checksum."""
+    import public_tokenizers
+
+    from .sentencepiece import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = decode(encode(_table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.length("text").cast("long").alias("n_chars_decoded"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -73,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_language_id": op5_language_id,
     "op6_token_store": op6_token_store,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,

@@ -66,8 +66,8 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         tail = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for text in batch.column(2).to_pylist():
-                raw = (memo.join(split_words(text)) if text else b"") + tail
+            for raw in memo.texts(batch.column(2).to_pylist(), split_words):
+                raw += tail
                 ids = np.frombuffer(raw, "<u4")
                 ends = cuts(ids)
                 rows.append((len(ids), [digest(raw[4 * a : 4 * b]) for a, b in zip([0, *ends], ends)], ends, squeeze.compress(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\0" + raw)))

@@ -3,30 +3,45 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Words that a worker remembers; then it starts anew, which changes no result.
-MEMORY = 200_000
+#: Words that a worker remembers; beyond them the ones not seen of late are forgotten, which changes no result.
+MEMORY = 300_000
+#: Characters of text whose words are looked up together.
+STEP_CHARS = 2_000_000
 
 
 class Memo:
     """word -> bytes of its ids (little-endian uint32), filled by batches."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
-
-    def join(self, words: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            known.update(zip(new, self.encode(new)))
-            return b"".join(map(known.__getitem__, words))
+        self.encode, self.known, self.old = encode, {}, {}
+
+    def texts(self, texts: list[str | None], split: Callable[[str], list[str]]) -> Iterator[bytes]:
+        """The ids of each text, through the words that ``split`` gives."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(split(text) if text else [])
+            size += len(text or "")
+            if size > STEP_CHARS:
+                yield from self.join(held)
+                held, size = [], 0
+        yield from self.join(held)
+
+    def join(self, held: list[list[str]]) -> list[bytes]:
+        if len(self.known) > MEMORY:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = [w for w in set().union(*held) if w not in known]
+        for w in new:
+            if w in old:
+                known[w] = old[w]
+        new = [w for w in new if w not in known]
+        known.update(zip(new, self.encode(new)))
+        return [b"".join(map(known.__getitem__, words)) for words in held]
 
 
 _memos: dict[str, Memo] = {}
