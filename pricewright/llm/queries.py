@@ -18,6 +18,12 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import n_words, pack
 
@@ -25,6 +31,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, n_words(F.col("text")))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nra import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, predict
 
@@ -81,7 +93,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_packing": op3_packing,
+    "op4_top_k": op4_top_k,
     "op5_language_id": op5_language_id,
     "op6_token_store": op6_token_store,
     "op7_sentencepiece": op7_sentencepiece,
