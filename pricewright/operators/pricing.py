@@ -44,6 +44,12 @@ def rule_values(items: DataFrame) -> DataFrame:
     return good.groupBy("product").agg(*[F.max(F.when(F.col("list_type") == r, value)).alias(r) for r in RULES], F.min(F.when((F.col("list_type") == "memorandum") & (F.col("value") > 0), F.col("value"))).cast(MONEY).alias("cap"), F.count_if(F.col("list_type") == "memorandum").alias("n_caps"))
 
 
+def fix(rows: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that are computed once: a later filter or projection can't inline their expressions, which
+    would multiply along a cascade. It is a one-row generator, within the same stage's code."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def price(products: DataFrame, cands: DataFrame, rules: DataFrame, markup: Column, no_comp: Column, bend: Column, fallback_bend: Column, step: Column, mode: Column) -> DataFrame:
     """Price products(product, cost) in one pass of expressions over one row per product.
 
@@ -58,26 +64,26 @@ def price(products: DataFrame, cands: DataFrame, rules: DataFrame, markup: Colum
     x = products.join(cands, "product", "left").join(rules, "product", "left").where("exclude IS NULL")
     cost = F.col("cost").cast(MONEY)
     some = F.coalesce(F.size("candidates") > 0, F.lit(False))
-    x = x.withColumn("mk0", in_range(markup, cost).cast(FINE))
-    x = x.withColumn("nc0", in_range_or(no_comp, cost, F.col("mk0")).cast(FINE))
-    up = lambda c: F.greatest(F.when(some & F.col("critical_markup").isNotNull() & F.lit(c == "mk0"), as_fraction(F.col("critical_markup"))).otherwise(F.col(c)), as_fraction(F.col("min_markup")))
-    x = x.withColumn("mk", F.least(up("mk0"), as_fraction(F.col("max_markup"))).cast(FINE)).withColumn("nc", F.least(up("nc0"), as_fraction(F.col("max_markup"))).cast(FINE))
-    x = x.withColumn("mdc", dec(from_margin(cost, F.col("mk"))))
+    x = fix(x, mk0=in_range(markup, cost).cast(FINE))
+    x = fix(x, nc0=in_range_or(no_comp, cost, F.col("mk0")).cast(FINE))
+    critical = F.when(some & F.col("critical_markup").isNotNull(), as_fraction(F.col("critical_markup"))).otherwise(F.col("mk0"))
+    bound = lambda c: F.least(F.greatest(c, as_fraction(F.col("min_markup"))), as_fraction(F.col("max_markup"))).cast(FINE)
+    x = fix(x, mk=bound(critical), nc=bound(F.col("nc0")))
+    x = fix(x, mdc=dec(from_margin(cost, F.col("mk"))))
     no_bend = F.coalesce(F.col("no_bend") != 0, F.lit(False))
-    x = x.withColumn("tried", search(F.col("candidates"), F.col("mdc"), bend, fallback_bend, no_bend))
-    x = x.withColumn("rank", F.array_position(F.transform("tried", lambda t: t["ok"]), F.lit(True)).cast("int"))
-    x = x.withColumn("hit", F.when(F.col("rank") > 0, F.get("tried", F.col("rank") - 1)))
+    x = fix(x, tried=search(F.col("candidates"), F.col("mdc"), bend, fallback_bend, no_bend))
+    x = fix(x, rank=F.array_position(F.transform("tried", lambda t: t["ok"]), F.lit(True)).cast("int"))
+    x = fix(x, hit=F.when(F.col("rank") > 0, F.get("tried", F.col("rank") - 1)))
     base = F.when(~some, dec(from_margin(cost, F.col("nc")))).when(F.col("hit").isNotNull(), F.col("hit.bent")).otherwise(F.col("mdc"))
-    x = x.withColumn("base", base)
-    held = F.greatest(F.col("base"), dec(F.col("min_price")))
-    x = x.withColumn("held", F.when(F.col("max_price").isNotNull(), F.least(held, dec(F.col("max_price")))).otherwise(held))
-    rounded = round_to(F.col("held"), step, mode)
-    floored = F.when(rounded < F.col("mdc"), round_to(F.col("mdc"), step, F.lit("up"))).otherwise(rounded)
+    held = F.greatest(base, dec(F.col("min_price")))
+    x = fix(x, held=F.when(F.col("max_price").isNotNull(), F.least(held, dec(F.col("max_price")))).otherwise(held))
+    x = fix(x, rounded=round_to(F.col("held"), step, mode))
+    floored = F.when(F.col("rounded") < F.col("mdc"), round_to(F.col("mdc"), step, F.lit("up"))).otherwise(F.col("rounded"))
     guarded = F.when(F.col("max_price").isNotNull(), F.col("held").cast(MONEY)).otherwise(F.greatest(floored, F.col("min_price").cast(MONEY)))
     fixed = F.when(F.col("fixed_price").isNotNull(), F.col("fixed_price").cast(MONEY)).when(F.col("fixed_markup").isNotNull(), round_to(dec(from_margin(cost, as_fraction(F.col("fixed_markup")))), step, mode))
     missing = ~(cost > 0) | cost.isNull()
-    x = x.withColumn("uncapped", F.when(missing, F.lit(0).cast(MONEY)).otherwise(F.coalesce(fixed, guarded)))
-    x = x.withColumn("final", F.when(missing, F.col("uncapped")).otherwise(F.least("uncapped", "cap")).cast(MONEY))
+    x = fix(x, uncapped=F.when(missing, F.lit(0).cast(MONEY)).otherwise(F.coalesce(fixed, guarded)))
+    x = fix(x, final=F.when(missing, F.col("uncapped")).otherwise(F.least("uncapped", "cap")).cast(MONEY))
     reason = (
         F.when(missing, "missing_cost").when(F.col("fixed_price").isNotNull(), "fixed_price_list").when(F.col("fixed_markup").isNotNull(), "fixed_markup_list")
         .when(~some, "no_competitors").when(F.col("hit").isNull(), "all_competitors_failed_mdc").otherwise("competitor")
