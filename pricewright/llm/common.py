@@ -39,6 +39,11 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def small(staged: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if it has ``most`` rows at most (of a few numbers each); else left to a shuffled join."""
+    return F.broadcast(staged) if staged.count() <= most else staged
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short, as rows hold whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

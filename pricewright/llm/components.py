@@ -1,24 +1,74 @@
-"""Connected components by alternating large-star and small-star steps, on the executors alone."""
+"""Connected components of staged edges, on the executors alone."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
+#: Edges that one task holds at once (two longs each), in any of the steps.
+LOCAL = 1_000_000
+
+
+def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node that each of ``n`` nodes reaches by the edges."""
+    at = np.arange(n)
+    while True:
+        low = np.minimum(at[i], at[j])
+        new = at.copy()
+        np.minimum.at(new, at[i], low)
+        np.minimum.at(new, at[j], low)
+        new = new[new]
+        if (new == at).all():
+            return at
+        at = new
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low = labels(len(names), at[: len(a)], at[len(a) :])
+    own = np.flatnonzero(low != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[low[own]])], ["a", "b"])
+
 
-def components(edges: DataFrame) -> DataFrame:
+def forest(edges: DataFrame) -> DataFrame:
+    """The same components with fewer edges: runs of ``LOCAL`` edges become stars around their smallest nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, n = [], [], 0
+        for batch in batches:
+            a.append(batch.column(0).to_numpy())
+            b.append(batch.column(1).to_numpy())
+            n += batch.num_rows
+            if n >= LOCAL:
+                yield _stars(np.concatenate(a), np.concatenate(b))
+                a, b, n = [], [], 0
+        if n:
+            yield _stars(np.concatenate(a), np.concatenate(b))
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``: for every node with an edge, the smallest node that it reaches.
 
-    Each round re-points all neighbours of a node to the smallest of them, as
-    two equi-joins; the rounds needed grow with the logarithm of the longest
-    path. Every round is staged in the shared folder, so a lost executor
-    repeats one round at most. Edges from a node to itself and edges with
-    nulls are left out; without edges the result is empty.
+    Each task turns its edges into stars first. What is left is counted: up to
+    ``local`` edges are joined up by one task, more by large-star and small-star
+    rounds of equi-joins, whose number grows with the logarithm of the longest
+    path. Every round is staged in the shared folder, so a lost executor repeats
+    one round at most. Edges from a node to itself and edges with nulls are left
+    out; without edges the result is empty.
     """
-    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = stage(forest(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))), "edges")
     mark = _mark(now)
+    if mark[0] <= local:
+        now = stage(forest(now.coalesce(1)), "edges")
+        return _named(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -32,7 +82,12 @@ def components(edges: DataFrame) -> DataFrame:
         if new == mark:
             break
         mark = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return _named(now)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    both = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    return both.groupBy("node").agg(F.min("component").alias("component"))
 
 
 def _mark(edges: DataFrame) -> tuple:

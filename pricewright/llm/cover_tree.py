@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .components import components
+from .components import components, labels
 from .vectors import BLOCK_BYTES, packed, unpacked, vectors_of
 
 #: Radii of the nested levels; chords of the unit sphere reach 2.
@@ -115,20 +115,6 @@ def dual(a: Tree, b: Tree, least: float) -> Iterator[tuple[np.ndarray, np.ndarra
         yield x[ok], y[ok]
 
 
-def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest node that each of ``n`` nodes reaches by the edges."""
-    at = np.arange(n)
-    while True:
-        low = np.minimum(at[i], at[j])
-        new = at.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = np.minimum(new, new[new])
-        if (new == at).all():
-            return at
-        at = new
-
-
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9) -> DataFrame:
     """(id, n_links, component_id, kept) for every row; links are pairs of vectors with a cosine of ``least`` or more.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, stage, steps
+from .common import short_batches, small, stage, steps
 from .components import components
 from .hashing import _ROLE, Words, mix
 
@@ -64,10 +64,9 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``docs(d, t)`` -> (d, n, digest of the set, sketch keys, prefix, n_index).
+    """``docs(d, t)`` -> (d, n, digest of the set, sketch keys, prefix).
 
-    ``prefix``: the rarest shingles, so many that any two linked sets share one
-    of them; the first ``n_index`` suffice for the smaller set of a pair.
+    ``prefix``: the rarest shingles, so many that any two linked sets share one of them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))
 
@@ -79,7 +78,7 @@ def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 for s in sets:
                     n = len(s)
                     if not n:
-                        out.append((0, 0, 0, [], [], 0))
+                        out.append((0, 0, 0, [], []))
                         continue
                     h1, h2 = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist()
                     low = [int(mix(s ^ _ROLE[30 + i]).min()) for i in range(2 * KEYS)]
@@ -91,29 +90,35 @@ def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     else:
                         near = np.arange(n)
                     pick = near[np.lexsort((s[near], f[near]))][:m]
-                    least = -(-2 * percent * n // (100 + percent))
-                    out.append((n, h1, h2, keys, s[pick].view(np.int64), n - least + 1))
+                    out.append((n, h1, h2, keys, s[pick].view(np.int64)))
             c = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([d, pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.int32())], ["d", "n", "h1", "h2", "keys", "prefix", "n_index"])
+            yield pa.RecordBatch.from_arrays([d, pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.list_(pa.int64()))], ["d", "n", "h1", "h2", "keys", "prefix"])
 
-    return docs.mapInArrow(run, "d long, n long, h1 long, h2 long, keys array<long>, prefix array<long>, n_index int")
+    return docs.mapInArrow(run, "d long, n long, h1 long, h2 long, keys array<long>, prefix array<long>")
 
 
 def _with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """One text per id of ``wanted(d, ...)``; repeated ids are told apart by nobody, so their first text counts."""
-    return wanted.join(docs, "d")
+    """The text of each row of ``wanted(d, ...)``, a staged table."""
+    return docs.join(small(wanted), "d")
 
 
 def near_groups(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between documents and the smallest one of their sketch key: a first, linear pass."""
+    """Verified links (a, b) between documents and the centre of a group of theirs: a first, linear pass.
+
+    Documents of one sketch key are a group. Its centre is the document whose
+    keys are the most common ones: the least edited copy. A document is checked
+    against one centre, the most common of its groups.
+    """
     keys = reps.select("d", F.explode("keys").alias("key"))
-    lead = keys.groupBy("key").agg(F.min("d").alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c")
-    pairs = keys.join(lead, "key").where("d <> c").select("c", "d").distinct()
+    common = keys.join(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+    ranked = stage(common.join(common.groupBy("d").agg(F.sum("m").alias("s")), "d").select("key", "d", F.struct("s", (-F.col("d")).alias("nd")).alias("r")), "keys")
+    lead = ranked.groupBy("key").agg(F.max("r").alias("top"))
+    pairs = ranked.join(lead, "key").groupBy("d").agg((-F.max("top")["nd"]).alias("c")).where("d <> c")
     # a centre meets its documents in blocks
     pairs = stage(pairs.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(1 << 20))), "stars")
     size = pairs.groupBy("c").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
     pairs = pairs.join(size, "c").withColumn("block", F.col("block") % F.col("blocks"))
-    rows = pairs.select("c", "block", "d").unionByName(pairs.select("c", "block", F.col("c").alias("d")).distinct())
+    rows = stage(pairs.select("c", "block", "d").unionByName(pairs.select("c", "block", F.col("c").alias("d")).distinct()), "wanted")
 
     def check(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, a, b = key[0].as_py(), [], []
@@ -137,9 +142,8 @@ def near_groups(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
 
 def open_groups(found: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links across pairs of parts (c1, p1, c2, p2): a part is opened to a document only if the union bound lets it."""
-    found = found.withColumn("pair", F.xxhash64("c1", "p1", "c2", "p2"))
     sides = found.select("c1", "p1", "c2", "p2", F.explode(F.array(F.lit(1), F.lit(2))).alias("side")).withColumn("c", F.when(F.col("side") == 1, F.col("c1")).otherwise(F.col("c2"))).withColumn("p", F.when(F.col("side") == 1, F.col("p1")).otherwise(F.col("p2")))
-    rows = sides.join(members.select("d", "c", "p"), ["c", "p"])
+    rows = stage(sides.join(members, ["c", "p"]).select("c1", "p1", "c2", "p2", "side", "d"), "opened")
 
     def check(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side: tuple[list, list] = ([], [])
@@ -176,49 +180,63 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing. Returns (id, n_shingles, component_id): one row per document.
 
     1. Documents of equal sets are one class from the start (128-bit digest).
-    2. Documents that share a sketch key are checked against the smallest of
-       them; the links make up groups of similar documents, each connected.
+    2. Documents that share sketch keys are checked against the centre of their
+       group; the links make up groups of similar documents, each connected.
     3. Groups are cut into parts of some ``PART`` documents. The matrix holds, for each part, the
        union of its members' prefix shingles. Shingles are ordered from rare to
        frequent by counters over the whole corpus, so common passages hardly
-       reach a prefix. Parts of different groups that share a prefix shingle,
-       and whose sizes allow it, are candidates: no link escapes, by the prefix
-       filter's bound.
+       reach a prefix. Parts of different groups are candidates if
+       their sizes allow it and they share as many prefix shingles as linked
+       sets of such sizes must: no link escapes, by the prefix filter's bound.
     4. For a candidate the union of a part's whole sets bounds what a document
        shares with any member; only where it reaches ``percent`` of the document is the part
-       opened and its members compared, by whole sets.
+       opened and its members compared, by whole sets. That happens in two
+       rounds: each part with the one that it shares most with, then all
+       candidates whose groups the first round hasn't joined.
     5. All links give the components.
 
     Ids must be whole numbers and not null (rows with null ids are left out);
-    rows that repeat an id are one document, of which one text counts.
+    rows that repeat an id are one document, whose text is the first of theirs in order.
     """
     spark = docs.sparkSession
     short_batches(spark)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("t")).where("d IS NOT NULL")
+    if docs.groupBy("d").count().where("count > 1").limit(1).count():
+        docs = stage(docs.groupBy("d").agg(F.min("t").alias("t")), "texts")
     marks = stage(fingerprints(docs, k, percent), "marks")
     full = marks.where("n > 0")
-    rep = full.groupBy("h1", "h2", "n").agg(F.min("d").alias("rep"))
-    reps = stage(full.join(rep.select(F.col("rep").alias("d")), "d", "left_semi").dropDuplicates(["d"]).select("d", "n", "keys", "prefix", "n_index"), "reps")
+    rep = full.groupBy("h1", "h2", "n").agg(F.min(F.struct("d", "keys")).alias("x")).select("h1", "h2", "n", F.col("x.d").alias("rep"), F.col("x.keys").alias("keys"))
+    rep = stage(rep, "classes")
+    reps = rep.select(F.col("rep").alias("d"), "keys")
 
     first = stage(near_groups(reps, docs, k, percent), "links")
     group = components(first)
     size = group.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     group = group.join(size, "component").select(F.col("node").alias("d"), F.col("component").alias("c"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("p"))
-    group = stage(group, "groups")
-    members = reps.join(group, "d", "left").select("d", "n", "prefix", "n_index", F.coalesce("c", "d").alias("c"), F.coalesce("p", F.lit(0)).alias("p"))
+    members = stage(reps.select("d").join(group, "d", "left").select("d", F.coalesce("c", "d").alias("c"), F.coalesce("p", F.lit(0)).alias("p")), "groups")
     matrix = (
-        members.select("c", "p", "n", "n_index", F.posexplode("prefix").alias("i", "token"))
-        .select("token", "c", "p", F.col("n").cast("int").alias("n"), (F.col("i") < F.col("n_index")).alias("x"))
+        marks.select("d", "n", "prefix")
+        .join(small(members), "d").select("c", "p", "n", F.explode("prefix").alias("token"))
+        .select("token", "c", "p", F.col("n").cast("int").alias("n"))
         .repartition("token")
-        .groupBy("token", "c", "p").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("x").alias("x"), F.min(F.when(F.col("x"), F.col("n"))).alias("xlo"))
+        .groupBy("token", "c", "p").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     )
-    a = matrix.where("x").select("token", F.col("c").alias("c1"), F.col("p").alias("p1"), F.col("xlo").alias("lo1"), F.col("hi").alias("hi1"))
-    b = matrix.select("token", F.col("c").alias("c2"), F.col("p").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    # some member of part 1 can be the smaller one of a linked pair
-    found = a.join(b, "token").where(F.expr(f"c1 <> c2 AND lo1 <= hi2 AND 100 * hi1 >= {percent} * lo2"))
-    found = found.select(*[F.when(F.expr("c1 < c2"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("c1", "c2"), ("p1", "p2"), ("c2", "c1"), ("p2", "p1"))]).distinct()
-    found = stage(found, "candidates")
-    links = first.unionByName(open_groups(found, members, docs, k, percent))
+    side = lambda i: matrix.select("token", *[F.col(x).alias(f"{x}{i}") for x in ("c", "p", "lo", "hi")])
+    found = side(1).join(side(2), "token").where(F.expr(f"c1 < c2 AND 100 * hi1 >= {percent} * lo2 AND 100 * hi2 >= {percent} * lo1"))
+    found = found.groupBy("c1", "p1", "c2", "p2").agg(F.count("*").alias("shared"), F.min("lo1").alias("lo1"), F.max("hi1").alias("hi1"), F.min("lo2").alias("lo2"), F.max("hi2").alias("hi2"))
+    # linked sets share so many prefix shingles, by the sizes that the shared ones' holders have
+    least = F.ceil(percent * (F.col("lo1") + F.col("lo2")) / (100 + percent)) - F.ceil(percent * F.greatest("hi1", "hi2") / 100) + 1
+    found = stage(found.where(F.col("shared") >= least).select("c1", "p1", "c2", "p2", "shared"), "candidates")
+    # each part goes to the one that it shares most with; that joins most of what belongs together
+    own = found.select(F.col("c1").alias("c"), F.col("p1").alias("p"), F.struct("shared", "c1", "p1", "c2", "p2").alias("x")).unionByName(found.select(F.col("c2").alias("c"), F.col("p2").alias("p"), F.struct("shared", "c1", "p1", "c2", "p2").alias("x")))
+    best = own.groupBy("c", "p").agg(F.max("x").alias("x")).select("x.c1", "x.p1", "x.c2", "x.p2").distinct()
+    second = stage(open_groups(best, members, docs, k, percent), "links")
+    # all other candidates whose groups are still apart
+    now = stage(members.select("d", "c").join(components(second.unionByName(first)).withColumnRenamed("node", "d"), "d").groupBy("c").agg(F.min("component").alias("to")), "joined")
+    name = lambda i: now.select(F.col("c").alias(f"c{i}"), F.col("to").alias(f"to{i}"))
+    rest = found.join(best, ["c1", "p1", "c2", "p2"], "left_anti").join(name(1), "c1", "left").join(name(2), "c2", "left")
+    rest = stage(rest.where("coalesce(to1, c1) <> coalesce(to2, c2)").select("c1", "p1", "c2", "p2"), "rest")
+    links = first.unionByName(second).unionByName(open_groups(rest, members, docs, k, percent))
     joined = components(links)
     to = rep.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     one = marks.select("d", "n", "h1", "h2").dropDuplicates(["d"])
