@@ -35,7 +35,7 @@ def sku18(c: Column, width: int = 18) -> Column:
 
 def composite_sku(c: Column) -> Column:
     """Joined by underscores, if it has three filled parts at least; else null."""
-    parts = F.filter(F.transform(F.split(F.trim(c), "_"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.trim(c), "_"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) >= 3, F.array_join(parts, "_"))
 
 
@@ -139,6 +139,6 @@ def strip_tags(c: Column) -> Column:
 
 def column_title(c: Column) -> Column:
     """Split at em dashes, adjacent repeats (in any case) dropped, joined again."""
-    parts = F.filter(F.transform(F.split(c, "—"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, "—"), lambda x: F.trim(x)), lambda x: x != "")
     kept = F.filter(parts, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(parts, i - 1))))
     return F.array_join(kept, " — ")

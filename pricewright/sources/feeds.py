@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+CP1251 = "windows-1251"
 #: Where a feed keeps its rows.
 WRAPPERS = ("items", "data", "result", "rows")
 
@@ -47,13 +48,22 @@ def csv_options(head: bytes) -> dict[str, str]:
         if e.start >= len(head) - 3:  # cut off inside a character
             text, encoding = head[: e.start].decode("utf-8-sig"), "UTF-8"
         else:
-            text, encoding = head.decode("cp1251"), "windows-1251"
+            text, encoding = head.decode("cp1251"), CP1251
     line = text.split("\n", 1)[0]
     return {"sep": max(";,\t", key=line.count), "encoding": encoding}
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.options(header=True, multiLine=False, quote='"', escape='"', **csv_options(_head(spark, path))).csv(path)
+    """With a header. Spark reads no cp1251, so that is read as Latin-1, byte by byte, and translated."""
+    options = csv_options(_head(spark, path))
+    if options["encoding"] != CP1251:
+        return spark.read.options(header=True, quote='"', escape='"', **options).csv(path)
+    options["encoding"] = "ISO-8859-1"
+    rows = spark.read.options(header=True, quote='"', escape='"', **options).csv(path)
+    high = [b for b in range(128, 256) if b != 0x98]
+    latin, cyrillic = "".join(map(chr, high)), bytes(high).decode("cp1251")
+    table = str.maketrans(latin, cyrillic)
+    return rows.select(*[F.translate(F.col(f"`{c}`"), latin, cyrillic).alias(c.translate(table)) for c in rows.columns])
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
