@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once; a longer single text is handled alone.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 #: Rows of one Arrow batch; texts can be long, so batches are kept short.
 BATCH_ROWS = 500
 
