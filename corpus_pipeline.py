@@ -21,10 +21,6 @@ from pricewright.llm.toxicity import fit as fit_toxicity, score
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the toxicity model, learnt from ``labels``, calls toxic. Null ids have no decision and stay."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -39,16 +35,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later occurrences of passages of 50 words or more; every document stays, ``n_chars`` follows its text."""
-    kept = line_dedup(docs).select("doc_id", F.col("text").alias("kept")).dropDuplicates(["doc_id"])
-    rest = docs.drop("text", "n_chars").join(kept, "doc_id", "left")
-    return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    """Delete later occurrences of passages of 50 words or more; every document stays, ``n_chars`` follows its text.
+
+    Rows without an id stay as they are.
+    """
+    known, unknown = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    kept = line_dedup(known).select("doc_id", F.col("text").alias("kept")).dropDuplicates(["doc_id"])
+    rest = known.drop("text", "n_chars").join(kept, "doc_id")
+    count = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source", count.alias("n_chars")).unionByName(unknown.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates keep the document of the smallest id."""
-    first = ngram_join(docs).where("doc_id = component_id").select("doc_id")
-    return _keep(docs, first)
+    """Of each class of near duplicates keep the document of the smallest id; rows without an id have no class and stay."""
+    later = ngram_join(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(later, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
