@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step handles at once; a longer single text is handled alone.
 STEP_BYTES = 1_000_000
 #: Rows of one Arrow batch; texts can be long, so batches are kept short.
-BATCH_ROWS = 500
+BATCH_ROWS = 250
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,16 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new place in the shared folder, which the driver's file system deletes when the application ends."""
+    at = f"{shared_dir(spark)}/pricewright-{what}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def stage(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    The table survives the loss of any executor and prunes columns when it is
-    read. The driver's file system deletes it when the application ends.
+    The table survives the loss of any executor and prunes columns when it is read.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/pricewright-{what}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    at = shared_path(spark, what)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

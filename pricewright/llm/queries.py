@@ -47,14 +47,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from uuid import uuid4
-
     import public_tokenizers
 
-    from .common import shared_dir
+    from .common import shared_path
     from .token_store import read_store, write_store
 
-    path = f"{shared_dir(spark)}/pricewright-store-{uuid4().hex}"
+    path = shared_path(spark, "store")
     write_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_store(spark, path)
 

@@ -268,7 +268,7 @@ _memos: dict[str, tuple[Encoder, Memo]] = {}
 def memo(path: str) -> tuple[Encoder, Memo]:
     if path not in _memos:
         encoder = Encoder(path)
-        _memos[path] = encoder, Memo(encoder.encode_words)
+        _memos[path] = encoder, Memo(encoder.encode_words, encoder.split)
     return _memos[path]
 
 
@@ -282,9 +282,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder, words = memo(model)
+        _, words = memo(model)
         for batch in batches:
-            raws = list(words.texts(batch.column(1).to_pylist(), encoder.split))
+            raws = list(words.texts(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array(raws, pa.binary())], [id_col, "n_pieces", "ids"])
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, n_pieces long, ids binary")

@@ -15,23 +15,25 @@ from pyspark.sql.window import Window
 
 from .common import partitions, short_batches, stage
 from .hashing import mix
-from .token_words import split_words, tokenizers_memo
+from .token_words import tokenizers_memo
 
 #: Ids that the rolling hash sees; mean, least and largest chunk in ids.
 WINDOW, MEAN, LEAST, MOST = 8, 256, 64, 1024
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_MIXED = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)).astype(np.uint32)
+_POWERS = [np.uint32(pow(0x9E3779B1, j + 1, 1 << 32)) for j in range(WINDOW)]
 
 
 def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the hash of the last ``WINDOW`` ids has zero low bits, within the size limits."""
+    """Ends of the chunks: where the hash of the last ``WINDOW`` ids has zero high bits, within the size limits."""
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    g = mix(ids.astype(np.uint64) + np.uint64(1))
-    h = np.zeros(n, np.uint64)
-    for j in range(WINDOW):
-        h[j:] = h[j:] + g[: n - j] * (_MULT ** np.uint64(j + 1))
-    at = (np.flatnonzero((mix(h) & np.uint64(MEAN - 1)) == 0) + 1).tolist()
+    g = _MIXED[ids] if len(ids) == 0 or ids.max() < len(_MIXED) else mix(ids.astype(np.uint64) + np.uint64(1)).astype(np.uint32)
+    h = np.zeros(n, np.uint32)
+    for j, m in enumerate(_POWERS):
+        h[j:] += g[: n - j] * m
+    # the high bits depend on all ids of the window
+    at = (np.flatnonzero(h < np.uint32((1 << 32) // MEAN)) + 1).tolist()
     out, last = [], 0
     for c in [*at, n]:
         while c - last > MOST:
@@ -66,7 +68,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         tail = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for raw in memo.texts(batch.column(2).to_pylist(), split_words):
+            for raw in memo.texts(batch.column(2).to_pylist()):
                 raw += tail
                 ids = np.frombuffer(raw, "<u4")
                 ends = cuts(ids)

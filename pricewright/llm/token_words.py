@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 #: Words that a worker remembers; beyond them the ones not seen of late are forgotten, which changes no result.
-MEMORY = 300_000
+MEMORY = 250_000
 #: Characters of text whose words are looked up together.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 class Memo:
     """word -> bytes of its ids (little-endian uint32), filled by batches."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known, self.old = encode, {}, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str]]):
+        self.encode, self.split, self.known, self.old = encode, split, {}, {}
 
-    def texts(self, texts: list[str | None], split: Callable[[str], list[str]]) -> Iterator[bytes]:
-        """The ids of each text, through the words that ``split`` gives."""
+    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, by its words."""
         held: list[list[str]] = []
         size = 0
         for text in texts:
-            held.append(split(text) if text else [])
+            held.append(self.split(text) if text else [])
             size += len(text or "")
             if size > STEP_CHARS:
                 yield from self.join(held)
@@ -47,21 +50,79 @@ class Memo:
 _memos: dict[str, Memo] = {}
 
 
+#: Letters, then signs: two pre-tokens, or one if either is missing. What special tokens are made of is left out.
+_SIMPLE = re.compile(r"([^\W\d_]*)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+
+_PROBES = ("the", "thorreou", "größe", "été", "ñandú", "日本", "naïve", ".", "...", "%%%", "!?", "zzxxqq", "привет")
+
+
 def tokenizers_memo(path: str) -> Memo:
-    """Words for a tokenizer whose pre-tokenizer drops white space, so that no token depends on two words."""
+    """Words for a tokenizer whose pre-tokenizer drops white space, so that no token depends on two words.
+
+    Where it also marks word ends in its tokens, letters and signs of a simple
+    word are looked up apart, and many are encoded in one call; all other words
+    go through the library one by one.
+    """
     if path not in _memos:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        parts: dict[str, bytes] = {"": b""}
+
+        def learn(new: list[str]) -> None:
+            if direct:
+                for w in new:
+                    parts[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))]).tobytes()
+                return
+            for i in range(0, len(new), 256):
+                part = new[i : i + 256]
+                ids = np.asarray(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+                raw, at = ids.tobytes(), (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+                if len(at) == len(part):
+                    parts.update(zip(part, (raw[x:y] for x, y in zip([0, *at], at))))
+                else:  # some letter isn't one to the library
+                    parts.update((w, single(w)) for w in part)
+
+        def single(word: str) -> bytes:
+            return np.asarray(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
         def encode(words: list[str]) -> list[bytes]:
-            return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-        _memos[path] = Memo(encode)
+            if len(parts) > 2 * MEMORY:
+                parts.clear()
+                parts[""] = b""
+            split = [m.groups() if suffix and (m := _SIMPLE.fullmatch(w)) and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w == w.lower() else None for w in words]
+            new = {x for s in split if s for x in s if x not in parts}
+            learn(list(new))
+            return [parts[s[0]] + parts[s[1]] if s else single(w) for w, s in zip(words, split)]
+
+        # lower-case letters and signs in bytes' own alphabet may go straight to the model, if it then says the same
+        tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
+        direct = suffix and all(single(w) == array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))]).tobytes() for w in _PROBES)
+        lower = single("ABÇ") == single("abç")
+        _memos[path] = Memo(encode, (lambda t: split_words(lowered(t))) if lower else split_words)
     return _memos[path]
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level models: printable ones for themselves, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def lowered(text: str) -> str:
+    """In lower case, where that is what lowering the normalised text letter by letter gives."""
+    if text.isascii() or unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text:
+        return text.lower()
+    return text
+
+
 def split_words(text: str) -> list[str]:
     """At spaces and line ends alone; other white space stays for the tokenizer to see to."""
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
