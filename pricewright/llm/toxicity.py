@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,10 +123,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen = np.flatnonzero(held[:2].any(0))
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(held[0, seen]), pa.array(held[1, seen])], ["b", "c0", "c1"])
 
-    sums = train.mapInArrow(count, "b int, c0 int, c1 int").groupBy("b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas()
-    counts = np.zeros((2, BUCKETS + 1))
-    counts[0, sums["b"]], counts[1, sums["b"]] = sums["c0"], sums["c1"]
-    n0, n1 = counts[:, BUCKETS]
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy(zero_copy_only=False).astype("<i4").tobytes()]) for i in range(3)], ["b", "c0", "c1"])
+
+    sums = train.mapInArrow(count, "b int, c0 int, c1 int").groupBy("b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    counts = np.zeros((2, BUCKETS + 1), np.float32)
+    # a dozen bytes per bucket at most, as blocks of bytes
+    for row in sums.mapInArrow(pack, "b binary, c0 binary, c1 binary").collect():
+        at = np.frombuffer(row.b, "<i4")
+        counts[0, at], counts[1, at] = np.frombuffer(row.c0, "<i4"), np.frombuffer(row.c1, "<i4")
+    n0, n1 = counts[:, BUCKETS].tolist()
     if not n0 or not n1:
         share = min(max(n1 / max(n0 + n1, 1), 0.01), 0.5)
         return Model(np.zeros(BUCKETS, np.float32), a=0.0, b=math.log(share / (1 - share)))
@@ -147,19 +154,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     bins = np.bincount(np.clip(np.floor(s * 4) + BINS // 2, 0, BINS - 1).astype(int), minlength=BINS) if y == 0 else []
                     out.append((y, len(s), [x[2] for x in segments(s)], bins))
             y, n, segs, bins = zip(*out)
-            total = np.sum([b for b in bins if len(b)], axis=0, dtype=np.int64) if any(len(b) for b in bins) else np.zeros(BINS, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(segs, pa.list_(pa.float64())), pa.array([total.tolist()] + [None] * (len(out) - 1), pa.list_(pa.int64()))], ["y", "n", "s", "bins"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((np.array(y, np.int8), np.array(n), segs, sum(np.asarray(b, np.int64) for b in bins if len(b))))])], ["x"])
 
-    seen = train.mapInArrow(left_out, "y int, n long, s array<double>, bins array<long>").toPandas()  # at most max_rows
+    # the scores of max_rows texts at most, a block of bytes per batch
+    blocks = [pickle.loads(row.x) for row in train.mapInArrow(left_out, "x binary").collect()]
     own.unpersist()
+    y, n = np.concatenate([x[0] for x in blocks]), np.concatenate([x[1] for x in blocks])
+    segs = [s for x in blocks for s in x[2]]
     model = Model(weight)
-    model.lam, model.k = extreme_values(np.sum(np.stack([np.asarray(b) for b in seen["bins"] if b is not None]), axis=0), seen[seen["y"] == 0])
-    x = np.array([aggregate(list(s), n, model) for s, n in zip(seen["s"], seen["n"])])
-    model.a, model.b = logistic(x, seen["y"].to_numpy())
+    model.lam, model.k = extreme_values(np.zeros(BINS, np.int64) + sum(x[3] for x in blocks), [s for s, c in zip(segs, y) if c == 0], int(n[y == 0].sum()))
+    model.a, model.b = logistic(np.array([aggregate(s, k, model) for s, k in zip(segs, n)]), y)
     return model
 
 
-def extreme_values(bins: np.ndarray, clean: pd.DataFrame) -> tuple[float, float]:
+def extreme_values(bins: np.ndarray, clean: list[list[float]], n_tokens: int) -> tuple[float, float]:
     """lambda: where the mean of exp(lambda * score) over clean tokens is 1; K from the clean texts' segments above the median."""
     value = (np.arange(BINS) - BINS // 2 + 0.5) / 4
     value[BINS // 2 - 1] = -0.05  # most tokens lie just below 0
@@ -171,11 +179,11 @@ def extreme_values(bins: np.ndarray, clean: pd.DataFrame) -> tuple[float, float]
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (p * np.exp(mid * value)).sum() < 1 else (lo, mid)
     lam = min(max(lo, 0.2), 3.0)
-    all_s = np.sort(np.concatenate([np.asarray(s, float) for s in clean["s"]] or [np.zeros(0)]))
+    all_s = np.sort(np.array([x for s in clean for x in s]))
     if not len(all_s):
         return lam, 0.05
     x = all_s[len(all_s) // 2]
-    k = ((all_s >= x).sum() + 0.5) / max(clean["n"].sum(), 1) * math.exp(lam * x)
+    k = ((all_s >= x).sum() + 0.5) / max(n_tokens, 1) * math.exp(lam * x)
     return lam, float(min(max(k, 1e-4), 1.0))
 
 
