@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +40,18 @@ class Tree:
     centre stays one on all levels below. The last level is the rows themselves.
     """
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, levels: bytes | None = None):
         self.x, self.x4 = x, x.astype(np.float32)
-        n = len(x)
+        self.levels = pickle.loads(levels) if levels else []
+        if not levels:
+            self.build()
+
+    def build(self) -> None:
+        n = len(self.x)
         near = self.x4 @ self.x4.T
         node = np.zeros(n, int)  # of each row on the level above
         centres = np.zeros(1, int)
-        self.levels = [(centres, np.zeros(1, int), np.array([chord(near[0]).max()]))]
+        self.levels = [(centres, np.zeros(1, int), np.array([chord(near[0]).max()], np.float32))]
         for r in RADII:
             least = 1 - r * r / 2
             new_node, new_centres, parents, radii = np.zeros(n, int), [], [], []
@@ -64,8 +70,12 @@ class Tree:
                     rest = rest[~inside]
                     c = rest[0] if len(rest) else c
             node, centres = new_node, np.array(new_centres)
-            self.levels.append((centres, np.array(parents), np.array(radii)))
-        self.levels.append((np.arange(n), node, np.zeros(n)))
+            self.levels.append((centres.astype(np.int32), np.array(parents, np.int32), np.array(radii, np.float32)))
+        self.levels.append((np.arange(n, dtype=np.int32), node.astype(np.int32), np.zeros(n, np.float32)))
+
+    def dumped(self) -> bytes:
+        """The levels, to be made once per block and not with every partner."""
+        return pickle.dumps(self.levels, protocol=5)
 
 
 def dual(a: Tree, b: Tree, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,12 +94,20 @@ def dual(a: Tree, b: Tree, least: float) -> Iterator[tuple[np.ndarray, np.ndarra
             # most of the matrix: in blocks of rows, masked by the pairs of the level above
             alive = np.zeros((len(ka), len(kb)), bool)
             alive[i, j] = True
-            for s in range(0, len(ca), 512):
-                e = slice(s, s + 512)
-                d = chord(a.x4[ca[e]] @ b.x4[cb].T) - ra[e, None] - rb[None, :]
-                x, y = np.nonzero((d <= reach + SLACK) & alive[pa_[e]][:, pb])
-                got_i.append(x + s)
-                got_j.append(y)
+            every = bool(alive.all())
+            for cols in (np.flatnonzero(rb == 0), np.flatnonzero(rb > 0)):
+                xb = b.x4[cb[cols]].T
+                for s in range(0, len(ca), 512):
+                    e = slice(s, s + 512)
+                    # the same bound on the cosine: chord <= reach + both radii
+                    far = reach + SLACK + ra[e, None] + (rb[cols][None, :] if rb[cols].any() else np.float32(0))
+                    ok = a.x4[ca[e]] @ xb >= (1 - np.minimum(far, 2) ** 2 / 2).astype(np.float32) - np.float32(1e-5)
+                    x, y = np.nonzero(ok)
+                    if not every:
+                        own = alive[pa_[e][x], pb[cols[y]]]
+                        x, y = x[own], y[own]
+                    got_i.append(x + s)
+                    got_j.append(cols[y])
         else:
             for s in range(0, len(i), 50_000):
                 na, nb = ka[i[s : s + 50_000]], kb[j[s : s + 50_000]]
@@ -167,15 +185,17 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     blocks = placed.join(F.broadcast(plan), ["dim", "cell"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("d"), "parts"))
     blocks = stage(packed(blocks.select("block", "d", "m", "v", "dim"), ["block"], weights=True), "blocks")
 
-    def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 x = unit(unpacked(r["dim"], r["ids"], r["m"], r["data"])[2])
                 c = x.mean(0)
                 c = c / max(np.linalg.norm(c), 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([r["dim"]], pa.int32()), pa.array([c.tolist()]), pa.array([float(np.sqrt(((x - c) ** 2).sum(1)).max())])], ["block", "dim", "c", "r"])
+                row = [r["block"]], [r["dim"]], [r["ids"]], [r["m"]], [r["data"]], [Tree(x).dumped()], [c.tolist()], [float(np.sqrt(((x - c) ** 2).sum(1)).max())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.float64()))], ["block", "dim", "ids", "m", "data", "tree", "c", "r"])
 
-    balls = blocks.mapInArrow(ball, "block long, dim int, c array<double>, r double")
+    blocks = stage(blocks.repartition("block").mapInArrow(grow, "block long, dim int, ids binary, m binary, data binary, tree binary, c array<double>, r double"), "trees")
+    balls = blocks.select("block", "dim", "c", "r")
     widest = max(dims, default=1)
     ids = blocks.select("block", "dim")
     if names * (8 * widest + 24) <= SUMMARY_BYTES:  # the size is known: prune whole block pairs here
@@ -197,11 +217,14 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("block")).distinct()
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = {r["block"]: unpacked(r["dim"], r["ids"], r["m"], r["data"]) for b in batches for r in b.select(["block", "dim", "ids", "m", "data"]).to_pylist()}
+        got, levels = {}, {}
+        for batch in batches:
+            for r in batch.select(["block", "dim", "ids", "m", "data", "tree"]).to_pylist():
+                got[r["block"]], levels[r["block"]] = unpacked(r["dim"], r["ids"], r["m"], r["data"]), r["tree"]
         a, b = key[0].as_py(), key[1].as_py()
         if a not in got or b not in got:
             return
-        trees = {k: Tree(unit(x)) for k, (_, _, x) in got.items()}
+        trees = {k: Tree(unit(x), levels[k]) for k, (_, _, x) in got.items()}
         names_ = np.concatenate([got[a][0], got[b][0]]) if a != b else got[a][0]
         m = np.concatenate([got[a][1], got[b][1]]) if a != b else got[a][1]
         shift = len(got[a][0]) if a != b else 0
@@ -216,7 +239,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
         if len(has):
             yield pa.RecordBatch.from_arrays([pa.array(names_[has]), pa.array(links[has]), pa.array(names_[group[has]])], ["d", "n", "b"])
 
-    found = stage(sides.join(blocks, "block").groupBy("a", "b").applyInArrow(meet, "d long, n long, b long"), "found")
+    found = stage(sides.join(blocks.drop("c", "r"), "block").groupBy("a", "b").applyInArrow(meet, "d long, n long, b long"), "found")
     sums = found.groupBy("d").agg(F.sum("n").alias("n"))
     comp = components(found.select(F.col("d").alias("a"), "b"))
     named = classes.join(sums.withColumnRenamed("d", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
