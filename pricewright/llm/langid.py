@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import short_batches, steps
+from .common import short_batches, small, stage, steps
 from .hashing import _BYTE, Words, mix
 
 #: Features: byte n-grams of words with their bounds, and whole words, hashed into so many columns.
@@ -109,7 +109,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_pe
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL").withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << 40)))
-    n = rows.groupBy("l").agg(F.count("*").alias("n"))
+    # a row per language: with its size known it can be broadcast, and no text is shuffled by its language
+    n = small(stage(rows.groupBy("l").agg(F.count("*").alias("n")), "languages"))
     near = rows.join(n, "l").where(F.col("h") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(4.0 * rows_per_lang) / F.col("n")))
     few = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= rows_per_lang).select("l", "t")
 
