@@ -55,15 +55,19 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: floa
     return np.where(delta > 0, np.maximum(delta - sure, 0), np.minimum(delta + sure, 0)).astype(np.float32)
 
 
-def token_scores(words: Words, weight: np.ndarray, drift: float = 0.02) -> np.ndarray:
-    """A token scores the largest weight of its features if that is above 0, else the least doubtful reason for clean, less ``drift``."""
+def token_scores(words: Words, weight: np.ndarray, drift: float = 0.1, margin: float = 1.0) -> np.ndarray:
+    """A token scores by how much the largest weight of its features is above ``margin``, else its reason for clean, less ``drift``.
+
+    The margin keeps the mean score of clean text below 0, however sure a large
+    corpus makes small differences; without that no segment would be local.
+    """
     best = np.zeros(len(words.hash), np.float32)
     for i, (bucket, which) in enumerate(features(words)):
         got = weight[bucket]
         if i == 0:
             low = np.clip(got, -1, 0) - drift
         best[which] = np.maximum(best[which], got)
-    return np.where(best > 0, best, low) if len(best) else best
+    return np.where(best > margin, best - np.float32(margin), low) if len(best) else best
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
