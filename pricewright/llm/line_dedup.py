@@ -25,11 +25,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        that start within the next half is a fingerprint. A run of ``min_words``
        words holds all grams of the window at its first line, so both of its
        occurrences yield the same fingerprint.
-    2. Each fingerprint joins its first occurrence: on the gram alone, with the
-       line before it, and with the line after it. That is linear in the
-       fingerprints, however often a passage occurs.
-    3. Along each (document, source, offset) found, all maximal runs of equal
-       lines are taken and those with ``min_words`` words deleted.
+    2. A window is the shortest run of ``min_words`` words from a given line on,
+       or up to a given line. Each run of that many words is the union of the
+       windows inside it, and at every place where its lines stand they are
+       windows too. A window is looked up only if its fingerprint stands in two
+       places at least.
+    3. Of equal windows all but the first go, whatever stands around them. That
+       is linear in the windows, however often a passage occurs.
 
     The first occurrence of a line never goes: what is deleted has an equal
     earlier line. Null and empty texts and texts without repeats come back as
@@ -44,37 +46,39 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).where("l.w > 0").select("d", "p", "l.h", "l.w")
     by = Window.partitionBy("d").orderBy("p")
     ahead = Window.partitionBy("d").orderBy("s").rangeBetween(0, half - 1)
+    full = Window.partitionBy("d").orderBy("s").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy("d").orderBy("e").rangeBetween(1 - min_words, 0)
     gram = (
         lines.dropDuplicates(["d", "p"])
-        .withColumn("s", F.coalesce(F.sum("w").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("e", F.sum("w").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("s", F.col("e") - F.col("w"))
         .withColumn("hs", F.collect_list("h").over(ahead))
-        .withColumn("gw", F.sum("w").over(ahead))
-        .withColumn("g", F.when(F.col("gw") >= half, F.xxhash64("hs")))
-        .withColumn("i", F.row_number().over(by) - 1)
-        .withColumn("before", F.lag("h", 1, 0).over(by))
-        .withColumn("n_in", F.size("hs"))
+        .withColumn("g", F.when(F.sum("w").over(ahead) >= half, F.xxhash64("hs")))
+        .withColumn("pick", F.min(F.when(F.col("g").isNotNull(), F.struct("g", "p"))).over(ahead))
+        .withColumn("n", F.sum("w").over(full))
+        .withColumn("fore", F.when(F.col("n") >= min_words, F.struct("pick", F.col("p").alias("a"), F.last("p").over(full).alias("b"), F.xxhash64(F.collect_list("h").over(full)).alias("k"))))
     )
-    per = stage(
-        gram.withColumn("after", F.lead("h", 1).over(by))
-        .withColumn("pick", F.min(F.when(F.col("g").isNotNull(), F.struct("g", "i", "before", "n_in"))).over(ahead))
-        .groupBy("d")
-        .agg(F.sort_array(F.collect_list(F.struct("i", "p", "h", "s", "w"))).alias("l"), F.collect_set("pick").alias("f"))
-        .select("d", F.col("l.p").alias("p"), F.col("l.h").alias("h"), F.concat(F.col("l.s"), F.array(F.element_at("l", -1)["s"] + F.element_at("l", -1)["w"])).alias("s"), "f"),
-        "lines",
+    # a window up to a line that is also the one from its first line on is taken once
+    up = F.sum("w").over(back)
+    till = F.when((up >= min_words) & (F.first("n").over(back) < up), F.struct(F.first("pick").over(back).alias("pick"), F.first("p").over(back).alias("a"), F.col("p").alias("b"), F.xxhash64(F.collect_list("h").over(back)).alias("k")))
+    found = stage(
+        gram.select("d", "fore", till.alias("till"))
+        .select("d", F.explode(F.filter(F.array("fore", "till"), lambda x: x.isNotNull())).alias("x"))
+        .select("d", F.col("x.pick.g").alias("g"), F.col("x.pick.p").alias("i"), "x.a", "x.b", "x.k"),
+        "windows",
     )
-    found = per.select("d", "h", F.explode("f").alias("f")).select("d", F.col("f.i").alias("i"), F.explode(F.array(F.col("f.g"), F.xxhash64("f.g", "f.before", F.lit(1)), F.xxhash64("f.g", F.get("h", F.col("f.i") + F.col("f.n_in")), F.lit(2)))).alias("k"))
-    first = found.groupBy("k").agg(F.min(F.struct("d", "i")).alias("o"), F.count("*").alias("n")).where("n > 1").select("k", "o")
-    pairs = found.join(first, "k").where("o.d < d OR o.d = d AND o.i < i").select("d", F.col("o.d").alias("src"), (F.col("i") - F.col("o.i")).alias("off")).distinct()
-    a, b = per.select("d", "h", "s"), per.select(F.col("d").alias("src"), F.col("h").alias("g"))
-    lo, hi = F.greatest(F.lit(0), F.col("off")), F.least(F.size("h"), F.size("g") + F.col("off"))
-    runs = (
-        pairs.join(a, "d").join(b, "src")
-        .withColumn("x", F.filter(F.sequence(lo - 1, hi), lambda i: (i < lo) | (i >= hi) | (F.get("h", i) != F.get("g", i - F.col("off")))))
-        .withColumn("r", F.filter(F.transform(F.sequence(F.lit(0), F.size("x") - 2), lambda k: F.struct((F.get("x", k) + 1).alias("a"), F.get("x", k + 1).alias("b"))), lambda r: F.get("s", r["b"]) - F.get("s", r["a"]) >= min_words))
-        .where(F.size("r") > 0)
-        .groupBy("d").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("r"))
+    again = found.groupBy("g").agg(F.min(F.struct("d", "i")).alias("lo"), F.max(F.struct("d", "i")).alias("hi")).where("lo <> hi").select("g")
+    windows = found.join(again, "g", "left_semi")
+    first = windows.groupBy("g", "k").agg(F.min(F.struct("d", "a")).alias("o"), F.count("*").alias("n")).where("n > 1").select("g", "k", "o")
+    later = windows.join(first, ["g", "k"]).where("o.d < d OR o.d = d AND o.a < a").select("d", "a", "b")
+    # windows that overlap become one run
+    inside = Window.partitionBy("d").orderBy("a", "b")
+    dead = (
+        later.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+        .withColumn("run", F.sum(F.col("new").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("d", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        .groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("dead"))
     )
-    dead = runs.join(per, "d").select("d", F.transform("r", lambda r: F.struct(F.get("p", r["a"]).alias("a"), F.get("p", r["b"] - 1).alias("b"))).alias("dead"))
     text = F.split("t", "\n", -1)
     blank = lambda x: F.trim(F.regexp_replace(x, r"[\t\r ]+", " ")) == ""
     gone = lambda x, i: F.exists("dead", lambda r: (i >= r["a"]) & (i <= r["b"])) & ~blank(x)

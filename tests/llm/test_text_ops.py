@@ -63,6 +63,20 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == brute_dedup(texts, 50)
 
 
+def test_line_dedup_finds_the_run_behind_shorter_ones(spark):
+    """A passage whose ends stand earlier in runs that are too short by themselves; and random runs over few lines."""
+    rng = random.Random(6)
+    passage = [words(rng, 12, 10**6) for _ in range(5)]
+    filler = [words(rng, 40, 10**6) for _ in range(4)]
+    cuts = [passage[:4], passage[1:], passage, passage]
+    texts = {d: "\n".join([filler[d], *c]) for d, c in enumerate(cuts)}
+    pool = [words(rng, rng.choice([1, 4, 9, 12, 26, 49, 55]), 10**6) for _ in range(12)]
+    texts |= {d: "\n".join(pool[(k + j) % 12] if rng.random() < 0.9 else rng.choice(pool) for k in [rng.randrange(12)] for j in range(rng.randint(1, 14))) for d in range(4, 90)}
+    got = {r.doc_id: r.text for r in line_dedup(docs(spark, list(texts.values()), list(texts))).collect()}
+    assert got == brute_dedup(texts, 50)
+    assert got[2] == texts[2] and got[3] == filler[3]
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup(docs(spark, ["a"]).limit(0)).count() == 0
 
