@@ -19,6 +19,8 @@ from pricewright.llm.packing import n_words, pack
 from pricewright.llm.toxicity import fit as fit_toxicity, score
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Score from which a predicted language outweighs the label.
+SURE = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language (null texts and texts without a letter)."""
-    rejected = predict(docs, fit_language(docs)).where(F.col("lang_pred") == UNKNOWN).select("doc_id")
+    """Drop documents of no language (null texts and texts without a letter) and those whose label is wrong.
+
+    A label is wrong if the model predicts another language with a score of
+    ``SURE`` at least. Where no row is labelled the model knows no language:
+    then only texts without a letter go. Null ids have no decision and stay.
+    """
+    model = fit_language(docs)
+    if not model.langs:
+        return docs.where(F.col("doc_id").isNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*COLUMNS)
+    found = predict(docs.withColumn("labelled", F.struct("doc_id", "lang")), model, "labelled")
+    wrong = (F.col("lang_pred") != F.col("labelled.lang")) & (F.col("score") >= SURE)
+    rejected = found.where((F.col("lang_pred") == UNKNOWN) | wrong).select("labelled.doc_id")
     return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
 
 

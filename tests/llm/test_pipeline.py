@@ -64,3 +64,16 @@ def test_run_equals_the_stages(spark, tmp_path):
     spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert len(got & set(range(0, 60, 5))) <= 1 and len(got) >= 46
+
+
+def test_language_decides_by_the_prediction(spark):
+    rows, _ = corpus()
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    unlabelled = spark.createDataFrame([[i, t, None, s, n] for i, t, _, s, n in rows], schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, unlabelled, "").collect()}
+    assert {r[0] for r in rows} - kept == {300, 301, 303}
+    for i in (40, 41):  # de and en, called the other; 42 has no label
+        rows[i][2] = {"de": "en", "en": "de"}[rows[i][2]]
+    rows[42][2] = None
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, schema), "").collect()}
+    assert {r[0] for r in rows} - kept == {40, 41, 300, 301, 303}
