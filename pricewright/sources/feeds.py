@@ -40,22 +40,21 @@ def sniff(spark: SparkSession, path: str) -> str:
     return "csv"
 
 
-def csv_options(head: bytes) -> dict[str, str]:
-    """Encoding (UTF-8 or cp1251) and the most frequent delimiter of the first line."""
-    try:
-        text, encoding = head.decode("utf-8-sig"), "UTF-8"
-    except UnicodeDecodeError as e:
-        if e.start >= len(head) - 3:  # cut off inside a character
-            text, encoding = head[: e.start].decode("utf-8-sig"), "UTF-8"
-        else:
-            text, encoding = head.decode("cp1251"), CP1251
-    line = text.split("\n", 1)[0]
-    return {"sep": max(";,\t", key=line.count), "encoding": encoding}
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether every byte of the file is UTF-8; checked line by line on the executors, as lines come undecoded."""
+    return not spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+
+
+def csv_options(head: bytes, utf8: bool) -> dict[str, str]:
+    """Encoding (UTF-8 or cp1251) and the most frequent delimiter of the first 4096 characters."""
+    sample = head.decode("utf-8-sig" if utf8 else "cp1251", "ignore")[:4096]
+    sep = max(",;\t", key=sample.count)
+    return {"sep": sep if sep in sample else ";", "encoding": "UTF-8" if utf8 else CP1251}
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """With a header. Spark reads no cp1251, so that is read as Latin-1, byte by byte, and translated."""
-    options = csv_options(_head(spark, path))
+    options = csv_options(_head(spark, path, 4 * 4096 + 3), is_utf8(spark, path))
     if options["encoding"] != CP1251:
         return spark.read.options(header=True, quote='"', escape='"', **options).csv(path)
     options["encoding"] = "ISO-8859-1"

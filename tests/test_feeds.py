@@ -33,6 +33,21 @@ def test_csv_in_cp1251_with_semicolons(spark, tmp_path):
     assert r["артикул"] == "000123" and r["цена"] == "12,50"
 
 
+def test_csv_with_cyrillic_after_the_sample(spark, tmp_path):
+    for encoding in ("cp1251", "utf-8", "utf-8-sig"):
+        p = tmp_path / f"{encoding}.csv"
+        p.write_bytes(("sku;name\n" + "000123;ascii only\n" * 2000 + "000124;Анальгин №20\n").encode(encoding))
+        rows = feeds.read_feed(spark, str(p), SCHEMA)
+        assert rows.columns == ["sku", "name"] and rows.count() == 2001
+        assert rows.where("sku = '000124'").first().name == "Анальгин №20"
+
+
+def test_csv_delimiter_of_the_sample(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text("sku;name, form, dose, pack\n" + "".join(f"{i};a;b\n" for i in range(20)))
+    assert feeds.read_feed(spark, str(p), SCHEMA).columns == ["sku", "name, form, dose, pack"]
+
+
 def test_workbook(spark, tmp_path):
     p = tmp_path / "x.xlsx"
     m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
