@@ -77,3 +77,25 @@ def test_language_decides_by_the_prediction(spark):
     rows[42][2] = None
     kept = {r.doc_id for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, schema), "").collect()}
     assert {r[0] for r in rows} - kept == {40, 41, 300, 301, 303}
+
+
+def test_rows_of_one_id_keep_their_own_texts(spark, tmp_path):
+    rows, passage = corpus()
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    other, blank = rows[258][1], [400, " ", "en", "s", 1]
+    extra = [[256, other + " vilewort vilewort vilewort", "de", "s", 0], [257, "12 %% 3", "en", "s", 0], [259, rows[262][1] + " more", "en", "s", 0], [265, rows[265][1] + " more\n" + passage, "en", "s", 0], [261, rows[261][1], "de", "s", 0], [263, rows[264][1], "de", "s", 0], [None, other, "de", "s", 0]]
+    rows = rows[:258] + rows[259:300] + extra
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    texts = lambda d: sorted((r.doc_id, r.text) for r in d.collect() if r.doc_id is not None and r.doc_id > 255)
+    given = texts(docs)
+    assert texts(corpus_pipeline.toxicity(spark, docs, str(tmp_path))) == [x for x in given if "vilewort" not in x[1]]
+    assert texts(corpus_pipeline.language(spark, docs, "")) == [x for x in given if "%%" not in x[1]]
+    lines = texts(corpus_pipeline.lines(spark, docs, ""))
+    assert lines == sorted((i, "" if i == 264 and len(t.split()) >= 50 else t.replace("\n" + passage, "")) for i, t in given)
+    # 261 stands twice; 263 has the text of 264 too, 259 one near that of 262
+    kept = corpus_pipeline.near_duplicates(spark, docs.union(spark.createDataFrame([blank, blank], schema)), "")
+    got = texts(kept)
+    assert [i for i, _ in got].count(261) == [i for i, _ in got].count(400) == 1
+    assert [i for i, _ in got].count(259) == [i for i, _ in got].count(263) == 2 and [i for i, _ in got].count(265) == 2
+    assert not {262, 264} & {i for i, _ in got} and kept.where("doc_id IS NULL").count() == 1
