@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from html import unescape
 
 import numpy as np
@@ -15,141 +16,217 @@ from .common import short_batches
 # HTML elements by what they do to text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
-SKIP = frozenset("nav footer aside form button select label input menu dialog head object embed canvas audio video".split())
+SKIP = frozenset("nav footer button select label input menu dialog head object embed canvas audio video".split())
+SOFT = frozenset("aside form".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class, id or role that mark what isn't part of an article.
-NOISE = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations widget pagination pager skip search contentinfo complementary dialog hidden".split())
+#: Words at the start or end of a class, id or role that speak against an article.
+NOISE = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar notice notices alert newsletter subscribe subscription signup login social share sharing related recommended recommendations widget pagination pager search contentinfo complementary".split())
+#: Words that no amount of text outweighs: what readers wrote, and what isn't shown with the page.
+STRONG = frozenset("comment comments disqus respond replies reply cookie cookies consent gdpr popup modal overlay skip dialog hidden".split())
 INSIDE = frozenset(("article", "main"))
+#: Elements that a new element of their kind closes, and those that keep it from doing so.
+ITEMS = frozenset("p li dt dd tr option".split())
+HOLDERS = frozenset("ul ol dl table div section blockquote article main".split())
 
-_TAG = re.compile(r"""<(?:(?P<skip>!--)|(?P<decl>[!?])|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>(?:"[^"]*"|'[^']*'|[^'">])*))>)""", re.S)
+_TAG = re.compile(r"""<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>(?:"[^"]*"|'[^']*'|[^'">])*))>""", re.S)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _OPEN = re.compile(r"<[a-zA-Z/!?]")
 
-#: Lines in a block of the distribution; characters a block must reach for a surge.
+#: Lines in a block of the distribution; characters that a block has to reach for a surge, on pages that have such a block.
 WIDTH, SURGE = 3, 80
+#: An element that is marked as noise counts as text after all if it holds so many times what the rest of the page holds.
+OUTWEIGHS = 4
+#: The share of a page's text that an article must hold for the lines outside it to lose their weight.
+SHARE = 1 / 3
+#: Open elements that a tag looks back over; browsers limit nesting likewise.
+DEPTH = 256
 
 
-def _noise(attrs: str) -> bool:
+def _noise(attrs: str) -> int:
+    """0: nothing said; 1: marked as no article; 2: strongly so."""
     if not attrs:
-        return False
+        return 0
+    found = 2 if _HIDDEN.search(attrs) else 0
     for m in _MARK.finditer(attrs):
-        if not NOISE.isdisjoint(re.split(r"[\s_\-:.]+|(?<=[a-z])(?=[A-Z])", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return bool(_HIDDEN.search(attrs))
-
-
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """The page as lines (text, characters outside links, inside an article); what is left out gives an empty line."""
-    out: list[tuple[str, int, bool]] = []
-    parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are left out
-    off = inside = link = 0
-
-    def flush(gap: bool = False) -> None:
-        nonlocal linked
-        text = " ".join("".join(parts).split())
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in re.split(r"[_\-:.]+|(?<=[a-z])(?=[A-Z])", name) if w]
+            if words:
+                ends = {words[0], words[-1]}
+                found = max(found, 2 if ends & STRONG else 1 if ends & NOISE else 0)
+    return found
+
+
+class Page:
+    """The page as lines: text, characters outside links, whether inside an article, and the noise elements around it."""
+
+    def __init__(self, html: str):
+        self.out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.strong: set[int] = set()  # noise elements that stay noise
+        self.lifted: set[int] = set()  # those that hold an article
+        self.stack: list[tuple[str, int, bool]] = []  # name, kind of noise (2: left out), whether a noise element of its own
+        self.names: Counter[str] = Counter()
+        self.path: tuple[int, ...] = ()
+        self.parts: list[str] = []
+        self.linked = self.off = self.inside = self.link = self.roots = 0
+        self.read(html)
+
+    def flush(self, gap: bool = False) -> None:
+        text = " ".join("".join(self.parts).split())
         if text:
-            out.append((text, max(0, len(text) - linked), inside > 0))
-        elif gap and out and out[-1][0]:
-            out.append(("", 0, inside > 0))
-        parts.clear()
-        linked = 0
-
-    def say(text: str) -> None:
-        nonlocal linked
-        if off or not text:
+            self.out.append((text, max(0, len(text) - self.linked), self.inside > 0, self.path))
+        elif gap and self.out and self.out[-1][0]:
+            self.out.append(("", 0, self.inside > 0, self.path))
+        self.parts.clear()
+        self.linked = 0
+
+    def say(self, text: str) -> None:
+        if self.off or not text:
             return
         text = unescape(text) if "&" in text else text
-        parts.append(text)
-        if link:
-            linked += len(text.strip())
-
-    def shut(i: int) -> None:
-        nonlocal off, inside, link
-        for name, left_out in stack[i:]:
-            off -= left_out
-            inside -= name in INSIDE
-            link -= name == "a"
-        del stack[i:]
-
-    at, n = 0, len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
-            rest = html[at:]
-            cut = _OPEN.search(rest)  # a tag that the page's end cuts off
-            say(rest[: cut.start()] if cut else rest)
-            break
-        cut = _OPEN.search(html, at, m.start())
-        if cut is not None:  # a broken tag before it
-            say(html[at : cut.start()])
-            end = html.find(">", cut.start())
-            at = end + 1
-            continue
-        say(html[at : m.start()])
-        at = m.end()
-        if m["skip"]:
-            end = html.find("-->", at)
-            at = n if end < 0 else end + 3
-            continue
-        if m["decl"]:
-            end = html.find("]]>" if html.startswith("[CDATA[", at) else ">", at)
-            at = n if end < 0 else html.index(">", end) + 1
-            continue
-        name, attrs = m["name"].lower(), m["attrs"]
-        if m["close"]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name in BLOCKS:
-                flush()
-            elif name in ("td", "th"):
-                parts.append(" ")
-            if i is not None and not (name not in BLOCKS and any(x in BLOCKS for x, _ in stack[i + 1 :])):
-                was = off
-                shut(i)
-                if was and not off:
-                    flush(True)
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            if not attrs.rstrip().endswith("/"):
-                at = n if end is None else end.end()
-            if name in BLOCKS:
-                flush()
-            continue
-        if name == "br" or name in ("td", "th", "img"):
-            say(" ")
+        self.parts.append(text)
+        if self.link:
+            self.linked += len(text.strip())
+
+    def shut(self, i: int) -> None:
+        for name, left_out, root in self.stack[i:]:
+            self.names[name] -= 1
+            self.off -= left_out
+            self.inside -= name in INSIDE
+            self.link -= name == "a"
+            if root:
+                self.path = self.path[:-1]
+        del self.stack[i:]
+
+    def back(self, stop) -> int | None:
+        """The innermost of the last ``DEPTH`` open elements for which ``stop`` holds."""
+        n = len(self.stack)
+        return next((i for i in range(n - 1, max(-1, n - 1 - DEPTH), -1) if stop(self.stack[i][0])), None)
+
+    def read(self, html: str) -> None:
+        at, n, last = 0, len(html), html.rfind(">")
+        while at < n:
+            i = html.find("<", at)
+            while i >= 0 and not _OPEN.match(html, i):
+                i = html.find("<", i + 1)
+            self.say(html[at : n if i < 0 else i])
+            if i < 0 or i > last:  # no tag is left that ends
+                break
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                at = n if end < 0 else end + 3
+            elif html[i + 1] in "!?":
+                end = html.find("]]>" if html.startswith("<![CDATA[", i) else ">", i)
+                at = n if end < 0 else html.index(">", end) + 1
+            elif m := _TAG.match(html, i):
+                at = m.end()
+                name, attrs = m["name"].lower(), m["attrs"]
+                if m["close"]:
+                    self.close(name)
+                else:
+                    bare = attrs.rstrip().endswith("/")
+                    if name in RAW:
+                        if not bare:
+                            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                            at = n if end is None else end.end()
+                        if name in BLOCKS:
+                            self.flush()
+                    else:
+                        self.open(name, attrs, bare)
+            else:  # an open quote or no name: up to the next end of a tag
+                at = html.index(">", i) + 1
+        self.flush()
+
+    def close(self, name: str) -> None:
+        block = name in BLOCKS
+        if block:
+            self.flush()
+        elif name in ("td", "th"):
+            self.say(" ")
+        if not self.names[name]:
+            return
+        # what isn't a block doesn't close the blocks inside it
+        i = self.back(lambda x: x == name or not block and x in BLOCKS)
+        if i is not None and self.stack[i][0] == name:
+            off, path = self.off, self.path
+            if path and any(root for _, _, root in self.stack[i:]):
+                self.flush()
+            self.shut(i)
+            if off and not self.off or path != self.path:
+                self.flush(True)
+
+    def open(self, name: str, attrs: str, bare: bool) -> None:
+        if name in ("br", "td", "th", "img"):
+            self.say(" ")
         if name in BLOCKS:
-            if name == "p" or name in ("li", "dt", "dd", "tr", "option"):  # closes an open one of its kind
-                i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in INSIDE or stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "blockquote")), None)
-                if i is not None and stack[i][0] == name:
-                    flush()
-                    shut(i)
-            flush()
-        if name in VOID or attrs.rstrip().endswith("/") and name not in BLOCKS:
-            continue
-        left_out = name in SKIP or name == "header" and not inside or name not in ("html", "body", "article", "main") and _noise(attrs)
-        if left_out and not off:
-            flush(True)
-        stack.append((name, left_out))
-        off += left_out
-        inside += name in INSIDE
-        link += name == "a"
-    flush()
-    return out
+            if name in ITEMS:
+                i = self.back(lambda x: x == name or x in HOLDERS)
+                if i is not None and self.stack[i][0] == name:
+                    self.flush()
+                    self.shut(i)
+            self.flush()
+        if name in VOID or bare and name not in BLOCKS:
+            return
+        left_out = name in SKIP or name == "header" and not self.inside
+        noise = 0 if left_out or name in ("html", "body", "article", "main") and not self.inside else max(_noise(attrs), int(name in SOFT))
+        if (left_out or noise) and not self.off:
+            self.flush(True)
+        root = noise > 0 and len(self.path) < DEPTH
+        self.stack.append((name, left_out, root))
+        self.names[name] += 1
+        self.off += left_out
+        if root:
+            self.path += (self.roots,)
+            if noise == 2:
+                self.strong.add(self.roots)
+            self.roots += 1
+        if name in INSIDE:
+            self.inside += 1
+            self.lifted.update(self.path)
+        self.link += name == "a"
+
+    def lines(self) -> list[tuple[str, int, bool]]:
+        """(text, characters outside links, inside an article); what is noise gives an empty line.
+
+        A noise element counts as text if it holds an article or outweighs the
+        rest, the largest first; what is marked strongly never does.
+        """
+        own: dict[int, int] = defaultdict(int)
+        base = 0
+        for _, plain, _, path in self.out:
+            if path:
+                own[path[-1]] += plain
+            else:
+                base += plain
+        kept = self.lifted - self.strong
+        base += sum(own[r] for r in kept)
+        for r in sorted(own.keys() - kept - self.strong, key=lambda r: -own[r]):
+            if own[r] > OUTWEIGHS * base:
+                kept.add(r)
+                base += own[r]
+        found: list[tuple[str, int, bool]] = []
+        for text, plain, inside, path in self.out:
+            if text and kept.issuperset(path):
+                found.append((text, plain, inside))
+            elif found and found[-1][0]:
+                found.append(("", 0, inside))
+        return found
 
 
 def spans(weights: np.ndarray) -> list[tuple[int, int]]:
-    """[surge, dive) line ranges: a block of lines rises to ``SURGE`` and the text goes on; later two blocks hold nothing."""
+    """[surge, dive) line ranges: a block of lines rises to the surge and the text goes on; later two blocks hold nothing.
+
+    A surge is ``SURGE`` characters, on pages whose fullest block has fewer than twice that, half of it.
+    """
     n = len(weights)
-    if not n:
+    if not n or not weights.any():
         return []
     total = np.concatenate([[0], np.cumsum(weights)])
     block = total[np.minimum(np.arange(n) + WIDTH, n)] - total[:-1]
+    least = min(SURGE, block.max() / 2)
     out, i = [], 0
     while i < n:
-        if weights[i] and block[i] >= SURGE:
+        if weights[i] and block[i] >= least:
             j = i
             while j < n and (block[j] or j + 1 < n and block[j + 1]):
                 j += 1
@@ -159,30 +236,47 @@ def spans(weights: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def weigh(found: list[tuple[str, int, bool]]) -> np.ndarray:
+    """Characters outside links where they are half of a line at least; where an article holds its share, only its lines weigh."""
+    within = sum(plain for _, plain, inside in found if inside)
+    if within and within >= SHARE * sum(plain for _, plain, _ in found):
+        return np.array([max(plain, 1) if inside and text else 0 for text, plain, inside in found], int)
+    return np.array([plain if 2 * plain >= len(text) else 0 for text, plain, _ in found], int)
+
+
 def extract(html: str | None) -> str:
     """The main text of a page; see ``extract_pages``."""
     if not html:
         return ""
-    found = lines(html)
-    marked = any(x[2] for x in found)
-    # in a page that marks its article every line of it is text and no other; else what isn't link text counts
-    weights = np.array([(SURGE if text else 0) if inside else 0 if marked else plain if 2 * plain >= len(text) else 0 for text, plain, inside in found], int)
-    return "\n".join(found[i][0] for a, b in spans(weights) for i in range(a, b) if found[i][0] and (found[i][2] or not marked))
+    found = Page(html).lines()
+    weights = weigh(found)
+    marked = len(weights) and bool(((weights > 0) <= np.array([x[2] for x in found])).all())
+    kept, end = [], 0
+    for a, b in spans(weights):
+        while marked and a > end and weights[a - 1]:  # short lines at an article's head
+            a -= 1
+        kept += [found[i][0] for i in range(a, b) if found[i][0] and (found[i][2] or not marked)]
+        end = b
+    return "\n".join(kept)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for every row.
 
-    Markup goes; menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts, styles and comments of readers go by element and by the words of
-    class, id and role. What is left are lines, one a block element, with
-    character references decoded and white space turned into single spaces.
-    Text lengths summed over ``WIDTH`` lines form the distribution; what stands between a
-    surge and the following dive is the text, short lines included. Where the
-    page marks an ``article`` or ``main``, its lines alone have weight.
+    Markup, scripts, styles, menus, headers, footers and fields of forms go by
+    their elements. What is left are lines, one a block element, with character
+    references decoded and white space turned into single spaces. Elements that
+    are marked as sidebars, notices, adverts and the like have no weight, unless
+    they hold an article or nearly all of the page's text; comments of readers and hidden parts
+    never have. Where ``article`` or ``main`` hold a third of the text, only their lines weigh.
+
+    Weights summed over ``WIDTH`` lines form the distribution; what stands
+    between a surge and the following dive is the text, short lines included.
 
     Null and empty pages give an empty text, pages cut off anywhere what stands
-    before the cut. Other columns are not read. Linear in the page's length.
+    before the cut. Every row gives one row, repeated and null ids too; other
+    columns are not read; an empty table gives an empty result. Linear in the
+    page's length: tags look back over ``DEPTH`` open elements at most.
     """
     short_batches(pages.sparkSession)
     a, b = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))

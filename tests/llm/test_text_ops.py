@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricewright.llm import components as comp
 from pricewright.llm.hashing import Words
-from pricewright.llm.html_extract import extract, extract_pages
+from pricewright.llm.html_extract import SURGE, WIDTH, extract, extract_pages, spans
 from pricewright.llm.langid import UNKNOWN, Model as LangModel, fit as fit_lang, predict
 from pricewright.llm.line_dedup import line_dedup
 from pricewright.llm.ngram_join import ngram_join
@@ -239,6 +240,52 @@ def test_extract(html, text):
     assert extract(html) == text
 
 
+SIXTY = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f'<div class="has-sidebar layout"><p>{SIXTY}</p><div class="sidebar">side</div></div>', SIXTY), (f'<div class="search-results-article"><p>{SIXTY}</p></div>', SIXTY),
+    (f'<article><p>{SIXTY}</p><p class="post-share-text">keep</p><p class="share-box">no</p></article>', SIXTY + "\nkeep"), ("<p>Only short.</p>", "Only short."),
+    (f'<p>Short.</p><div id="comments"><p>{SIXTY}</p></div>', "Short."), (f"<form id=f><p>{SIXTY}</p><input><aside>no</aside></form>", SIXTY),
+    (f'<div class="has-sidebar"><div class="sidebar">{SIXTY}</div><main><h1>T</h1><p>by x</p><p>2020</p><p>{SIXTY}</p><p>end</p></main></div>', f"T\nby x\n2020\n{SIXTY}\nend"),
+    (f'<article><p>a teaser</p></article><div><p>{SIXTY}</p><p>{SIXTY}</p></div>', f"a teaser\n{SIXTY}\n{SIXTY}"),
+])
+def test_what_is_marked_as_noise_yields_to_the_text(html, text):
+    assert extract(html) == text
+
+
+def test_spans_are_those_of_the_plain_distribution():
+    rng = random.Random(8)
+    for _ in range(300):
+        w = [rng.choice([0, 0, 0, 5, 30, 90, 300]) if rng.random() < 0.8 else 0 for _ in range(rng.randint(0, 30))]
+        block = [sum(w[i : i + WIDTH]) for i in range(len(w))] + [0]
+        least, out, i = min(SURGE, max(block) / 2), [], 0
+        while i < len(w):
+            if w[i] and block[i] >= least:
+                j = i
+                while j < len(w) and (block[j] or block[j + 1]):
+                    j += 1
+                out.append((i, j))
+                i = j
+            i += 1
+        assert spans(np.array(w, int)) == out
+
+
+@pytest.mark.parametrize("page", ["<a " * 50_000, "<div>" * 50_000 + "</b>" * 50_000, "<b>" + "<div>" * 50_000 + "</b>" * 50_000, "<svg/>" * 50_000, "<b>" * 50_000 + "<p>" * 50_000, "<a \"" * 50_000 + ">", "<" * 100_000, "<div class=ad>" * 50_000 + "x"])
+def test_hostile_pages_take_linear_time(page):
+    at = time.perf_counter()
+    extract(page)
+    assert time.perf_counter() - at < 10
+
+
+def test_extract_of_no_pages_and_repeated_ids(spark):
+    schema = "page_id bigint, url string, html string, text string, n_chars int"
+    assert extract_pages(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "u", "<p>a</p>", "x", 1), (1, "u", "<p>b</p>", "x", 1), (None, None, "<p>c</p>" + "<p>d</p>" * 20_000, None, None)]
+    got = sorted(r.text[:9] for r in extract_pages(spark.createDataFrame(rows, schema)).collect())
+    assert got == ["a", "b", "c\nd\nd\nd\nd"]
+
+
 def test_extract_pages_counts_code_points(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>é😀</p></article>", 5), (2, None, None, 6)], "page_id bigint, url string, html string, text int")
     assert [tuple(r) for r in extract_pages(pages).orderBy("page_id").collect()] == [(1, "u", "é😀", 2), (2, None, "", 0)]
