@@ -20,13 +20,16 @@ BUCKETS = 1 << 20
 PREFIXES = range(3, 8)
 #: Bins of a quarter each for the token scores of clean texts, around 0.
 BINS = 80
+#: Margins that are looked at, in sixteenths; the mean score of clean tokens that the least of them has to reach.
+STEPS, MEAN = 128, -0.09
 
 
 @dataclass
 class Model:
-    """``weight[b]``: the score of bucket b; ``lam`` and ``k``: Karlin and Altschul's parameters; ``a``, ``b``: log-odds of the aggregate."""
+    """``weight[b]``: the score of bucket b; ``margin``: see ``token_scores``; ``lam`` and ``k``: Karlin and Altschul's parameters; ``a``, ``b``: log-odds of the aggregate."""
 
     weight: np.ndarray
+    margin: float = 0.0
     lam: float = 1.0
     k: float = 0.1
     a: float = 1.0
@@ -55,19 +58,25 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: floa
     return np.where(delta > 0, np.maximum(delta - sure, 0), np.minimum(delta + sure, 0)).astype(np.float32)
 
 
-def token_scores(words: Words, weight: np.ndarray, drift: float = 0.1, margin: float = 1.0) -> np.ndarray:
-    """A token scores by how much the largest weight of its features is above ``margin``, else its reason for clean, less ``drift``.
-
-    The margin keeps the mean score of clean text below 0, however sure a large
-    corpus makes small differences; without that no segment would be local.
-    """
-    best = np.zeros(len(words.hash), np.float32)
+def evidence(words: Words, weight: np.ndarray, drift: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the largest weight of its features, and its word's reason for clean, less ``drift``."""
+    best = low = np.zeros(len(words.hash), np.float32)
     for i, (bucket, which) in enumerate(features(words)):
         got = weight[bucket]
         if i == 0:
-            low = np.clip(got, -1, 0) - drift
+            low = np.clip(got, -1, 0) - np.float32(drift)
         best[which] = np.maximum(best[which], got)
-    return np.where(best > margin, best - np.float32(margin), low) if len(best) else best
+    return best, low
+
+
+def token_scores(words: Words, weight: np.ndarray, margin: float) -> np.ndarray:
+    """A token scores by how much the largest weight of its features is above ``margin``, else its reason for clean.
+
+    The margin keeps the mean score of clean text below 0, however sure a large
+    corpus makes small differences; without that no segment would be local.
+    """
+    best, low = evidence(words, weight)
+    return np.where(best > margin, best - np.float32(margin), low)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -145,13 +154,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weight = log_odds(c1, c0, n1, n0)
     own = spark.sparkContext.broadcast((log_odds(c1, np.maximum(c0 - 1, 0), n1, n0 - 1), log_odds(np.maximum(c1 - 1, 0), c0, n1 - 1, n0)))
 
+    def spread(batches):
+        held = np.zeros((3, STEPS + 1))
+        for batch in batches:
+            for _, raws in steps(batch.column(1).to_pylist()):
+                best, low = evidence(Words(raws, letters=True), own.value[0])
+                at = np.minimum(np.ceil(best * 16).astype(int), STEPS)
+                held += [np.bincount(at, x, STEPS + 1) for x in (np.ones(len(at)), best, low)]
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()])], ["x"])
+
+    clean = train.where("y = 0").mapInArrow(spread, "x binary").collect()  # 3 KB a task
+    margin = least_margin(*np.sum([np.frombuffer(row.x).reshape(3, STEPS + 1) for row in clean], axis=0))
+
     def left_out(batches):
         for batch in batches:
             ys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for at, raws in steps(texts):
                 words = Words(raws, letters=True)
-                both = [token_scores(words, w) for w in own.value]
+                both = [token_scores(words, w, margin) for w in own.value]
                 for i in range(len(raws)):
                     y = ys[at + i]
                     s = both[y][words.first[i] : words.first[i + 1]]
@@ -165,12 +186,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own.unpersist()
     y, n = np.concatenate([x[0] for x in blocks]), np.concatenate([x[1] for x in blocks])
     segs = [s for x in blocks for s in x[2]]
-    model = Model(weight)
+    model = Model(weight, margin)
     model.lam, model.k = extreme_values(np.zeros(BINS, np.int64) + sum(x[3] for x in blocks), [s for s, c in zip(segs, y) if c == 0], int(n[y == 0].sum()))
     model.a, model.b = logistic(np.array([aggregate(s, k, model) for s, k in zip(segs, n)]), y)
     return model
 
 
+def least_margin(count: np.ndarray, best: np.ndarray, low: np.ndarray) -> float:
+    """The smallest margin, in sixteenths, at which the mean score of clean tokens is ``MEAN`` at most.
+
+    The tokens lie in bins by their ``best`` evidence: without any, then up to 1/16, 2/16 and so on. The arrays
+    hold how many they are, and the sums of ``best`` and ``low``.
+    """
+    above = lambda x: np.cumsum(x[::-1])[::-1][1:]
+    total = above(best) - np.arange(STEPS) / 16 * above(count) + low.sum() - above(low)
+    fits = np.flatnonzero(total <= MEAN * count.sum())
+    return float(fits[0] / 16) if len(fits) else STEPS / 16
+
+
 def extreme_values(bins: np.ndarray, clean: list[list[float]], n_tokens: int) -> tuple[float, float]:
     """lambda: where the mean of exp(lambda * score) over clean tokens is 1; K from the clean texts' segments above the median."""
     value = (np.arange(BINS) - BINS // 2 + 0.5) / 4
@@ -222,7 +255,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             texts, got = batch.column(1).to_pylist(), []
             for _, raws in steps(texts):
                 words = Words(raws, letters=True)
-                s = token_scores(words, m.weight)
+                s = token_scores(words, m.weight, m.margin)
                 for i, raw in enumerate(raws):
                     a, b = words.first[i], words.first[i + 1]
                     found = segments(s[a:b])

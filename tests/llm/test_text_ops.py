@@ -16,7 +16,7 @@ from pricewright.llm.langid import UNKNOWN, Model as LangModel, fit as fit_lang,
 from pricewright.llm.line_dedup import line_dedup
 from pricewright.llm.ngram_join import ngram_join
 from pricewright.llm.packing import boundaries, n_words, pack
-from pricewright.llm.toxicity import Model, fit, score, segments
+from pricewright.llm.toxicity import MEAN, STEPS, Model, fit, least_margin, score, segments
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, d string, t int, rank int"
 
@@ -209,6 +209,27 @@ def test_toxicity_on_held_out_rows_and_odd_texts(spark):
     assert {r.predicted for r in score(table, fit(table, labels.limit(0))).collect()} == {0}
 
 
+def test_least_margin_is_the_smallest_that_keeps_clean_text_below_zero():
+    rng = np.random.default_rng(5)
+    for strong in (0.02, 0.2, 0.6):
+        best = np.where(rng.random(4000) < strong, np.round(rng.exponential(1.0, 4000) * 16) / 16, 0)
+        low = -0.1 - rng.random(4000) * 0.1
+        at = np.minimum(np.ceil(best * 16).astype(int), STEPS)
+        got = least_margin(*(np.bincount(at, x, STEPS + 1) for x in (np.ones(4000), best, low)))
+        mean = lambda m: np.where(best > m, best - m, low).mean()
+        assert got == next(j / 16 for j in range(STEPS) if mean(j / 16) <= MEAN)
+
+
+def test_toxicity_of_a_small_corpus_and_repeated_ids(spark):
+    rng = random.Random(7)
+    texts = [words(rng, 60) + (" vilewort vilewort vilewort" if i % 5 == 0 else "") for i in range(60)]
+    table = docs(spark, texts + texts[:3], [*range(60), 0, 0, None])
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)] * 2 + [(None, 1), (3, None)], "doc_id bigint, toxic int")
+    got = [(r.doc_id, r.predicted) for r in score(table, fit(table, labels)).collect()]
+    assert len(got) == 63 and got.count((0, 1)) == 1 and got.count((0, 0)) == 2
+    assert {i for i, p in got if p} == set(range(0, 60, 5))
+
+
 # ---- language ID
 
 
