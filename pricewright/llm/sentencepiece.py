@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,16 @@ from pyspark.sql import functions as F
 
 from .common import short_batches
 from .hashing import mix
-from .token_words import Memo
 
 U = np.uint64
 _M = U(0x9E3779B97F4A7C15)
 SPACE = "▁"
 #: Longer words are rare (no spaces for so long) and merged one by one with a heap.
 LONG = 48
+#: Words that a worker remembers; beyond them the ones not seen of late are forgotten, which changes no result.
+MEMORY = 250_000
+#: Characters of text whose words are looked up together.
+STEP_CHARS = 1_000_000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -262,13 +266,42 @@ class Encoder:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+class Memo:
+    """word -> bytes of its ids, filled by batches of new words."""
+
+    def __init__(self, encoder: Encoder):
+        self.encode, self.split, self.known, self.old = encoder.encode_words, encoder.split, {}, {}
+
+    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, by its words."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(self.split(text) if text else [])
+            size += len(text or "")
+            if size > STEP_CHARS:
+                yield from self.join(held)
+                held, size = [], 0
+        yield from self.join(held)
+
+    def join(self, held: list[list[str]]) -> list[bytes]:
+        if len(self.known) > MEMORY:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = [w for w in set().union(*held) if w not in known]
+        known.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in known]
+        known.update(zip(new, self.encode(new)))
+        return [b"".join(map(known.__getitem__, words)) for words in held]
+
+
 _memos: dict[str, tuple[Encoder, Memo]] = {}
 
 
 def memo(path: str) -> tuple[Encoder, Memo]:
     if path not in _memos:
         encoder = Encoder(path)
-        _memos[path] = encoder, Memo(encoder.encode_words, encoder.split)
+        _memos[path] = encoder, Memo(encoder)
     return _memos[path]
 
 

@@ -59,7 +59,10 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 _STAGED = "d long, r long, n long, digests array<binary>, ends array<int>, z binary"
-_STORED = "d long, r long, shard int, pos long, n long, root binary, digests array<binary>, ends array<int>, own binary, own_index array<int>, given array<int>, taken array<struct<i:int,r:long,j:int>>"
+#: Documents of a shard whose roots one task hashes; a power of two, so that the blocks are subtrees of the shard's tree.
+BLOCK = 4096
+_MANIFEST = "shard int, n_docs long, n_tokens long, start long, root binary"
+_STORED = "d long, r long, shard int, block int, pos long, n long, root binary, digests array<binary>, ends array<int>, own binary, own_index array<int>, given array<int>, taken array<struct<i:int,r:long,j:int>>"
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -120,7 +123,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     ordered = whole.unionByName(notes).repartitionByRange(partitions(spark), "d", "r").sortWithinPartitions("d", "r", "kind", "i").withColumn("shard", F.spark_partition_id())
 
     def run(batches):
-        pos, gives, takes = 0, [], []
+        pos, rank, gives, takes = 0, 0, [], []
         for batch in batches:
             out = []
             for x in batch.to_pylist():
@@ -136,27 +139,40 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
                         z = _packed(b"".join(raw[4 * starts[i] : 4 * ends[i]] for i in own))
                     else:
                         z = x["z"]
-                    out.append((x["d"], x["r"], x["shard"], pos, x["n"], merkle(list(x["digests"])), x["digests"], ends, z, own, gives, takes))
-                    pos, gives, takes = pos + x["n"], [], []
+                    out.append((x["d"], x["r"], x["shard"], rank // BLOCK, pos, x["n"], merkle(list(x["digests"])), x["digests"], ends, z, own, gives, takes))
+                    pos, rank, gives, takes = pos + x["n"], rank + 1, [], []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _SCHEMA)], names=_SCHEMA.names)
 
     ordered.mapInArrow(run, _STORED).write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/documents")
     _drop(made)
-    back = spark.read.schema(_STORED).parquet(f"{path}/documents").select("shard", "d", "r", "n", "root", "pos")
-
-    def root(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = [(p, v) for b in batches for p, v in zip(b.column("pos").to_pylist(), b.column("root").to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([merkle([v for _, v in sorted(at)])])], ["shard", "root"])
-
-    roots = back.select("shard", "pos", "root").groupBy("shard").applyInArrow(root, "shard int, root binary")
     # one row per shard
-    held = back.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
-    manifest = held.withColumn("start", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).join(roots, "shard")
+    held = _shards(spark.read.schema(_STORED).parquet(f"{path}/documents"))
+    manifest = held.withColumn("start", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens"))
     manifest.select("shard", "n_docs", "n_tokens", "start", "root").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
-_SCHEMA = pa.schema([("d", pa.int64()), ("r", pa.int64()), ("shard", pa.int32()), ("pos", pa.int64()), ("n", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())), ("own", pa.binary()), ("own_index", pa.list_(pa.int32())), ("given", pa.list_(pa.int32())), ("taken", pa.list_(pa.struct([("i", pa.int32()), ("r", pa.int64()), ("j", pa.int32())])))])
+def _shards(store: DataFrame) -> DataFrame:
+    """(shard, n_docs, n_tokens, root) as the documents' rows have them: roots of blocks first, then of shards."""
+
+    def root(by: list[str], order: str):
+        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, docs, tokens = [], 0, 0
+            for b in batches:
+                at += zip(b.column(order).to_pylist(), b.column("root").to_pylist())
+                docs += sum(b.column("n_docs").to_pylist())
+                tokens += sum(b.column("n_tokens").to_pylist())
+            values = [*[k.as_py() for k in key], docs, tokens, merkle([v for _, v in sorted(at)])]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [*[pa.int32()] * len(by), pa.int64(), pa.int64(), pa.binary()])], [*by, "n_docs", "n_tokens", "root"])
+
+        return run
+
+    rows = store.select("shard", "block", "pos", F.lit(1).cast("long").alias("n_docs"), F.col("n").alias("n_tokens"), "root")
+    blocks = rows.groupBy("shard", "block").applyInArrow(root(["shard", "block"], "pos"), "shard int, block int, n_docs long, n_tokens long, root binary")
+    return blocks.groupBy("shard").applyInArrow(root(["shard"], "block"), "shard int, n_docs long, n_tokens long, root binary")
+
+
+_SCHEMA = pa.schema([("d", pa.int64()), ("r", pa.int64()), ("shard", pa.int32()), ("block", pa.int32()), ("pos", pa.int64()), ("n", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())), ("own", pa.binary()), ("own_index", pa.list_(pa.int32())), ("given", pa.list_(pa.int32())), ("taken", pa.list_(pa.struct([("i", pa.int32()), ("r", pa.int64()), ("j", pa.int32())])))])
 
 
 def _drop(staged: DataFrame) -> None:
@@ -169,12 +185,14 @@ def _drop(staged: DataFrame) -> None:
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Rebuild every document from the files and verify it: (doc_id, start, n_tokens, ids_crc32[, ids]).
 
-    Every chunk's digest and every document's Merkle root
-    is computed anew; a difference raises (``verify_shards`` does the same for shards). ``ids``: little-endian uint32 bytes.
+    The manifest's counts and shard roots are checked at once, by the documents' roots; when the rows are
+    computed, every chunk's digest and every document's Merkle root is. A difference raises. ``ids``: little-endian uint32 bytes.
     """
     short_batches(spark)
     store = spark.read.schema(_STORED).parquet(f"{path}/documents")
-    manifest = spark.read.schema("shard int, n_docs long, n_tokens long, start long, root binary").parquet(f"{path}/manifest")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    if broken := [r.shard for r in verify_shards(spark, path).limit(9).collect()]:
+        raise ValueError(f"shards that differ from the manifest: {broken}")
 
     def give(batches):
         for batch in batches:
@@ -230,12 +248,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
 
 def verify_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Shards whose root over their documents' roots isn't the manifest's; none if the store is whole."""
-    back = spark.read.schema(_STORED).parquet(f"{path}/documents").select("shard", "pos", "root")
-
-    def root(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = [(p, v) for b in batches for p, v in zip(b.column("pos").to_pylist(), b.column("root").to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([merkle([v for _, v in sorted(at)])])], ["shard", "found"])
-
-    found = back.groupBy("shard").applyInArrow(root, "shard int, found binary")
-    return spark.read.parquet(f"{path}/manifest").join(found, "shard", "left").where("NOT root <=> found").select("shard")
+    """Shards whose documents, ids or root over their documents' roots aren't the manifest's; none if the store is whole."""
+    found = _shards(spark.read.schema(_STORED).parquet(f"{path}/documents")).select("shard", *[F.col(c).alias(f"found_{c}") for c in ("n_docs", "n_tokens", "root")])
+    same = F.col("n_docs").eqNullSafe(F.col("found_n_docs")) & F.col("n_tokens").eqNullSafe(F.col("found_n_tokens")) & F.col("root").eqNullSafe(F.col("found_root"))
+    return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").join(found, "shard", "full").where(~same).select("shard")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
@@ -11,101 +10,77 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Words that a worker remembers; beyond them the ones not seen of late are forgotten, which changes no result.
-MEMORY = 250_000
-#: Characters of text whose words are looked up together.
-STEP_CHARS = 1_000_000
+MEMORY = 400_000
 
 
-class Memo:
-    """word -> bytes of its ids (little-endian uint32), filled by batches."""
+class Memo(dict):
+    """word -> bytes of its ids (little-endian uint32), filled as words turn up."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str]]):
-        self.encode, self.split, self.known, self.old = encode, split, {}, {}
+    def __init__(self, encode: Callable[[str], bytes], split: Callable[[str], list[str]]):
+        super().__init__()
+        self.encode, self.split, self.old = encode, split, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.encode(word)
+        self[word] = got
+        return got
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, by its words."""
-        held: list[list[str]] = []
-        size = 0
+        known = self.__getitem__
         for text in texts:
-            held.append(self.split(text) if text else [])
-            size += len(text or "")
-            if size > STEP_CHARS:
-                yield from self.join(held)
-                held, size = [], 0
-        yield from self.join(held)
-
-    def join(self, held: list[list[str]]) -> list[bytes]:
-        if len(self.known) > MEMORY:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = [w for w in set().union(*held) if w not in known]
-        for w in new:
-            if w in old:
-                known[w] = old[w]
-        new = [w for w in new if w not in known]
-        known.update(zip(new, self.encode(new)))
-        return [b"".join(map(known.__getitem__, words)) for words in held]
+            yield b"".join(map(known, self.split(text))) if text else b""
+            if len(self) > MEMORY:
+                self.old = dict(self)
+                self.clear()
 
 
 _memos: dict[str, Memo] = {}
 
 
-#: Letters, then signs: two pre-tokens, or one if either is missing. What special tokens are made of is left out.
-_SIMPLE = re.compile(r"([^\W\d_]*)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+#: Signs that are one pre-token with their like; what contractions and special tokens are made of is left out.
+_SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Letters beyond this one, which a tokenizer's tables may not know, go through the library whole.
+_LAST = "\u04ff"
 
-_PROBES = ("the", "thorreou", "größe", "été", "ñandú", "日本", "naïve", ".", "...", "%%%", "!?", "zzxxqq", "привет")
+_PROBES = ("the", "thorreou", "größe", "été", "ñandú", "naïve", ".", "...", "%%%", "!?", "zzxxqq", "привет")
 
 
 def tokenizers_memo(path: str) -> Memo:
     """Words for a tokenizer whose pre-tokenizer drops white space, so that no token depends on two words.
 
-    Where it also marks word ends in its tokens, letters and signs of a simple
-    word are looked up apart, and many are encoded in one call; all other words
-    go through the library one by one.
+    Where it also marks word ends in its tokens, the letters of a simple word
+    and the signs after them are looked up apart and go straight to the model;
+    all other words go through the library.
     """
     if path not in _memos:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        if suffix:
-            ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        parts: dict[str, bytes] = {"": b""}
-
-        def learn(new: list[str]) -> None:
-            if direct:
-                for w in new:
-                    parts[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))]).tobytes()
-                return
-            for i in range(0, len(new), 256):
-                part = new[i : i + 256]
-                ids = np.asarray(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-                raw, at = ids.tobytes(), (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-                if len(at) == len(part):
-                    parts.update(zip(part, (raw[x:y] for x, y in zip([0, *at], at))))
-                else:  # some letter isn't one to the library
-                    parts.update((w, single(w)) for w in part)
+        tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
 
         def single(word: str) -> bytes:
             return np.asarray(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-        def encode(words: list[str]) -> list[bytes]:
-            if len(parts) > 2 * MEMORY:
-                parts.clear()
-                parts[""] = b""
-            split = [m.groups() if suffix and (m := _SIMPLE.fullmatch(w)) and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w == w.lower() else None for w in words]
-            new = {x for s in split if s for x in s if x not in parts}
-            learn(list(new))
-            return [parts[s[0]] + parts[s[1]] if s else single(w) for w, s in zip(words, split)]
+        def straight(part: str) -> bytes:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(alphabet)
+            return array("I", [t.id for t in tokenize(shown)]).tobytes()
+
+        def encode(word: str) -> bytes:
+            letters = word.rstrip(_SIGNS)
+            if not letters:
+                return straight(word) if word else b""
+            if letters.isalpha() and letters.islower() and (letters.isascii() or max(letters) <= _LAST and letters == letters.lower() and unicodedata.is_normalized("NFC", letters)):
+                return straight(letters) if letters == word else memo[letters] + memo[word[len(letters) :]]
+            return single(word)
 
         # lower-case letters and signs in bytes' own alphabet may go straight to the model, if it then says the same
-        tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
-        direct = suffix and all(single(w) == array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))]).tobytes() for w in _PROBES)
+        direct = getattr(tokenizer.model, "end_of_word_suffix", None) and all(single(w) == straight(w) for w in _PROBES)
         lower = single("ABÇ") == single("abç")
-        _memos[path] = Memo(encode, (lambda t: split_words(lowered(t))) if lower else split_words)
+        memo = _memos[path] = Memo(encode if direct else single, (lambda t: split_words(lowered(t))) if lower else split_words)
     return _memos[path]
 
 

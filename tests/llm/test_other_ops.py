@@ -112,6 +112,44 @@ def test_store_round_trip(spark, tmp_path):
     assert stored[1] < stored[0]  # shared chunks are kept once
 
 
+def test_store_of_odd_rows_and_broken_stores(spark, tmp_path, monkeypatch):
+    from pricewright.llm import token_store
+
+    monkeypatch.setattr(token_store, "BLOCK", 4)
+    path, at = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/s"
+    schema = "doc_id bigint, text string, n int, shard int, root string"
+    write_store(spark.createDataFrame([], schema), at, path)
+    assert read_store(spark, at).count() == 0
+    rows = [(None, "null id", 1, 2, "x"), (5, "same same", 1, 2, "x"), (5, "same same", 1, 2, "x"), (3, None, None, None, None), *[(i, f"text {i}", 1, 2, "x") for i in range(10, 40)]]
+    write_store(spark.createDataFrame(rows, schema), at, path)
+    got = sorted(((r.doc_id or 0), r.start, r.n_tokens) for r in read_store(spark, at).collect())
+    assert [g[0] for g in got] == [0, 3, 5, 5, *range(10, 40)] and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:])) and got[0][1] == 0
+    whole = spark.read.parquet(f"{at}/documents")
+    whole.where("d IS NULL OR d <> 20").write.parquet(f"{at}2/documents")
+    spark.read.parquet(f"{at}/manifest").write.parquet(f"{at}2/manifest")
+    with pytest.raises(ValueError, match="manifest"):
+        read_store(spark, f"{at}2")
+
+
+def test_ids_of_all_kinds_of_characters_equal_the_library():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    from pricewright.llm.token_words import tokenizers_memo
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, memo, rng = Tokenizer.from_file(path), tokenizers_memo(path), random.Random(3)
+    kinds: dict[str, list[str]] = {}
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]):
+        kinds.setdefault(unicodedata.category(c), []).append(c)
+    some = ["½É", "Y²", "語½", "a½b", "Σς", "İx"]
+    some += [x for c in map(chr, [*range(1, 0x600), *range(0x600, 0xD800, 97)]) for x in (f"a{c}b", f"{c}.", f"X{c}")]
+    some += ["".join(rng.choice(kinds[rng.choice(list(kinds))]) if rng.random() < 0.5 else rng.choice("abcXYZ éß½²Σς.,!'<|> \n0123") for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    for text, raw in zip(some, memo.texts(some)):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_cuts_depend_on_content_alone():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 40_000, 20_000).astype(np.uint32)

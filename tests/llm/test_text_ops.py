@@ -223,11 +223,11 @@ def test_least_margin_is_the_smallest_that_keeps_clean_text_below_zero():
 def test_toxicity_of_a_small_corpus_and_repeated_ids(spark):
     rng = random.Random(7)
     texts = [words(rng, 60) + (" vilewort vilewort vilewort" if i % 5 == 0 else "") for i in range(60)]
-    table = docs(spark, texts + texts[:3], [*range(60), 0, 0, None])
+    table = docs(spark, texts + texts[:3], [*range(60), 60, 60, None])
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)] * 2 + [(None, 1), (3, None)], "doc_id bigint, toxic int")
     got = [(r.doc_id, r.predicted) for r in score(table, fit(table, labels)).collect()]
-    assert len(got) == 63 and got.count((0, 1)) == 1 and got.count((0, 0)) == 2
-    assert {i for i, p in got if p} == set(range(0, 60, 5))
+    assert len(got) == 63 and got.count((60, 1)) == 1 and got.count((60, 0)) == 1
+    assert {i for i, p in got if p} == set(range(0, 61, 5))
 
 
 # ---- language ID
