@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import short_batches, small, stage, steps
@@ -20,6 +21,9 @@ COUNTERS = 1 << 20
 PART = 64
 #: Sketch keys per document for the first grouping.
 KEYS = 6
+#: 64-bit words of a document's parity bitmap.
+BITS = 16
+_STEPS = (np.arange(2 * KEYS, dtype=np.uint64) * np.uint64((1 << 64) // (2 * KEYS))).astype(np.uint64)
 
 
 def _sets(texts: list[str | None], k: int):
@@ -47,26 +51,31 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
                 whole = np.concatenate(sets)
                 held += np.bincount((whole >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
         for i, part in enumerate(np.split(held, 64)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype("<i8").tobytes()])], ["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([squeeze(part)])], ["i", "v"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS // 64, np.int64)
         for batch in batches:
             for v in batch.column("v").to_pylist():
-                total += np.frombuffer(v, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["i", "v"])
+                total += np.frombuffer(zlib.decompress(v), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([squeeze(total)])], ["i", "v"])
 
-    parts = docs.mapInArrow(count, "i int, v binary").groupBy("i").applyInArrow(add, "i int, v binary").collect()  # 64 rows, 8 MB
+    squeeze = lambda x: zlib.compress(x.astype("<i8").tobytes(), 1)
+    # a tree: sums of a hundredth of the tasks each, then of those; 64 rows, 8 MB at most, come to the driver
+    some = docs.mapInArrow(count, "i int, v binary").withColumn("j", (F.spark_partition_id() % 100).cast("int"))
+    parts = some.groupBy("i", "j").applyInArrow(add, "i int, v binary").groupBy("i").applyInArrow(add, "i int, v binary").collect()
     out = np.zeros(COUNTERS, np.int64)
     for row in parts:
-        out[row.i * (COUNTERS // 64) : (row.i + 1) * (COUNTERS // 64)] = np.frombuffer(row.v, "<i8")
+        out[row.i * (COUNTERS // 64) : (row.i + 1) * (COUNTERS // 64)] = np.frombuffer(zlib.decompress(row.v), "<i8")
     return out
 
 
 def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``docs(d, t)`` -> (d, n, digest of the set, sketch keys, prefix).
+    """``docs(d, t)`` -> (d, n, digest of the set, sketch keys, prefix, parity bitmap).
 
     ``prefix``: the rarest shingles, so many that any two linked sets share one of them.
+    ``keys``: the hash range is cut into ``2 * KEYS`` steps; from each on, the next shingle counts, and two of them make a key.
+    ``bits``: for each of ``64 * BITS`` places whether an odd number of shingles falls there.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))
 
@@ -78,11 +87,11 @@ def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 for s in sets:
                     n = len(s)
                     if not n:
-                        out.append((0, 0, 0, [], []))
+                        out.append((0, 0, 0, [], [], []))
                         continue
                     h1, h2 = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist()
-                    low = [int(mix(s ^ _ROLE[30 + i]).min()) for i in range(2 * KEYS)]
-                    keys = [int(np.array([(low[2 * i] * 31 + low[2 * i + 1]) % (1 << 64)], np.uint64).view(np.int64)[0]) ^ i for i in range(KEYS)]
+                    low = s[np.searchsorted(s, _STEPS) % n]
+                    keys = (mix(low[::2] * _ROLE[30] + low[1::2] * _ROLE[31]) ^ np.arange(KEYS, dtype=np.uint64)).view(np.int64)
                     m = n - (percent * n + 99) // 100 + 1
                     f = count[(s >> np.uint64(44)).astype(np.int64)]
                     if m < n:
@@ -90,11 +99,37 @@ def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     else:
                         near = np.arange(n)
                     pick = near[np.lexsort((s[near], f[near]))][:m]
-                    out.append((n, h1, h2, keys, s[pick].view(np.int64)))
+                    odd = np.bincount((s % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
+                    out.append((n, h1, h2, keys, s[pick].view(np.int64), np.packbits(odd.astype(np.uint8)).view("<i8")))
             c = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([d, pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.list_(pa.int64()))], ["d", "n", "h1", "h2", "keys", "prefix"])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([d, *[pa.array(c[i], pa.int64()) for i in range(3)], *[pa.array(c[i], longs) for i in range(3, 6)]], ["d", "n", "h1", "h2", "keys", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "d long, n long, h1 long, h2 long, keys array<long>, prefix array<long>")
+    return docs.mapInArrow(run, "d long, n long, h1 long, h2 long, keys array<long>, prefix array<long>, bits array<long>")
+
+
+def distance(a: str, b: str) -> Column:
+    """Places in which the bitmaps of two columns differ: never more than the shingles that one set has and the other hasn't."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, BITS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
+def matrix(marks: DataFrame, members: DataFrame) -> DataFrame:
+    """(token, c, p, lo, hi, bits, r): the prefix shingles that several groups share, with each part that holds them.
+
+    ``lo``, ``hi``: sizes of the holders of that shingle in the part. ``bits``: the
+    bitmap of one member of the part, ``r``: how far the others' bitmaps are from it at most.
+    """
+    own = stage(marks.join(small(members), "d").select("c", "p", "d", "n", "bits"), "parts")
+    centre = own.groupBy("c", "p").agg(F.min("d").alias("z"), F.count("*").alias("m"))
+    alone = own.join(centre.where("m = 1").select("c", "p"), ["c", "p"]).select("c", "p", "bits", F.lit(0).cast("long").alias("r"))
+    middle = own.join(centre.where("m > 1").select("c", "p", F.col("z").alias("d")), ["c", "p", "d"]).select("c", "p", F.col("bits").alias("middle"))
+    several = own.join(middle, ["c", "p"]).groupBy("c", "p").agg(F.first("middle").alias("bits"), F.max(distance("bits", "middle")).cast("long").alias("r"))
+    parts = stage(alone.unionByName(several), "parts")
+    rows = marks.select("d", "n", "prefix").join(small(members), "d").select("c", "p", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition("token")
+    # the same columns on both sides, so that the rows are dealt once
+    again = rows.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("n").alias("x"), F.min("p").alias("y")).where("a < b AND x > 0 AND y >= 0").select("token")
+    held = rows.join(again.hint("shuffle_hash"), "token", "left_semi").groupBy("token", "c", "p").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return held.join(parts, ["c", "p"])
 
 
 def _with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -214,15 +249,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = group.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     group = group.join(size, "component").select(F.col("node").alias("d"), F.col("component").alias("c"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("p"))
     members = stage(reps.select("d").join(group, "d", "left").select("d", F.coalesce("c", "d").alias("c"), F.coalesce("p", F.lit(0)).alias("p")), "groups")
-    matrix = (
-        marks.select("d", "n", "prefix")
-        .join(small(members), "d").select("c", "p", "n", F.explode("prefix").alias("token"))
-        .select("token", "c", "p", F.col("n").cast("int").alias("n"))
-        .repartition("token")
-        .groupBy("token", "c", "p").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    )
-    side = lambda i: matrix.select("token", *[F.col(x).alias(f"{x}{i}") for x in ("c", "p", "lo", "hi")])
-    found = side(1).join(side(2), "token").where(F.expr(f"c1 < c2 AND 100 * hi1 >= {percent} * lo2 AND 100 * hi2 >= {percent} * lo1"))
+    shared = stage(matrix(marks, members), "matrix")
+    side = lambda i: shared.select("token", *[F.col(x).alias(f"{x}{i}") for x in ("c", "p", "lo", "hi", "bits", "r")])
+    sizes = F.expr(f"c1 < c2 AND 100 * hi1 >= {percent} * lo2 AND 100 * hi2 >= {percent} * lo1")
+    # of linked sets, (100 - percent) / (100 + percent) of both sizes at most are in one alone
+    close = (100 + percent) * (distance("bits1", "bits2") - F.col("r1") - F.col("r2")) <= (100 - percent) * (F.col("hi1") + F.col("hi2"))
+    found = side(1).join(side(2).withColumnRenamed("token", "token2"), (F.col("token") == F.col("token2")) & sizes & close)
     found = found.groupBy("c1", "p1", "c2", "p2").agg(F.count("*").alias("shared"), F.min("lo1").alias("lo1"), F.max("hi1").alias("hi1"), F.min("lo2").alias("lo2"), F.max("hi2").alias("hi2"))
     # linked sets share so many prefix shingles, by the sizes that the shared ones' holders have
     least = F.ceil(percent * (F.col("lo1") + F.col("lo2")) / (100 + percent)) - F.ceil(percent * F.greatest("hi1", "hi2") / 100) + 1
