@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of units in product names, Latin and Cyrillic.
-UNIT = r"(?iU)(\d+(?:[.,]\d+)?)\s*(мкг|мг|г|мл|л|ме|%|mcg|mg|g|ml|l|iu)(?![\p{L}\d])"
-PACK = r"(?iU)(?:№|n)\s*(\d+)"
-PRICE_NOISE = (r"(?iU)\s*\d+(?:[.,]\d+)?\s*(?:тг|тенге|kzt)\b\.?", r"(?iU)\s*цена\b.*$")
+# Patterns of units, counts and prices in product names, Latin and Cyrillic.
+UNIT = r"(?iU)(\d+(?:[.,]\d+)?)\s*(мкг|мг|гр|г|мл|л|ме|%|mcg|mg|g|ml|l|iu)(?![\p{L}\d])"
+PACK = r"(?iU)(?<![\p{L}\d])(?:№|n|no|номер)\s*(\d+)"
+PACKS = (
+    r"(?iU)(?:№|n)\s*\d+\b",
+    r"(?iU)\b\d+\s*(?:таб|табл|капс|кап|амп|фл|пак|саше|шт)\b",
+    r"(?iU)\b\d+(?:[,.]\d+)?\s*(?:мл|л|г|мг|мкг|кг)\b",
+    r"(?iU)\b\d+(?:[,.]\d+)?\s*(?:мг|мкг|г)\s*/\s*(?:мл|г)\b",
+    r"(?iU)\b\d+(?:[,.]\d+)?\s*%\s*\d*(?:[,.]\d+)?\s*(?:г|мл)?\b",
+)
+PRICE_NOISE = (r"(?iU)(?<!\w)\d+(?:[,.]\d+)?\s*(?:тг|тенге|kzt|₸)(?!\w)", r"(?iU)\bцена\b.*$")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -62,9 +69,33 @@ def barcode(c: Column) -> Column:
 
 
 def text_key(c: Column) -> Column:
-    """Lower case, ё as е, everything but letters, digits and underscores as one space."""
+    """Lower case, ё as е, everything but letters, digits, underscores and the signs of numbers (``%/.,+-``) as one space."""
     low = F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е")
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"(?U)[^\w]+", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"(?U)[^\w%/.,+-]+", " "), r"(?U)\s+", " "))
+
+
+def sku_key(c: Column) -> Column:
+    """``barcode:`` and 6 to 18 digits, else ``sku:`` and the letters, digits, dashes and underscores; nothing left: empty."""
+    t = F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    bar, key = barcode(t), F.regexp_replace(text_key(t), r"[^a-zа-я0-9_-]+", "")
+    return F.when(bar != "", F.concat(F.lit("barcode:"), bar)).when(key != "", F.concat(F.lit("sku:"), key)).otherwise("")
+
+
+def sku_lookup(c: Column) -> Column:
+    """Distinct keys by which an id is looked up: bare, padded, then its other spellings."""
+    bare = external_sku(c.cast("string"))
+    return F.array_distinct(F.filter(F.concat(F.array(F.when(bare != "", bare), sku18(c.cast("string"))), sku_variants(c.cast("string"))), lambda x: x.isNotNull()))
+
+
+def pack_signature_of(name: Column) -> Column:
+    """Counts, volumes, doses and shares in a name: the first six different ones, blanks taken out, joined by ``|``."""
+    return packs_in(text_key(name))
+
+
+def packs_in(t: Column) -> Column:
+    """``pack_signature_of`` for a text key; it is read once per pattern."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in PACKS]))
+    return F.array_join(F.slice(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\s+", ""))), 1, 6), "|")
 
 
 def name_key(c: Column) -> Column:
@@ -74,9 +105,11 @@ def name_key(c: Column) -> Column:
 
 
 def without_price_noise(c: Column) -> Column:
+    """The text key of a name whose prices and ``цена ...`` tail are taken out."""
+    c = F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е")
     for pattern in PRICE_NOISE:
-        c = F.regexp_replace(c, pattern, "")
-    return F.trim(c)
+        c = F.regexp_replace(c, pattern, " ")
+    return text_key(c)
 
 
 def identity_key(*cs: Column) -> Column:
@@ -127,7 +160,8 @@ def safe_cell(c: Column) -> Column:
 
 def header_key(c: Column) -> Column:
     """A table header for look-up: lower case, words joined by one space."""
-    return text_key(F.translate(c, "_\n", "  "))
+    low = F.translate(F.lower(F.coalesce(F.translate(c, "_\n", "  "), F.lit(""))), "ё", "е")
+    return F.trim(F.regexp_replace(low, r"(?U)[^\w]+", " "))
 
 
 def strip_tags(c: Column) -> Column:

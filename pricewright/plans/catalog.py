@@ -407,10 +407,9 @@ def q_sku_normalize(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.sku18(F.concat(F.lit("zz9_"), x)).alias("sku18"), text.sku_loose(x).alias("loose"), text.external_sku(F.concat("p_brand", F.lit(" "), "p_size")).alias("external"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(substr(text, 1, 300)), 'ё', 'е'), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), 'ё', 'е'), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}%/.,+-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM documents")
 def q_text_key(t: Tables) -> DataFrame:
-    """The key of a document's opening, as titles are that long."""
-    return t.documents.select("doc_id", text.text_key(F.substring("text", 1, 300)).alias("key"))
+    return t.documents.select("doc_id", text.text_key(F.col("text")).alias("key"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE trim(p_name) || '|' || trim(p_brand) || '|' || p_size END AS key FROM part")
@@ -449,9 +448,9 @@ def q_status_stale(t: Tables) -> DataFrame:
     return x.select("event_type", "last", (F.timestamp_diff("SECOND", F.col("last"), F.col("now")) > 60).alias("stale"))
 
 
-@query("WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(substr(text, 1, 300)), '[^0-9a-z]+', ' ', 'g')), ' '), lambda x: length(x) >= 3)) AS t FROM documents), j AS (SELECT a.doc_id, a.t AS t1, b.t AS t2 FROM w a JOIN w b ON b.doc_id = a.doc_id + 1) SELECT doc_id, CASE WHEN least(len(t1), len(t2)) > 0 THEN round(len(list_intersect(t1, t2)) / least(len(t1), len(t2)), 6) ELSE 0 END AS overlap FROM j")
+@query("WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' '), lambda x: length(x) >= 3)) AS t FROM documents), j AS (SELECT a.doc_id, a.t AS t1, b.t AS t2 FROM w a JOIN w b ON b.doc_id = a.doc_id + 1) SELECT doc_id, CASE WHEN least(len(t1), len(t2)) > 0 THEN round(len(list_intersect(t1, t2)) / least(len(t1), len(t2)), 6) ELSE 0 END AS overlap FROM j")
 def q_token_overlap(t: Tables) -> DataFrame:
-    ascii_ = F.regexp_replace(F.lower(F.substring("text", 1, 300)), r"[^0-9a-z]+", " ")
+    ascii_ = F.regexp_replace(F.lower("text"), r"[^0-9a-z]+", " ")
     w = t.documents.select("doc_id", text.tokens(ascii_).alias("t"))
     return w.alias("a").join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u")), "doc_id").select("doc_id", F.round(text.token_overlap(F.col("t"), F.col("u")), 6).alias("overlap"))
 

@@ -102,12 +102,6 @@ def q_multi_price_audit(t: Tables) -> DataFrame:
     return t.offers.groupBy("product").agg(F.count("*").alias("rows_seen"), F.min("cents").alias("lo"), F.max("cents").alias("hi"), F.countDistinct("cents").alias("prices"))
 
 
-@query("SELECT event_id, CASE WHEN value IS NULL THEN 'missing_price' WHEN value <= 0 THEN 'invalid_price' WHEN event_type = 'view' THEN 'missing_name' ELSE 'saved' END AS outcome FROM events")
-def q_skip_reasons(t: Tables) -> DataFrame:
-    v = F.col("value")
-    return t.events.select("event_id", F.when(v.isNull(), "missing_price").when(v <= 0, "invalid_price").when(F.col("event_type") == "view", "missing_name").otherwise("saved").alias("outcome"))
-
-
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def q_skip_unchanged(t: Tables) -> DataFrame:
     now = t.events.agg(F.max("ts").alias("now"))
