@@ -105,9 +105,9 @@ def q_mode_candidates(t: Tables) -> DataFrame:
     return _admitted(t).groupBy("format").agg(F.count("*").alias("candidates"), F.countDistinct("product").alias("products"), F.round(F.sum("p").cast("double"), 2).alias("total"))
 
 
-@query(_MODES + "SELECT format, product, round(min(p), 2) AS reference FROM adm WHERE p > 0 GROUP BY ALL")
+@query(_MODES + "SELECT format, product, round(min(p), 4) AS reference FROM adm WHERE p > 0 GROUP BY ALL")
 def q_zone_references(t: Tables) -> DataFrame:
-    return modes.zone_references(_admitted(t)).withColumn("reference", F.round(F.col("reference").cast("double"), 2))
+    return modes.zone_references(_admitted(t)).withColumn("reference", F.col("reference").cast("double"))
 
 
 @query("WITH r AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS product, l_suppkey % 5 AS format, 'r' || (l_suppkey % 3) AS region, 'c' || (l_suppkey % 4) AS rival, CASE l_linenumber % 3 WHEN 0 THEN 'emit:1' WHEN 1 THEN '' ELSE 'k2' END AS key, CASE WHEN l_linenumber % 2 = 0 THEN 'regional' ELSE 'all' END AS scope, 10 * (1 + l_orderkey % 4) AS pct, l_suppkey % 7 AS s, l_quantity AS v FROM lineitem), "
