@@ -87,13 +87,14 @@ def sample(values: Column, limit: int = 5) -> Column:
 
 
 def pairs(c: Column) -> Column:
-    """``k:v; k:v`` as a map."""
-    return F.str_to_map(F.regexp_replace(F.trim(c), r"\s*;\s*", ";"), F.lit(";"), F.lit(":"))
+    """``k:v; k:v`` as a map; parts without a colon are left out."""
+    parts = F.filter(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.contains(x, F.lit(":")))
+    return F.map_from_entries(F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v"))))
 
 
 def region_status(c: Column) -> Column:
-    """The word after ``status:`` in a region's text; else empty."""
-    return F.regexp_extract(F.lower(c), r"status:\s*([\w-]+)", 1)
+    """What stands after ``status:`` in a region's text, up to a semicolon; else empty."""
+    return F.trim(F.regexp_extract(c, r"status:([^;]*)", 1))
 
 
 def filled_row(cells: Column) -> Column:

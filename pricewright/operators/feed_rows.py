@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import makers, text
+from ..functions import dates, makers, text
 from .dedup import storage_key
 
 # The names under which feeds carry a field, in order of trust.
@@ -155,3 +155,47 @@ def aggregate_in_branch(rows: DataFrame, keys: list[str], price: str, stock: str
     """One row per branch and product: lowest price, summed stock, and of the other columns the first filled by price."""
     rest = [c for c in rows.columns if c not in (*keys, price, stock)]
     return rows.groupBy(*keys).agg(F.min(price).alias(price), F.sum(stock).alias(stock), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(price).alias("p"), F.col(c).cast("string").alias("v")))).alias(c) for c in rest])
+
+
+# Columns of flat exports and where their values stand.
+FLAT = {
+    "row_id": "id", "goods_id": "goodsId", "filial_id": "filialId", "filial_name": "filial.name", "distributor_goods_id": "distributorGoodsId", "goods_full_name": "goods.fullName", "distributor_goods_name": "distributorGoodsName",
+    "distributor_producer": "distributorProducer", "price": "goodsPrice", "stock": "stored", "shelf_life": "shelfLife", "batch": "batch", "price_status": "priceStatus", "pack": "pack", "box": "box", "multiplicity": "multiplicity", "min_order": "minOrder",
+}
+SHORT = ("goods_id", "filial_id", "distributor_goods_id", "goods_full_name", "distributor_goods_name", "price", "stock")
+
+
+def flatten(rows: DataFrame, layout: dict[str, str] = FLAT, columns: tuple[str, ...] | None = None, raw: bool = False) -> DataFrame:
+    """Nested feed rows as flat texts, trimmed, empty ones null; dates as yyyy-MM-dd. Fields that a feed lacks are null.
+
+    ``columns``: some of the layout's; ``raw``: with the whole row as JSON.
+    """
+    have = {c: F.col(f"`{c}`") for c in rows.columns}
+    for c in rows.columns:
+        if isinstance(rows.schema[c].dataType, StructType):
+            have |= {f"{c}.{f}": F.col(f"`{c}`")[f] for f in rows.schema[c].dataType.names}
+    out = []
+    for name in columns or layout:
+        v = F.nullif(F.trim(have[layout[name]].cast("string")), F.lit("")) if layout[name] in have else F.lit(None).cast("string")
+        out.append((F.nullif(dates.expiry(v), F.lit("")) if name == "shelf_life" else v).alias(name))
+    return rows.select(*out, *([F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("raw_json")] if raw else []))
+
+
+# Header words by which a sheet is known, every group needs one of its words.
+SHEETS = {
+    "products": (("код", "code", "product_code"), ("наименование", "name", "товар"), ("себестоимость", "cost", "закуп")),
+    "price_formats": (("цф", "price_format", "format", "код цф"), ("филиал", "branch", "наименование", "name")),
+    "markup_ranges": (("стоимость от", "cost_from", "нижняя граница"), ("наценка", "markup", "markup_percent")),
+    "universal_lists": (("тип", "type"), ("статус", "status"), ("название", "name")),
+}
+
+
+def sheet_type(headers: Column) -> Column:
+    """What a sheet holds by its header words, first come first; null for none."""
+    out = F.lit(None).cast("string")
+    for kind, groups in reversed(SHEETS.items()):
+        fits = F.lit(True)
+        for words in groups:
+            fits = fits & F.arrays_overlap(headers, F.array(*map(F.lit, words)))
+        out = F.when(fits, kind).otherwise(out)
+    return out

@@ -241,11 +241,9 @@ def q_lateral_key_cascade(t: Tables) -> DataFrame:
     return linkage.key_cascade(i, p, [("k1", "goods"), ("k2", "sku"), ("k3", "dist")], "p_partkey").select("l_orderkey", "l_linenumber", "matched_id", "match_kind")
 
 
-@query(sql("products", "offers") + ", k AS (SELECT product, ord % 97 AS k FROM offers) SELECT k, min(product) AS product FROM k GROUP BY k HAVING count(DISTINCT product) = 1 UNION ALL SELECT product + 1000000, min(source) FROM offers GROUP BY product HAVING count(DISTINCT source) = 1")
+@query("SELECT l_orderkey AS k, min(l_suppkey) AS v FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def q_unambiguous_backfill(t: Tables) -> DataFrame:
-    a = linkage.unambiguous(t.offers.select((F.col("ord") % 97).alias("k"), "product"), ["k"], "product")
-    b = linkage.unambiguous(t.offers.select((F.col("product") + 1000000).alias("k"), F.col("source").alias("product")), ["k"], "product")
-    return a.unionByName(b)
+    return linkage.unambiguous(t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("v")), ["k"], "v")
 
 
 @query("SELECT a.id AS part_id, b.id AS supplier_id, count(*) AS shared_keys FROM (SELECT p_partkey AS id, unnest([p_size % 10, 100 + p_partkey % 40]) AS k FROM part) a JOIN (SELECT s_suppkey AS id, unnest([s_suppkey % 10, 100 + s_suppkey % 40]) AS k FROM supplier) b ON a.k = b.k GROUP BY ALL")
@@ -268,16 +266,20 @@ def q_semi_filter(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def q_anti_stale(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders.select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return t.customer.join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT n_nationkey, r_regionkey, CASE WHEN upper(n_name) = upper(r_name) THEN 'exact' ELSE 'substring' END AS how FROM nation, region WHERE contains(upper(n_name), left(upper(r_name), 2)) OR contains(upper(r_name), left(upper(n_name), 2))")
+@query("SELECT n_nationkey, s_suppkey, CASE WHEN n_name = s THEN 'exact' ELSE 'substring' END AS how FROM nation, (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' north' ELSE 'elsewhere' END AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE contains(s, n_name) OR contains(n_name, s)")
 def q_branch_theta(t: Tables) -> DataFrame:
-    n, r = F.upper("n_name"), F.upper("r_name")
-    pairs = t.nation.join(F.broadcast(t.region), F.contains(n, F.left(r, F.lit(2))) | F.contains(r, F.left(n, F.lit(2))))  # 5 regions
-    return pairs.select("n_nationkey", "r_regionkey", F.when(n == r, "exact").otherwise("substring").alias("how"))
+    """Branches of suppliers against the names of nations, equal or one within the other."""
+    home = t.supplier.join(F.broadcast(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("home"))), "s_nationkey")  # 25 nations
+    k = F.col("s_suppkey") % 3
+    s = home.select("s_suppkey", F.when(k == 0, F.col("home")).when(k == 1, F.concat("home", F.lit(" north"))).otherwise("elsewhere").alias("branch"))
+    pairs = s.join(F.broadcast(t.nation), F.contains("branch", F.col("n_name")) | F.contains("n_name", F.col("branch")))
+    return pairs.select("n_nationkey", "s_suppkey", F.when(F.col("branch") == F.col("n_name"), "exact").otherwise("substring").alias("how"))
 
 
 @query(sql(*OR) + "SELECT product, min(cents) FILTER (region = 0) AS r0, min(cents) FILTER (region = 1) AS r1, min(cents) FILTER (region = 2) AS r2, min(cents) FILTER (region = 3) AS r3, min(cents) FILTER (region = 4) AS r4 FROM regional GROUP BY product")

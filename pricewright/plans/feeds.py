@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import makers, text
 from ..operators import feed_rows
+from ..sinks import exports
 from .catalog import query
 from .tables import Tables
 
@@ -118,3 +119,28 @@ def q_maker_decisions(t: Tables) -> DataFrame:
         "p_partkey", F.col("a").alias("maker"), makers.resolve_pair(F.lit(" нет"), F.col("name"), al)["maker"].alias("resolved"), makers.extract(F.col("name"), al).alias("extracted"),
         known(makers.decision(F.col("a"), F.col("b"), F.col("score"))).alias("decision"), known(makers.required(F.col("a"), F.col("b"), F.col("score"))).alias("required"), makers.same(F.col("a"), F.col("b")).alias("same"),
     )
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_partkey END AS goods_id, 'n' || l_suppkey AS filial_name, CASE WHEN l_linenumber % 2 = 0 THEN strftime(l_shipdate, '%Y-%m-%d') END AS shelf_life, NULL AS batch, CAST(l_quantity AS INT) AS stock FROM lineitem")
+def q_flat_rows(t: Tables) -> DataFrame:
+    k = F.col("l_linenumber")
+    rows = t.lineitem.select(
+        (F.col("l_orderkey") * 10 + k).alias("id"), F.when(k % 3 != 0, F.col("l_partkey")).alias("goodsId"), F.struct(F.concat(F.lit(" n"), "l_suppkey").alias("name")).alias("filial"), F.lit(" ").alias("batch"), F.col("l_quantity").cast("int").alias("stored"),
+        F.when(k % 2 == 0, F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T00:00:00Z"))).otherwise("0001-01-01T00:00:00").alias("shelfLife"), F.struct(F.lit("x").alias("fullName")).alias("goods"),
+    )
+    x = feed_rows.flatten(rows)
+    return x.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("goods_id").cast("bigint").alias("goods_id"), "filial_name", "shelf_life", "batch", F.col("stock").cast("int").alias("stock"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'products' WHEN 1 THEN 'price_formats' WHEN 2 THEN 'markup_ranges' WHEN 3 THEN 'universal_lists' END AS kind FROM supplier")
+def q_sheet_types(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey") % 5
+    words = F.when(k == 0, F.array(*map(F.lit, ("код", "name", "закуп")))).when(k == 1, F.array(*map(F.lit, ("цф", "филиал")))).when(k == 2, F.array(*map(F.lit, ("cost_from", "наценка")))).when(k == 3, F.array(*map(F.lit, ("type", "status", "name")))).otherwise(F.array(F.lit("code")))
+    return t.supplier.select("s_suppkey", feed_rows.sheet_type(words).alias("kind"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN chr(39) || '=' || p_name ELSE p_name END AS name, p_size, min(l_quantity) FILTER (l_returnflag = 'A') AS \"A\", min(l_quantity) FILTER (l_returnflag = 'R') AS \"R\" FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_name, p_size")
+def q_export_wide(t: Tables) -> DataFrame:
+    priced = t.part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("="), "p_name")).otherwise(F.col("p_name")).alias("name"), "p_size")
+    rivals = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("title"), F.col("l_quantity").alias("price"))
+    return exports.safe(exports.wide(priced, rivals, "p_partkey", ["A", "R"]))

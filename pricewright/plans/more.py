@@ -10,25 +10,25 @@ from .catalog import query
 from .tables import Tables, sql
 
 
-@query("SELECT f.format, s.source, CASE WHEN e.a IS NULL THEN 'create' WHEN e.a THEN 'reuse' ELSE 'reactivate' END AS action FROM (SELECT DISTINCT o_orderpriority AS format FROM orders) f CROSS JOIN (SELECT n_nationkey AS source FROM nation) s LEFT JOIN (SELECT o_orderpriority AS format, n_nationkey AS source, n_nationkey % 2 = 0 AS a FROM (SELECT DISTINCT o_orderpriority FROM orders), nation WHERE n_nationkey % 3 <> 0) e USING (format, source)")
+@query("SELECT f.format, s.source, CASE WHEN e.a IS NULL THEN 'create' WHEN e.a THEN 'reuse' ELSE 'reactivate' END AS action FROM (SELECT DISTINCT o_orderpriority AS format FROM orders) f CROSS JOIN (SELECT n_nationkey AS source FROM nation) s LEFT JOIN (SELECT o_orderpriority AS format, n_nationkey AS source, n_nationkey % 2 = 0 AS a FROM (SELECT DISTINCT o_orderpriority FROM orders), nation WHERE n_regionkey <> 2) e USING (format, source)")
 def q_propagate_assignments(t: Tables) -> DataFrame:
     formats = t.orders.select(F.col("o_orderpriority").alias("format")).distinct()
     sources = t.nation.select(F.col("n_nationkey").alias("source"))
-    existing = formats.join(F.broadcast(sources.where("source % 3 <> 0")), how="cross").withColumn("is_active", F.col("source") % 2 == 0)  # 25 nations
+    existing = formats.join(F.broadcast(t.nation.where("n_regionkey <> 2").select(F.col("n_nationkey").alias("source"))), how="cross").withColumn("is_active", F.col("source") % 2 == 0)  # 25 nations
     return assignments.propagate(existing, formats, sources)
 
 
-@query("SELECT coalesce(e.k, s.k) AS k, coalesce(e.c, 1.0) AS coefficient, s.k IS NOT NULL AS is_active, CASE WHEN e.k IS NULL THEN 'inserted' WHEN s.k IS NULL THEN 'deactivated' ELSE 'kept' END AS change FROM (SELECT s_suppkey AS k, s_suppkey % 5 + 0.5 AS c FROM supplier WHERE s_suppkey % 2 = 0) e FULL JOIN (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 3 = 0) s ON e.k = s.k")
+@query("SELECT coalesce(e.k, s.k) AS k, coalesce(e.c, 1.0) AS coefficient, s.k IS NOT NULL AS is_active, CASE WHEN e.k IS NULL THEN 'inserted' WHEN s.k IS NULL THEN 'deactivated' ELSE 'kept' END AS change FROM (SELECT s_suppkey AS k, s_suppkey % 5 + 0.5 AS c FROM supplier WHERE s_acctbal > 0) e FULL JOIN (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey < 12) s ON e.k = s.k")
 def q_reconcile_assignments(t: Tables) -> DataFrame:
-    s = t.supplier.select(F.col("s_suppkey").alias("k"))
-    e = s.where("k % 2 = 0").withColumn("coefficient", F.col("k") % 5 + F.lit(0.5))
-    return assignments.reconcile(e, s.where("k % 3 = 0"), ["k"], F.lit(1.0))
+    s = t.supplier.select(F.col("s_suppkey").alias("k"), "s_acctbal", "s_nationkey")
+    e = s.where("s_acctbal > 0").select("k", (F.col("k") % 5 + F.lit(0.5)).alias("coefficient"))
+    return assignments.reconcile(e, s.where("s_nationkey < 12").select("k"), ["k"], F.lit(1.0))
 
 
-@query("WITH n AS (SELECT o_orderkey, 'c' || o_custkey AS k1, 'p' || o_orderpriority AS k2 FROM orders WHERE o_orderkey % 2 = 0), o AS (SELECT 'c' || c_custkey AS k, min(c_nationkey) AS v FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 1 UNION ALL SELECT 'p1-URGENT', 99) SELECT o_orderkey, coalesce(a.v, b.v) AS v FROM n LEFT JOIN o a ON a.k = k1 LEFT JOIN o b ON b.k = k2")
+@query("WITH n AS (SELECT o_orderkey, 'c' || o_custkey AS k1, 'p' || o_orderpriority AS k2 FROM orders), o AS (SELECT 'c' || c_custkey AS k, min(c_nationkey) AS v FROM customer WHERE c_acctbal > 0 GROUP BY 1 UNION ALL SELECT 'p1-URGENT', 99) SELECT o_orderkey, coalesce(a.v, b.v) AS v FROM n LEFT JOIN o a ON a.k = k1 LEFT JOIN o b ON b.k = k2")
 def q_carry_over_matches(t: Tables) -> DataFrame:
-    n = t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("p"), "o_orderpriority")).alias("keys"))
-    o = t.customer.where("c_custkey % 4 <> 0").select(F.array(F.concat(F.lit("c"), "c_custkey")).alias("old_keys"), F.col("c_nationkey").cast("bigint").alias("v"))
+    n = t.orders.select("o_orderkey", F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("p"), "o_orderpriority")).alias("keys"))
+    o = t.customer.where("c_acctbal > 0").select(F.array(F.concat(F.lit("c"), "c_custkey")).alias("old_keys"), F.col("c_nationkey").cast("bigint").alias("v"))
     one = t.spark.createDataFrame([(["p1-URGENT"], 99)], "old_keys array<string>, v bigint")
     return assignments.carry_over(n, o.unionByName(one), (F.col("keys"), F.col("old_keys")), "v", "o_orderkey").select("o_orderkey", "v")
 
@@ -53,16 +53,16 @@ def q_merge_duplicates(t: Tables) -> DataFrame:
     return assignments.merge_duplicates(o, ["o_custkey", "o_orderpriority"], "o_orderkey", F.desc("o_orderdate"), F.asc("o_orderkey"))
 
 
-@query("WITH a AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_orderkey % 2 = 1) SELECT f, n, 'template' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT f, n, 'applied' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+@query("WITH a AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_linestatus <> 'F') SELECT f, n, 'template' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT f, n, 'applied' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 def q_rule_application(t: Tables) -> DataFrame:
-    x = t.lineitem.select("l_orderkey", F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("n"))
-    return assignments.applied_differs(x.where("l_orderkey % 2 = 0").drop("l_orderkey"), x.where("l_orderkey % 2 = 1").drop("l_orderkey"))
+    x = t.lineitem.select("l_linestatus", F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("n"))
+    return assignments.applied_differs(x.where("l_linestatus = 'F'").drop("l_linestatus"), x.where("l_linestatus <> 'F'").drop("l_linestatus"))
 
 
-@query("WITH u AS (SELECT o_custkey AS k, o_orderkey % 4 AS v, 1 AS s FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_custkey, o_orderkey % 4, 2 FROM orders WHERE o_orderkey % 11 = 0) SELECT k, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS v, CASE WHEN count(DISTINCT v) > 1 THEN 'conflict' WHEN count(DISTINCT s) = 2 THEN 'agreed' ELSE 'single' END AS status FROM u GROUP BY k")
+@query("WITH u AS (SELECT l_orderkey AS k, l_suppkey % 4 AS v, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 2 END AS s FROM lineitem) SELECT k, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS v, CASE WHEN count(DISTINCT v) > 1 THEN 'conflict' WHEN count(DISTINCT s) = 2 THEN 'agreed' ELSE 'single' END AS status FROM u GROUP BY k")
 def q_reference_mapping(t: Tables) -> DataFrame:
-    o = t.orders.select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 4).alias("v"), "o_orderkey")
-    return assignments.reference_ids(o.where("o_orderkey % 7 = 0"), o.where("o_orderkey % 11 = 0"), "k", "v")
+    x = t.lineitem.select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 4).alias("v"), "l_returnflag")
+    return assignments.reference_ids(x.where("l_returnflag = 'R'"), x.where("l_returnflag <> 'R'"), "k", "v")
 
 
 @query("SELECT l_suppkey, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS has_returned, max(CASE WHEN l_discount > 0.09 THEN 1 ELSE 0 END) AS has_discount, count(DISTINCT l_partkey) AS skus FROM lineitem GROUP BY 1")

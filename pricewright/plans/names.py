@@ -69,7 +69,7 @@ def q_tolerant_json(t: Tables) -> DataFrame:
     ids = values.id_list(bad(F.concat(F.lit("["), k, F.lit(", null, 7]"))))
     return t.orders.select(
         "o_orderkey", F.aggregate(ids, F.lit(0), lambda a, x: a + x).cast("bigint").alias("ids"), F.array_join(values.json_strings(bad(F.lit('[" a", "", "b"]'))), ",").alias("strings"),
-        F.try_element_at(values.json_map(bad(F.concat(F.lit('{"c": "'), "o_custkey", F.lit('"}')))), F.lit("c")).alias("cust"), F.element_at(values.pairs(F.concat(F.lit("a:1; r:v"), k)), "r").alias("region"), values.region_status(F.lit("x; Status: Open")).alias("status"),
+        F.try_element_at(values.json_map(bad(F.concat(F.lit('{"c": "'), "o_custkey", F.lit('"}')))), F.lit("c")).alias("cust"), F.element_at(values.pairs(F.concat(F.lit("a:1; r:v"), k)), "r").alias("region"), values.region_status(F.lit("x; status: open ; y:1")).alias("status"),
         F.array_join(values.sample(F.array(F.col("o_orderpriority"), F.lit(" "), F.concat(F.lit(" "), "o_orderpriority"), F.lit("x"))), ",").alias("sample"), values.filled_row(F.array(F.lit(" "), F.when(k % 2 == 0, "y"))).alias("filled"),
     )
 

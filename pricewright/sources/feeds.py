@@ -19,9 +19,14 @@ WRAPPERS = ("items", "data", "result", "rows")
 
 
 def _head(spark: SparkSession, path: str, n: int = 4096) -> bytes:
-    """The first bytes of one file, read by Spark so that any store will do."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("h")).first()
-    return bytes(row.h) if row else b""
+    """The first bytes of one file and no more, by the file system that Spark has for its path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(n, fs.getFileStatus(at).getLen())))
+    finally:
+        stream.close()
 
 
 def sniff(spark: SparkSession, path: str) -> str:

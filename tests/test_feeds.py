@@ -1,14 +1,17 @@
 """Readers, scalars, linkage and delivery."""
 
+import difflib
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from pricewright.functions import dates, numbers, text
-from pricewright.operators import dedup, linkage, structure
+from pricewright.functions import dates, makers, numbers, text
+from pricewright.operators import dedup, feed_rows, linkage, matching, structure
+from pricewright.sinks import exports
 from pricewright.sources import feeds
 from pricewright.streaming import snapshots
 
@@ -73,7 +76,7 @@ def one(spark, c, *values):
 
 @pytest.mark.parametrize(("c", "value", "want"), [
     (lambda: text.sku18(F.col("v0")), "a_b_123", "000000000000000123"), (lambda: text.sku18(F.col("v0")), "abc", None), (lambda: text.composite_sku(F.col("v0")), "1_2_3", "1_2_3"), (lambda: text.composite_sku(F.col("v0")), "1__3", None),
-    (lambda: text.text_key(F.col("v0")), "  Ёлка-2!", "елка 2"), (lambda: text.barcode(F.col("v0")), "12-34-56", "123456"), (lambda: text.barcode(F.col("v0")), "12", ""), (lambda: text.safe_cell(F.col("v0")), "=1+1", "'=1+1"), (lambda: text.sku_loose(F.col("v0")), "000", "0"),
+    (lambda: text.text_key(F.col("v0")), "  Ёлка-2!  5%", "елка-2 5%"), (lambda: text.barcode(F.col("v0")), "12-34-56", "123456"), (lambda: text.barcode(F.col("v0")), "12", ""), (lambda: text.safe_cell(F.col("v0")), "=1+1", "'=1+1"), (lambda: text.sku_loose(F.col("v0")), "000", "0"),
     (lambda: text.pack_count(F.col("v0")), "таб №20", 20), (lambda: text.column_title(F.col("v0")), "A — a — B", "A — B"), (lambda: text.strip_tags(F.col("v0")), "<p>a&nbsp;<b>b</b></p>", "a b"),
     (lambda: dates.expiry(F.col("v0")), "2027-01-31T00:00:00Z", "2027-01-31"), (lambda: dates.expiry(F.col("v0")), "0001-01-01T00:00:00", ""), (lambda: numbers.tolerant_decimal(F.col("v0"), "double"), "1 234,50 тг", 1234.5), (lambda: numbers.tolerant_decimal(F.col("v0"), "double"), "1.234,5", 1234.5),
     (lambda: numbers.percent_points(F.col("v0")).cast("double"), "5,5", 5.5), (lambda: numbers.percent_points(F.col("v0")).cast("double"), "0.055", 5.5), (lambda: numbers.flag(F.col("v0")), "Да", True),
@@ -95,9 +98,63 @@ def test_key_cascade_and_assignment(spark):
     products = spark.createDataFrame([(10, "g1", "s2"), (9, "g1", None)], "id int, pg string, ps string")
     got = {r.i: (r.matched_id, r.match_kind) for r in linkage.key_cascade(items, products, [("g", "pg"), ("s", "ps")], "id").collect()}
     assert got == {1: (9, "g"), 2: (10, "s"), 3: (None, None)}
-    scored = spark.createDataFrame([("b", 1, 7, 90.0), ("b", 1, 8, 80.0), ("b", 2, 7, 95.0), ("b", 2, 8, 70.0)], "k string, p int, i int, score double")
-    assert sorted((r.p, r.i) for r in linkage.assign_one_to_one(scored, "k", "p", "i").collect()) == [(1, 7), (2, 8)]
+    scored = spark.createDataFrame([(1, 7, 90.0), (1, 8, 80.0), (2, 7, 95.0), (2, 8, 70.0), (3, None, 1.0)], "p int, i int, score double")
+    assert sorted((r.p, r.i) for r in linkage.assign_in_order(scored, "p", "i", -F.col("score")).collect()) == [(1, 7), (2, 8)]
     assert linkage.similarity("alpha beta", "beta alpha") == 100 and linkage.partial_ratio("abc", "xxabcxx") == 100
+    assert linkage.token_set_ratio("a b", "b a c") == 100 and linkage.token_set_ratio("a b", "a c") == 100 * difflib.SequenceMatcher(None, "a b", "a c").ratio()
+
+
+def test_assignment_equals_a_walk_in_order(spark):
+    rng = random.Random(4)
+    pairs = [(p, i, rng.randint(0, 5)) for p in range(60) for i in range(40) if rng.random() < 0.2]
+    used, want = set(), []
+    for p in range(60):
+        own = sorted((c, i) for q, i, c in pairs if q == p and i not in used)
+        if own:
+            used.add(own[0][1])
+            want.append((p, own[0][1]))
+    got = linkage.assign_in_order(spark.createDataFrame(pairs, "p int, i int, cost int"), "p", "i", F.col("cost"))
+    assert sorted((r.p, r.i) for r in got.collect()) == want
+    assert linkage.assign_in_order(spark.createDataFrame([], "p int, i int, cost int"), "p", "i", F.col("cost")).count() == 0
+
+
+def test_candidate_pool_and_ratios_equal_brute_force(spark):
+    rng = random.Random(5)
+    names = [f"{rng.choice(['alfa', 'alfa beta', 'gamma', 'alpha'])} {rng.choice(['forte', 'neo', ''])}".strip() + f" {rng.choice([5, 10])}мг" for _ in range(40)]
+    makers_ = [rng.choice(["m1", "m2", ""]) for _ in names]
+    rows = spark.createDataFrame([(k, n, m, float(rng.randint(1, 9))) for k, (n, m) in enumerate(zip(names, makers_))], "product int, name string, maker string, price double")
+    x = matching.prepared(rows, "name", "maker")
+    got = {}
+    for r in matching.pool(x, x.withColumnRenamed("product", "item"), 5).collect():
+        got.setdefault(r.product, []).append((r["rank"], r.item))
+    kept = {r.product: (r.base, r.struct.dosage, r.maker_key, r.price) for r in x.collect()}
+    for p, (base, dose, maker, _) in kept.items():
+        found = []
+        for i, (b, d, m, price) in kept.items():
+            near = base == b or base.split(" ")[0] == b.split(" ")[0] or base[:5] == b[:5] or maker == m != ""
+            score = linkage.base_similarity(base, b)
+            if near and dose == d and (maker == m or "" in (maker, m) or score >= 90):
+                found.append((maker != m, -score, price, i))
+        assert sorted(got.get(p, [])) == [(k + 1, f[-1]) for k, f in enumerate(sorted(found)[:5])]
+    pair = spark.createDataFrame([("BRAND", "BRANDT"), ("", "A"), ("X", "X"), (None, "X")], "a string, b string")
+    assert [r.r for r in pair.select(makers.ratio("a", "b").alias("r")).collect()] == [10 / 11, 0.0, 1.0, 0.0]
+
+
+def test_feed_rows_of_the_fixture(spark, tmp_path):
+    goods = "goods struct<id: bigint, fullName: string, number: string, producer: string, price: double>"
+    rows = [
+        (1, 5, "11885.77", None, 42.0, "emit-sku-1", "ООО Лек", (9, "Препарат", "N10", "x", None)), (2, 5, None, None, 1.0, "s", "m", (9, "A", None, None, None)), (3, 5, "0", 10.0, 1.0, "s", "m", (9, "A", None, None, None)),
+        (4, 5, "7", None, 1.0, "s", "m", (9, " ", None, None, None)), (5, None, None, 3.0, 1.0, "", "m", (9, "B 100 тг", None, None, 4.0)), (6, None, "5", None, None, None, None, None),
+    ]
+    raw = spark.createDataFrame(rows, f"id bigint, goodsId bigint, goodsPrice string, goodsPriceWithUserDiscount double, stored double, distributorGoodsId string, distributorProducer string, {goods}")
+    got = {r.source_item_id: r for r in feed_rows.normalize(raw, F.lit(8), F.lit("f"), makers.alias_array({"ЛЕК": "LEK"})).collect()}
+    assert [got[i].skip_reason for i in range(1, 7)] == [None, "missing_price", "invalid_price", "missing_name", None, "missing_name"]
+    first = got[1]
+    assert (first.price, first.manufacturer, first.variant_key, first.pack_signature, first.stock, first.filial_id) == (11885.77, "LEK", "sku:emit-sku-1", "number:n10", 42.0, 8)
+    assert (got[5].goods_id, got[5].name_key, got[5].price) == (9, "b", 3.0)
+    exports.write_csv(feed_rows.flatten(raw, columns=feed_rows.SHORT).coalesce(1), str(tmp_path / "out"))
+    text_ = next((tmp_path / "out").glob("*.csv")).read_text(encoding="utf-8")
+    assert text_.startswith("\ufeffgoods_id;filial_id;") and len(text_.splitlines()) == 7
 
 
 def test_dedup_and_guards(spark, tmp_path):
