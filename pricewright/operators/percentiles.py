@@ -13,9 +13,13 @@ def _levels(levels: tuple[int, ...]):
 
 
 def percentiles(prices: DataFrame, keys: list[str], price: str, source: str, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """(keys, percentile, value, n_prices, n_sources) over positive prices; linear interpolation, as PERCENTILE.INC."""
+    """(keys, percentile, value, n_prices, n_sources) over positive prices; linear interpolation, as PERCENTILE.INC.
+
+    One shuffle: equal prices and sources of a group combine before it, and a group
+    has no more sources than there are suppliers (a distinct count would deal the rows out twice).
+    """
     good = prices.where(F.col(price) > 0)
-    out = good.groupBy(*keys).agg(F.percentile(price, _levels(levels)).alias("v"), F.count("*").alias("n_prices"), F.countDistinct(source).alias("n_sources"))
+    out = good.groupBy(*keys).agg(F.percentile(price, _levels(levels)).alias("v"), F.count("*").alias("n_prices"), F.size(F.collect_set(source)).cast("bigint").alias("n_sources"))
     return out.select(*keys, "n_prices", "n_sources", F.posexplode("v").alias("i", "value")).withColumn("percentile", F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1)).drop("i")
 
 
@@ -31,7 +35,7 @@ def percentile_of_percentiles(values: DataFrame, keys: list[str], levels: tuple[
 def regular_percentiles(prices: DataFrame, keys: list[str], price: str, source: str, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Percentiles with the count and ends of the sample."""
     good = prices.where(F.col(price) > 0)
-    out = good.groupBy(*keys).agg(F.percentile(price, _levels(levels)).alias("v"), F.count("*").alias("sample_count"), F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.countDistinct(source).alias("source_count"))
+    out = good.groupBy(*keys).agg(F.percentile(price, _levels(levels)).alias("v"), F.count("*").alias("sample_count"), F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.size(F.collect_set(source)).cast("bigint").alias("source_count"))
     return out.select(*keys, "sample_count", "min_price", "max_price", "source_count", F.posexplode("v").alias("i", "value")).withColumn("percentile", F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1)).drop("i")
 
 
