@@ -79,15 +79,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("d", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
         .groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("dead"))
     )
-    text = F.split("t", "\n", -1)
-    blank = lambda x: F.trim(F.regexp_replace(x, r"[\t\r ]+", " ")) == ""
-    gone = lambda x, i: F.exists("dead", lambda r: (i >= r["a"]) & (i <= r["b"])) & ~blank(x)
-    return (
-        docs.join(dead, "d", "left")
-        .withColumn("kept", F.when(F.col("dead").isNull(), F.col("t")).otherwise(F.array_join(F.filter(text, lambda x, i: ~gone(x, i)), "\n")))
-        .select(
-            F.col("d").alias(id_col), F.col("kept").alias(text_col),
-            F.when(F.col("t").isNull(), 0).otherwise(F.size(text)).alias("n_lines"),
-            F.when(F.col("dead").isNull(), 0).otherwise(F.size(F.filter(text, lambda x, i: gone(x, i)))).alias("n_removed"),
-        )
+    # a one-row generator, so that the lines are split once and then looked up by place
+    x = docs.join(dead, "d", "left").select("d", "t", "dead", F.inline(F.array(F.struct(F.split("t", "\n", -1).alias("ls")))))
+    blank = lambda i: F.trim(F.regexp_replace(F.get("ls", i), r"[\t\r ]+", " ")) == ""
+    gone = F.filter(F.flatten(F.transform("dead", lambda r: F.sequence(r["a"], r["b"]))), lambda i: ~blank(i))
+    x = x.select("d", "t", "ls", F.inline(F.array(F.struct(gone.alias("gone")))))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone"), lambda i: F.get("ls", i)), "\n")
+    return x.select(
+        F.col("d").alias(id_col), F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept).alias(text_col),
+        F.when(F.col("t").isNull(), 0).otherwise(F.size("ls")).alias("n_lines"), F.coalesce(F.array_size("gone"), F.lit(0)).alias("n_removed"),
     )

@@ -78,6 +78,27 @@ def test_line_dedup_finds_the_run_behind_shorter_ones(spark):
     assert got[2] == texts[2] and got[3] == filler[3]
 
 
+def test_line_dedup_behind_many_slices_and_in_long_documents(spark):
+    rng = random.Random(8)
+    run = [words(rng, 5, 10**6) for _ in range(10)]
+    texts = {d: "\n".join([words(rng, 40, 10**6), *run[d % 5 : d % 5 + 6]]) for d in range(300)}
+    texts |= {1000: "\n".join(run), 1001: "\n".join(run), 1002: "", 1003: None}
+    got = {r.doc_id: r.text for r in line_dedup(docs(spark, list(texts.values()), list(texts))).collect()}
+    assert got == brute_dedup(texts, 50) and got[1001] == "" and got[1000] == texts[1000]
+    long = {0: "one two three four five\n\n" * 20_000, 1: "\n".join(words(rng, 6, 10**6) for _ in range(20_000)), 2: "head\n" + "one two three four five\n" * 30}
+    at = time.perf_counter()
+    rows = {r.doc_id: r for r in line_dedup(docs(spark, list(long.values()), list(long))).collect()}
+    assert rows[0].text.split() == ["one", "two", "three", "four", "five"] and rows[1].text == long[1] and rows[2].text.split() == ["head"]
+    assert time.perf_counter() - at < 120
+
+
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    run = "\n".join(words(rng, 10) for _ in range(6))
+    got = [tuple(r) for r in line_dedup(docs(spark, [run, run, run, run], [None, 4, 4, 9])).collect()]
+    assert sorted(got, key=str) == sorted([(None, run, 6, 0), (4, run, 6, 0), (4, run, 6, 0), (9, "", 6, 6)], key=str)
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup(docs(spark, ["a"]).limit(0)).count() == 0
 
