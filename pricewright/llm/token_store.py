@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,7 +59,7 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 _STAGED = "d long, r long, n long, digests array<binary>, ends array<int>, z binary"
-#: Documents of a shard whose roots one task hashes; a power of two, so that the blocks are subtrees of the shard's tree.
+#: Documents of a shard whose roots are hashed together, so that no group grows with the shard.
 BLOCK = 4096
 _MANIFEST = "shard int, n_docs long, n_tokens long, start long, root binary"
 _STORED = "d long, r long, shard int, block int, pos long, n long, root binary, digests array<binary>, ends array<int>, own binary, own_index array<int>, given array<int>, taken array<struct<i:int,r:long,j:int>>"
@@ -153,23 +153,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
 
 
 def _shards(store: DataFrame) -> DataFrame:
-    """(shard, n_docs, n_tokens, root) as the documents' rows have them: roots of blocks first, then of shards."""
-
-    def root(by: list[str], order: str):
-        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, docs, tokens = [], 0, 0
-            for b in batches:
-                at += zip(b.column(order).to_pylist(), b.column("root").to_pylist())
-                docs += sum(b.column("n_docs").to_pylist())
-                tokens += sum(b.column("n_tokens").to_pylist())
-            values = [*[k.as_py() for k in key], docs, tokens, merkle([v for _, v in sorted(at)])]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [*[pa.int32()] * len(by), pa.int64(), pa.int64(), pa.binary()])], [*by, "n_docs", "n_tokens", "root"])
-
-        return run
-
-    rows = store.select("shard", "block", "pos", F.lit(1).cast("long").alias("n_docs"), F.col("n").alias("n_tokens"), "root")
-    blocks = rows.groupBy("shard", "block").applyInArrow(root(["shard", "block"], "pos"), "shard int, block int, n_docs long, n_tokens long, root binary")
-    return blocks.groupBy("shard").applyInArrow(root(["shard"], "block"), "shard int, n_docs long, n_tokens long, root binary")
+    """(shard, n_docs, n_tokens, root) as the documents' rows have them: a hash over the roots of each block, then one over the shard's blocks."""
+
+    def over(order: str) -> Column:
+        roots = F.transform(F.array_sort(F.collect_list(F.struct(order, "root"))), lambda x: F.hex(x["root"]))
+        return F.unhex(F.sha2(F.array_join(roots, ""), 256)).alias("root")
+
+    blocks = store.groupBy("shard", "block").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), over("pos"))
+    return blocks.groupBy("shard").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), over("block"))
 
 
 _SCHEMA = pa.schema([("d", pa.int64()), ("r", pa.int64()), ("shard", pa.int32()), ("block", pa.int32()), ("pos", pa.int64()), ("n", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())), ("own", pa.binary()), ("own_index", pa.list_(pa.int32())), ("given", pa.list_(pa.int32())), ("taken", pa.list_(pa.struct([("i", pa.int32()), ("r", pa.int64()), ("j", pa.int32())])))])
