@@ -21,7 +21,7 @@ SPACE = "▁"
 #: Longer words are rare (no spaces for so long) and merged one by one with a heap.
 LONG = 48
 #: Words that a worker remembers; beyond them the ones not seen of late are forgotten, which changes no result.
-MEMORY = 250_000
+MEMORY = 400_000
 #: Characters of text whose words are looked up together.
 STEP_CHARS = 1_000_000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -128,26 +128,23 @@ class Encoder:
                 part = which[k : k + 4096]
                 codes = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).astype(U)
                 bounds = self.merge(codes) if self.bpe else self.viterbi(codes)
-                ends = [np.flatnonzero(b) for b in bounds]
-                flat = np.concatenate(ends)
-                rows = np.repeat(np.arange(len(part)), [len(e) for e in ends])
-                first = np.concatenate([[True], rows[1:] != rows[:-1]])
-                lo = np.where(first, 0, np.concatenate([[0], flat[:-1] + 1]))
+                rows, flat = np.nonzero(bounds)  # by rows; the last character of each ends a piece
+                starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(part)))])
+                lo = np.concatenate([[0], flat[:-1] + 1])
+                lo[starts[:-1]] = 0
                 h = self._hash(codes)[0]
                 power = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, _M)]))
                 hashes = mix(h[rows, flat + 1] - h[rows, lo] * power[flat + 1 - lo] + (flat + 1 - lo).astype(U))
                 at = self.probe(hashes)
-                ids = np.where(at >= 0, self.ids[at], -1)
-                starts = np.concatenate([[0], np.cumsum([len(e) for e in ends])])
-                for row, i in enumerate(part):
-                    own = ids[starts[row] : starts[row + 1]]
-                    if (own >= 0).all():
-                        out[i] = own.astype("<u4").tobytes()
-                    else:
-                        got = []
-                        for p, a, b in zip(own, lo[starts[row] : starts[row + 1]], flat[starts[row] : starts[row + 1]] + 1):
-                            got += [int(p)] if p >= 0 else self.fallback(words[i][a:b])
-                        out[i] = np.array(got, "<u4").tobytes()
+                raw = self.ids[at].astype("<u4").tobytes()
+                edges = (4 * starts).tolist()
+                for i, x, y in zip(part, edges, edges[1:]):
+                    out[i] = raw[x:y]
+                for row in np.unique(rows[at < 0]).tolist():
+                    got: list[int] = []
+                    for k in range(starts[row], starts[row + 1]):
+                        got += [int(self.ids[at[k]])] if at[k] >= 0 else self.fallback(words[part[row]][lo[k] : flat[k] + 1])
+                    out[part[row]] = np.array(got, "<u4").tobytes()
         return out
 
     def fallback(self, text: str) -> list[int]:
@@ -288,9 +285,9 @@ class Memo:
         if len(self.known) > MEMORY:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        new = [w for w in set().union(*held) if w not in known]
-        known.update((w, old[w]) for w in new if w in old)
-        new = [w for w in new if w not in known]
+        new = set().union(*held).difference(known)
+        known.update((w, old[w]) for w in new.intersection(old))
+        new = list(new.difference(old))
         known.update(zip(new, self.encode(new)))
         return [b"".join(map(known.__getitem__, words)) for words in held]
 
