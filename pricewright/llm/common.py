@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 #: Bytes of text that one vectorised step handles at once; a longer single text is handled alone.
 STEP_BYTES = 1_000_000
@@ -17,9 +18,11 @@ BATCH_ROWS = 250
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset a local session gets a temporary one, on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.gettempdir()}/pricewright-shared"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -45,8 +48,12 @@ def stage(df: DataFrame, what: str) -> DataFrame:
 
 
 def small(staged: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Marked for broadcast if it has ``most`` rows at most (of a few numbers each); else left to a shuffled join."""
-    return F.broadcast(staged) if staged.count() <= most else staged
+    """Marked for broadcast if it has ``most`` rows at most, of a few numbers each; else left to a shuffled join.
+
+    Rows with arrays, texts or bytes are of no known size and are never marked.
+    """
+    plain = all(isinstance(f.dataType, (NumericType, BooleanType)) for f in staged.schema)
+    return F.broadcast(staged) if plain and staged.count() <= most else staged
 
 
 def short_batches(spark: SparkSession) -> None:
