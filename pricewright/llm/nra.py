@@ -13,65 +13,72 @@ from pyspark.sql.window import Window
 from .common import stage
 from .vectors import BLOCK_BYTES, packed, unpacked, vectors_of
 
-#: Bytes of a block of queries; shares of the lists that are read before the bounds are looked at.
-QUERY_BYTES, DEPTHS = 1 << 19, (0.125, 0.5, 1.0)
+#: Bytes of a block of queries; candidates that a query may have left when their scores are summed up.
+QUERY_BYTES, FEW = 1 << 19, 64
 
 
-def search(q: np.ndarray, x: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, id, score) of each query's ``k`` best rows of ``x`` but its own; ties go to smaller ids. ``xid`` ascends.
+def search(q: np.ndarray, x: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int) -> Iterator[tuple[int, int, int, float]]:
+    """(query, id, score, depth) of each query's ``k`` best rows of ``x`` but its own; ties go to smaller ids. ``xid`` ascends.
 
     There are two lists per component, descending for positive and ascending for
-    negative query components. When they have been read to some depth, what
-    hasn't been seen in a list lies between its last value read and its far end: that bounds
-    every score from both sides. A query is done when no row outside the ``k`` best
-    lower bounds has an upper bound that reaches them; full scores are summed up
-    for the rows that are still open.
+    negative query components, read in steps: a half, then each time half of what is left. What
+    hasn't been seen in a list lies between its last value read and its far end, and all
+    that is unseen of a row is no longer than its length allows (Cauchy and Schwarz): that bounds
+    every score from both sides. A query is settled when at most ``FEW`` rows have an upper bound that
+    reaches its ``k``-th lower bound; then the scores of those rows are summed up.
+    ``depth``: the share of the lists read by then.
     """
     n, top = len(x), int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1]
     kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64
-    up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
+    up, down, cells = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind), x.astype(kind)
     lists = np.sort(x, 0)
     low, high = lists[0], lists[-1]
     own = qid[:, None] == xid[None, :]
     live = np.arange(len(q))
     worst = np.finfo(kind).min if kind != np.int64 else np.iinfo(kind).min
-    for depth in DEPTHS:
-        read = max(1, int(n * depth))
-        if depth == 1.0 or read >= n or n <= 4 * k:
-            score = (up + down)[live] @ x.T.astype(kind)
-            yield from _best(score, own[live], live, xid, k, worst)
-            return
-        last_top, last_low = lists[n - read], lists[read - 1]
+    left = n
+    while left > n // 32 and n > max(4 * k, FEW) and len(live):
+        left //= 2
+        read = n - left
+        depth, last_top, last_low = read / n, lists[left], lists[read - 1]
         seen_top, seen_low = x >= last_top, x <= last_low
-        upper = up[live] @ np.maximum(x, last_top).T.astype(kind) + down[live] @ np.minimum(x, last_low).T.astype(kind)
-        lower = up[live] @ np.where(seen_top, x, low).T.astype(kind) + down[live] @ np.where(seen_low, x, high).T.astype(kind)
+        a, b = up[live], down[live]
+        upper = a @ np.maximum(x, last_top).T.astype(kind) + b @ np.minimum(x, last_low).T.astype(kind)
+        lower = a @ np.where(seen_top, x, low).T.astype(kind) + b @ np.where(seen_low, x, high).T.astype(kind)
+        if kind != np.int64:
+            part = a @ (cells * seen_top).T + b @ (cells * seen_low).T
+            square, plus = cells * cells, (q[live] >= 0).astype(kind)
+            rest_q = (a * a) @ (~seen_top).T.astype(kind) + (b * b) @ (~seen_low).T.astype(kind)
+            rest_x = square.sum(1) - plus @ (square * seen_top).T - (1 - plus) @ (square * seen_low).T
+            room = np.sqrt(np.maximum(rest_q, 0) * np.maximum(rest_x, 0)) * kind(1.001) + 1
+            upper, lower = np.minimum(upper, part + room), np.maximum(lower, part - room)
         lower[own[live]], upper[own[live]] = worst, worst
         bar = -np.partition(-lower, k - 1, 1)[:, k - 1] if kind != np.int64 else np.sort(lower, 1)[:, -k]
         open_ = upper >= bar[:, None]
-        count = open_.sum(1)
-        done = count <= max(4 * k, 64)
+        done = open_.sum(1) <= max(4 * k, FEW)
         for i in np.flatnonzero(done):
             rows = np.flatnonzero(open_[i] & ~own[live[i]])
             score = (x[rows].astype(np.int64) @ q[live[i]].astype(np.int64)) if kind == np.int64 else (x[rows].astype(np.float64) @ q[live[i]].astype(np.float64))
             for r in np.lexsort((rows, -score))[:k]:
-                yield int(live[i]), int(xid[rows[r]]), int(score[r])
+                yield int(live[i]), int(xid[rows[r]]), int(score[r]), depth
         live = live[~done]
-        if not len(live):
-            return
+    if len(live):
+        score = (up + down)[live] @ cells.T
+        yield from _best(score, own[live], live, xid, k, worst)
 
 
-def _best(score: np.ndarray, own: np.ndarray, live: np.ndarray, xid: np.ndarray, k: int, worst) -> Iterator[tuple[int, int, int]]:
+def _best(score: np.ndarray, own: np.ndarray, live: np.ndarray, xid: np.ndarray, k: int, worst) -> Iterator[tuple[int, int, int, float]]:
     score[own] = worst
     n = score.shape[1]
     for i, row in enumerate(score):
         bar = np.partition(row, n - k)[n - k] if n > k else worst
         rows = np.flatnonzero((row >= bar) & ~own[i])
         for r in rows[np.lexsort((rows, -row[rows]))[:k]]:
-            yield int(live[i]), int(xid[r]), int(row[r])
+            yield int(live[i]), int(xid[r]), int(row[r]), 1.0
 
 
 def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256) -> DataFrame:
-    """(query_id, rank, id, score): each query's ``k`` best inner products with all other rows, components as floor(scale * x).
+    """(query_id, rank, id, score, depth): each query's ``k`` best inner products with all other rows, components as floor(scale * x).
 
     ``is_query`` is a condition on the id column. Candidates lie in blocks of
     bounded size, queries too; a task holds a block of either and keeps ``k``
@@ -88,7 +95,7 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     v = stage(v.withColumn("q", F.coalesce(is_query, F.lit(False))) if id_col == "d" else v.withColumnRenamed("d", id_col).withColumn("q", F.coalesce(is_query, F.lit(False))).withColumnRenamed(id_col, "d"), "vectors")
     sizes = v.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("nq")).collect()  # a row per length
     if not sizes:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long, depth double")
     base, plan = 0, []
     for s in sorted(sizes, key=lambda s: s.dim):
         parts, qparts = max(1, -(-s.n * s.dim * 8 // (2 * BLOCK_BYTES))), max(1, -(-s.nq * s.dim * 4 // QUERY_BYTES))
@@ -111,10 +118,10 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
                 got[r["side"]] = ids, np.floor(scale * data).clip(-(2.0**62), 2.0**62).astype(np.int64)
         if len(got) == 2:
             (xid, x), (qid, q) = got[0], got[1]
-            out = [(int(qid[i]), d, s) for i, d, s in search(q, x, qid, xid, k)]
+            out = [(int(qid[i]), d, s, depth) for i, d, s, depth in search(q, x, qid, xid, k)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["query_id", "d", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["query_id", "d", "score", "depth"])
 
-    found = each.unionByName(to).groupBy("block", "ask").applyInArrow(meet, "query_id long, d long, score long")
+    found = each.unionByName(to).groupBy("block", "ask").applyInArrow(meet, "query_id long, d long, score long, depth double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "d"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("d").alias(id_col), "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("d").alias(id_col), "score", "depth")
