@@ -217,7 +217,7 @@ def q_rule_conflicts(t: Tables) -> DataFrame:
     return pricing.conflicts(_items(t).select("product", "list_type").unionByName(more))
 
 
-@query(_ITEMS + "SELECT product, min(v) AS cap, arg_min(list_id, v) AS list_id, count(*) > 1 AS duplicate FROM items WHERE list_type = 'memorandum' AND v > 0 GROUP BY product")
+@query(_ITEMS + "SELECT product, min(v) AS cap, arg_min(list_id, (v, list_id)) AS list_id, count(*) > 1 AS duplicate FROM items WHERE list_type = 'memorandum' AND v > 0 GROUP BY product")
 def q_cap_lowest(t: Tables) -> DataFrame:
     caps = _items(t).where("list_type = 'memorandum' AND v > 0")
     return caps.groupBy("product").agg(F.min("v").alias("cap"), F.min_by("list_id", F.struct("v", "list_id")).alias("list_id"), (F.count("*") > 1).alias("duplicate"))
