@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import dates, makers, text
+from ..functions.fence import fix
 from .dedup import storage_key
 
 # The names under which feeds carry a field, in order of trust.
@@ -88,10 +89,10 @@ def normalize(rows: DataFrame, filial_id: Column, filial_name: Column, aliases:
     row = Row(rows)
     cost, reason = price(row)
     x = rows.withColumns({"_name": F.trim(row.first(*NAME)), "_maker_raw": row.first(*MAKER), "_cost": cost, "_reason": reason})
-    x = makers.with_maker(x, "_maker_raw", "_name", aliases, "_maker", "")
+    x = fix(makers.with_maker(x, "_maker_raw", "_name", aliases, "_found", ""), _maker=F.col("_found"), _key=text.text_key(F.col("_name")))
     name, cost, maker = F.col("_name"), F.col("_cost"), F.col("_maker")
     small = F.to_json(F.struct(row.get("id").alias("id"), row.first(*GOODS_ID).alias("goodsId"), row.first(*DISTRIBUTOR_ID).alias("distributorGoodsId"), name.alias("distributorGoodsName"), cost.cast("string").alias("price")))
-    x = x.withColumn("_key", text.text_key(name)).withColumn("_json", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    x = x.withColumn("_json", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
     blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
     return x.select(
         F.coalesce("_reason", F.when(F.coalesce(name, F.lit("")) == "", "missing_name")).alias("skip_reason"), whole(row.get("id")).alias("source_item_id"),

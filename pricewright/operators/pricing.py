@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fence import fix
 from ..functions.numbers import FINE, MONEY, as_fraction, from_margin, round_to, zone
 from .ranges import as_of, in_range, in_range_or
 
@@ -44,12 +45,6 @@ def rule_values(items: DataFrame) -> DataFrame:
     return good.groupBy("product").agg(*[F.max(F.when(F.col("list_type") == r, value)).alias(r) for r in RULES], F.min(F.when((F.col("list_type") == "memorandum") & (F.col("value") > 0), F.col("value"))).cast(MONEY).alias("cap"), F.count_if(F.col("list_type") == "memorandum").alias("n_caps"))
 
 
-def fix(rows: DataFrame, **cols: Column) -> DataFrame:
-    """Add columns that are computed once: a later filter or projection can't inline their expressions, which
-    would multiply along a cascade. It is a one-row generator, within the same stage's code."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
-
-
 def price(products: DataFrame, cands: DataFrame, rules: DataFrame, markup: Column, no_comp: Column, bend: Column, fallback_bend: Column, step: Column, mode: Column) -> DataFrame:
     """Price products(product, cost) in one pass of expressions over one row per product.
 
