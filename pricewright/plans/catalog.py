@@ -464,8 +464,6 @@ def q_json_props(t: Tables) -> DataFrame:
 
 @query(None)
 def q_fuzzy_best(t: Tables) -> DataFrame:
-    """The most similar other part of the same brand and size, by gestalt pattern matching; block by block."""
+    """The most similar other part of the same brand and size, by gestalt pattern matching."""
     p = t.part.select("p_partkey", "p_name", F.concat_ws("|", "p_brand", "p_size").alias("k"))
-    q = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "k")
-    scored = p.join(q, "k").where("p_partkey <> other").withColumn("score", linkage.similarity_udf("p_name", "other_name"))
-    return dedup.best_per_key(scored, ["p_partkey"], F.desc("score"), F.asc("other")).select("p_partkey", "other", "score")
+    return linkage.most_similar(p, "p_partkey", "p_name", "k").select("p_partkey", "other", "score")

@@ -118,6 +118,15 @@ def test_assignment_equals_a_walk_in_order(spark):
     assert linkage.assign_in_order(spark.createDataFrame([], "p int, i int, cost int"), "p", "i", F.col("cost")).count() == 0
 
 
+def test_most_similar_equals_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.sample(["red", "ring", "bolt", "blue", "nut"], 2)), f"k{i % 3}") for i in range(40)] + [(99, "alone", "k9")]
+    got = {r.i: (r.other, r.score) for r in linkage.most_similar(spark.createDataFrame(rows, "i int, n string, k string"), "i", "n", "k").collect()}
+    for i, n, k in rows:
+        best = min(((-linkage.similarity(n, m), j) for j, m, l in rows if l == k and j != i), default=None)
+        assert got.get(i) == (best and (best[1], -best[0]))
+
+
 def test_candidate_pool_and_ratios_equal_brute_force(spark):
     rng = random.Random(5)
     names = [f"{rng.choice(['alfa', 'alfa beta', 'gamma', 'alpha'])} {rng.choice(['forte', 'neo', ''])}".strip() + f" {rng.choice([5, 10])}мг" for _ in range(40)]
