@@ -89,6 +89,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 5, 2, 1 in the whole mix: the heavy sources fade out, the light ones come in late."""
+    from .curriculum import mix
+    from .packing import n_words
+
+    schedules = [[(0.0, 7.5), (1.0, 2.5)], [(0.0, 2.0)], [(0.0, 0.5), (0.5, 0.5), (1.0, 2.5)]]
+    got = mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), n_words(F.col("text")), schedules)
+    return got.select("doc_id", "size", "source_size", "target", "taken", "position", F.size("copies").alias("n_copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -100,6 +110,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_curriculum_mix": op11_curriculum_mix,
 }
 
-ORACLE: dict[str, str] = {}
+_MIX = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5('mix:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+ w AS (SELECT *, 3 * source_size AS room, CASE r % 3 WHEN 1 THEN 5.0::DOUBLE WHEN 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
+ o AS (SELECT *, coalesce(sum(room) OVER b, 0)::BIGINT AS room_before, coalesce(sum(w) OVER b, 0) AS w_before FROM w WINDOW b AS (ORDER BY room / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT sum(source_size)::BIGINT AS words, sum(w) AS weights FROM w),
+ l AS (SELECT arg_min((words - room_before) / (weights - w_before), w_before) AS level FROM o, t WHERE room_before + (room / w) * (weights - w_before) >= words),
+ g AS (SELECT source, source_size, r, least(room::DOUBLE, level * w) AS target FROM w, l),
+ p AS (SELECT d.doc_id, size, source_size, r, target, floor(target + 0.5)::BIGINT AS goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+ c AS (SELECT *, greatest(0, least(size, goal - before)) AS c0, greatest(0, least(size, goal - before - source_size)) AS c1, greatest(0, least(size, goal - before - 2 * source_size)) AS c2, CASE WHEN target > 0 THEN before / target END AS u FROM p),
+ y AS (SELECT *, CASE r % 3 WHEN 1 THEN u * 5.0::DOUBLE WHEN 2 THEN u * 2.0::DOUBLE ELSE u * 1.0::DOUBLE END AS y FROM c)
+SELECT doc_id, size, source_size, target, (c0 + c1 + c2)::BIGINT AS taken, (CASE WHEN c0 > 0 THEN 1 ELSE 0 END + CASE WHEN c1 > 0 THEN 1 ELSE 0 END + CASE WHEN c2 > 0 THEN 1 ELSE 0 END)::INTEGER AS n_copies,
+ CASE WHEN c0 > 0 THEN CASE r % 3 WHEN 1 THEN CASE WHEN y > 0 THEN 2 * y / (7.5 + sqrt(greatest(56.25 - 10.0 * y, 0.0))) ELSE 0 END WHEN 2 THEN y / 2.0
+ ELSE CASE WHEN y >= 0.25 THEN 0.5 + CASE WHEN y > 0.25 THEN 2 * (y - 0.25) / (0.5 + sqrt(0.25 + 8.0 * (y - 0.25))) ELSE 0 END WHEN y > 0 THEN 2 * y / (0.5 + 0.5) ELSE 0 END END END AS position FROM y"""
+
+ORACLE: dict[str, str] = {"op11_curriculum_mix": _MIX}
