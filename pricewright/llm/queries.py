@@ -99,6 +99,12 @@ def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken", "position", F.size("copies").alias("n_copies"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
     "op11_curriculum_mix": op11_curriculum_mix,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _MIX = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5('mix:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
@@ -127,4 +134,12 @@ SELECT doc_id, size, source_size, target, (c0 + c1 + c2)::BIGINT AS taken, (CASE
  CASE WHEN c0 > 0 THEN CASE r % 3 WHEN 1 THEN CASE WHEN y > 0 THEN 2 * y / (7.5 + sqrt(greatest(56.25 - 10.0 * y, 0.0))) ELSE 0 END WHEN 2 THEN y / 2.0
  ELSE CASE WHEN y >= 0.25 THEN 0.5 + CASE WHEN y > 0.25 THEN 2 * (y - 0.25) / (0.5 + sqrt(0.25 + 8.0 * (y - 0.25))) ELSE 0 END WHEN y > 0 THEN 2 * y / (0.5 + 0.5) ELSE 0 END END END AS position FROM y"""
 
-ORACLE: dict[str, str] = {"op11_curriculum_mix": _MIX}
+_SEARCH = r"""WITH t AS (SELECT k, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents)),
+ q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+ n AS (SELECT k, doc_id, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+ m AS (SELECT k, doc_id, 75 + (25 * n * docs) // terms AS m FROM n, s), f AS (SELECT k, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY ALL),
+ w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, docs),
+ r AS (SELECT item_id, doc_id, k, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 20"""
+
+ORACLE: dict[str, str] = {"op11_curriculum_mix": _MIX, "op12_lexical_search": _SEARCH}
