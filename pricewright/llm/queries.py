@@ -105,6 +105,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -118,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_curriculum_mix": op11_curriculum_mix,
     "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _MIX = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5('mix:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
@@ -142,4 +150,12 @@ _SEARCH = r"""WITH t AS (SELECT k, doc_id, unnest(regexp_extract_all(translate(t
  r AS (SELECT item_id, doc_id, k, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY ALL)
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 20"""
 
-ORACLE: dict[str, str] = {"op11_curriculum_mix": _MIX, "op12_lexical_search": _SEARCH}
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_NEGATIVES = f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, {_WHOLE} AND label IS NOT NULL),
+ s AS (SELECT q.vec_id AS a, e.vec_id AS o, q.l = e.l AS same, list_dot_product(q.v, e.v)::BIGINT AS s FROM e AS q JOIN e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id),
+ p AS (SELECT a, o, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, o) <= 5)
+SELECT p.a AS anchor_id, p.o AS positive_id, (row_number() OVER (PARTITION BY p.a, p.o ORDER BY s.s DESC, s.o))::INTEGER AS rank, s.o AS negative_id, p.s AS positive_score, s.s AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s QUALIFY rank <= 3"""
+
+ORACLE: dict[str, str] = {"op11_curriculum_mix": _MIX, "op12_lexical_search": _SEARCH, "op13_hard_negatives": _NEGATIVES}
