@@ -104,17 +104,37 @@ def test_key_cascade_and_assignment(spark):
     assert linkage.token_set_ratio("a b", "b a c") == 100 and linkage.token_set_ratio("a b", "a c") == 100 * difflib.SequenceMatcher(None, "a b", "a c").ratio()
 
 
-def test_assignment_equals_a_walk_in_order(spark):
-    rng = random.Random(4)
-    pairs = [(p, i, rng.randint(0, 5)) for p in range(60) for i in range(40) if rng.random() < 0.2]
+def walked(pairs):
+    """The plain walk: products in order, each takes its best free item."""
     used, want = set(), []
-    for p in range(60):
+    for p in sorted({p for p, _, _ in pairs}):
         own = sorted((c, i) for q, i, c in pairs if q == p and i not in used)
         if own:
             used.add(own[0][1])
             want.append((p, own[0][1]))
-    got = linkage.assign_in_order(spark.createDataFrame(pairs, "p int, i int, cost int"), "p", "i", F.col("cost"))
-    assert sorted((r.p, r.i) for r in got.collect()) == want
+    return want
+
+
+@pytest.mark.parametrize("walk", [2_000_000, 40])
+@pytest.mark.parametrize("kind", ["any", "same wish", "chain", "few items"])
+def test_assignment_equals_a_walk_in_order(spark, monkeypatch, walk, kind):
+    rng = random.Random(4)
+    pairs = {
+        "any": [(p, i, rng.randint(0, 5)) for p in range(60) for i in range(40) if rng.random() < 0.2],
+        "same wish": [(p, i, i) for p in range(14) for i in range(14)],
+        "chain": [(p, i, p - i) for p in range(60) for i in (p - 1, p) if i >= 0],
+        "few items": [(p, i, (p * i) % 5) for p in range(30) for i in range(4)],
+    }[kind]
+    monkeypatch.setattr(linkage, "WALK", walk)
+    got = linkage.assign_in_order(spark.createDataFrame(pairs, "p int, i int, cost int").repartition(3), "p", "i", F.col("cost"))
+    assert sorted((r.p, r.i) for r in got.collect()) == walked(pairs) and got.columns == ["p", "i", "cost"]
+
+
+def test_assignment_of_a_block_of_thousands_and_of_nothing(spark):
+    """2,000 products want the same 2,000 items in the same order: 4 million pairs, no round per product."""
+    block = spark.range(2000).select(F.col("id").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("i"))
+    got = linkage.assign_in_order(block, "p", "i", F.col("i"))
+    assert got.where("p = i").count() == 2000 == got.count()
     assert linkage.assign_in_order(spark.createDataFrame([], "p int, i int, cost int"), "p", "i", F.col("cost")).count() == 0
 
 
