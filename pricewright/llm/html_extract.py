@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from html import unescape
 
 import numpy as np
@@ -21,8 +21,10 @@ SOFT = frozenset("aside form".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words at the start or end of a class, id or role that speak against an article.
 NOISE = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar notice notices alert newsletter subscribe subscription signup login social share sharing related recommended recommendations widget pagination pager search contentinfo complementary".split())
-#: Words that no amount of text outweighs: what readers wrote, and what isn't shown with the page.
+#: Words for what readers wrote and what isn't shown with the page.
 STRONG = frozenset("comment comments disqus respond replies reply cookie cookies consent gdpr popup modal overlay skip dialog hidden".split())
+#: Words that say what a page does with such a thing, or that it has none: ``comments-open`` isn't where comments stand.
+STATE = frozenset("open opened closed shown visible enabled disabled on off has have no not non without with is to how free count".split())
 INSIDE = frozenset(("article", "main"))
 #: Elements that a new element of their kind closes, and those that keep it from doing so.
 ITEMS = frozenset("p li dt dd tr option".split())
@@ -35,12 +37,10 @@ _OPEN = re.compile(r"<[a-zA-Z/!?]")
 
 #: Lines in a block of the distribution; characters that a block has to reach for a surge, on pages that have such a block.
 WIDTH, SURGE = 3, 80
-#: An element that is marked as noise counts as text after all if it holds so many times what the rest of the page holds.
+#: A marked element counts as text after all if, on a page without an unmarked article, it holds so many times what is unmarked. A strongly marked one does if there is nothing else.
 OUTWEIGHS = 4
-#: The share of a page's text that an article must hold for the lines outside it to lose their weight.
-SHARE = 1 / 3
-#: Open elements that a tag looks back over; browsers limit nesting likewise.
-DEPTH = 256
+#: The share of a page's text that articles must hold for the lines outside them to weigh less, and how much less those weigh then.
+SHARE, OUTSIDE = 1 / 3, 0.25
 
 
 def _noise(attrs: str) -> int:
@@ -51,32 +51,34 @@ def _noise(attrs: str) -> int:
     for m in _MARK.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").split():
             words = [w.lower() for w in re.split(r"[_\-:.]+|(?<=[a-z])(?=[A-Z])", name) if w]
-            if words:
+            if words and not STATE.intersection(words):
                 ends = {words[0], words[-1]}
-                found = max(found, 2 if ends & STRONG else 1 if ends & NOISE else 0)
+                strong = ends & STRONG and (ends & STRONG != {"hidden"} or len(words) == 1)
+                found = max(found, 2 if strong else 1 if ends & NOISE else 0)
     return found
 
 
 class Page:
-    """The page as lines: text, characters outside links, whether inside an article, and the noise elements around it."""
+    """The page as lines: text, characters outside links, whether inside an article, and the innermost marked element around it (-1: none)."""
 
     def __init__(self, html: str):
-        self.out: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.strong: set[int] = set()  # noise elements that stay noise
-        self.lifted: set[int] = set()  # those that hold an article
-        self.stack: list[tuple[str, int, bool]] = []  # name, kind of noise (2: left out), whether a noise element of its own
-        self.names: Counter[str] = Counter()
-        self.path: tuple[int, ...] = ()
+        self.out: list[tuple[str, int, bool, int]] = []
+        self.around: list[int] = []  # of each marked element: the next one around it
+        self.strong: set[int] = set()
+        self.holders: set[int] = set()  # those that hold an article
+        self.stack: list[tuple[str, int, bool]] = []  # name, 1 if left out, whether marked
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # open elements by name, and those of a kind
+        self.mark = -1
         self.parts: list[str] = []
-        self.linked = self.off = self.inside = self.link = self.roots = 0
+        self.linked = self.off = self.inside = self.link = 0
         self.read(html)
 
     def flush(self, gap: bool = False) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.out.append((text, max(0, len(text) - self.linked), self.inside > 0, self.path))
+            self.out.append((text, max(0, len(text) - self.linked), self.inside > 0, self.mark))
         elif gap and self.out and self.out[-1][0]:
-            self.out.append(("", 0, self.inside > 0, self.path))
+            self.out.append(("", 0, self.inside > 0, self.mark))
         self.parts.clear()
         self.linked = 0
 
@@ -89,19 +91,25 @@ class Page:
             self.linked += len(text.strip())
 
     def shut(self, i: int) -> None:
-        for name, left_out, root in self.stack[i:]:
-            self.names[name] -= 1
+        for name, left_out, marked in self.stack[i:]:
+            for key in self.keys(name):
+                self.places[key].pop()
             self.off -= left_out
             self.inside -= name in INSIDE
             self.link -= name == "a"
-            if root:
-                self.path = self.path[:-1]
+        for _, _, marked in reversed(self.stack[i:]):
+            if marked:
+                self.mark = self.around[self.mark]
         del self.stack[i:]
 
-    def back(self, stop) -> int | None:
-        """The innermost of the last ``DEPTH`` open elements for which ``stop`` holds."""
-        n = len(self.stack)
-        return next((i for i in range(n - 1, max(-1, n - 1 - DEPTH), -1) if stop(self.stack[i][0])), None)
+    @staticmethod
+    def keys(name: str) -> list[str]:
+        return [name] + ["/blocks"] * (name in BLOCKS) + ["/holders"] * (name in HOLDERS)
+
+    def last(self, key: str) -> int:
+        """Where the innermost open element of a name or kind stands; -1: nowhere."""
+        at = self.places[key] if key in self.places else None
+        return at[-1] if at else -1
 
     def read(self, html: str) -> None:
         at, n, last = 0, len(html), html.rfind(">")
@@ -143,25 +151,24 @@ class Page:
             self.flush()
         elif name in ("td", "th"):
             self.say(" ")
-        if not self.names[name]:
-            return
+        i = self.last(name)
         # what isn't a block doesn't close the blocks inside it
-        i = self.back(lambda x: x == name or not block and x in BLOCKS)
-        if i is not None and self.stack[i][0] == name:
-            off, path = self.off, self.path
-            if path and any(root for _, _, root in self.stack[i:]):
-                self.flush()
-            self.shut(i)
-            if off and not self.off or path != self.path:
-                self.flush(True)
+        if i < 0 or not block and self.last("/blocks") > i:
+            return
+        off, mark = self.off, self.mark
+        if mark >= 0 and any(marked for _, _, marked in self.stack[i:]):
+            self.flush()
+        self.shut(i)
+        if off and not self.off or mark != self.mark:
+            self.flush(True)
 
     def open(self, name: str, attrs: str, bare: bool) -> None:
         if name in ("br", "td", "th", "img"):
             self.say(" ")
         if name in BLOCKS:
             if name in ITEMS:
-                i = self.back(lambda x: x == name or x in HOLDERS)
-                if i is not None and self.stack[i][0] == name:
+                i = self.last(name)
+                if i > self.last("/holders"):
                     self.flush()
                     self.shut(i)
             self.flush()
@@ -171,59 +178,83 @@ class Page:
         noise = 0 if left_out or name in ("html", "body", "article", "main") and not self.inside else max(_noise(attrs), int(name in SOFT))
         if (left_out or noise) and not self.off:
             self.flush(True)
-        root = noise > 0 and len(self.path) < DEPTH
-        self.stack.append((name, left_out, root))
-        self.names[name] += 1
+        for key in self.keys(name):
+            self.places[key].append(len(self.stack))
+        self.stack.append((name, left_out, noise > 0))
         self.off += left_out
-        if root:
-            self.path += (self.roots,)
+        if noise:
+            self.around.append(self.mark)
+            self.mark = len(self.around) - 1
             if noise == 2:
-                self.strong.add(self.roots)
-            self.roots += 1
+                self.strong.add(self.mark)
         if name in INSIDE:
             self.inside += 1
-            self.lifted.update(self.path)
+            x = self.mark
+            while x >= 0 and x not in self.holders:
+                self.holders.add(x)
+                x = self.around[x]
         self.link += name == "a"
 
     def lines(self) -> list[tuple[str, int, bool]]:
         """(text, characters outside links, inside an article); what is noise gives an empty line.
 
-        A noise element counts as text if it holds an article or outweighs the
-        rest, the largest first; what is marked strongly never does.
+        Unmarked text stands. A marked element that holds articles counts as text if these hold ``OUTWEIGHS`` times
+        what the page's other articles do. Others count only on pages without an unmarked article,
+        where they outweigh the unmarked text (strongly marked ones: where there is none): such a page is marked as a
+        whole. The fullest is looked at first.
         """
         own: dict[int, int] = defaultdict(int)
-        base = 0
-        for _, plain, _, path in self.out:
-            if path:
-                own[path[-1]] += plain
+        article: dict[int, int] = defaultdict(int)
+        for _, plain, inside, mark in self.out:
+            own[mark] += plain
+            article[mark] += plain * inside
+        # marked elements are numbered from the outside in, so this adds what is inside
+        for x in range(len(self.around) - 1, -1, -1):
+            y = self.around[x]
+            if y >= 0:
+                own[y] += own[x]
+                article[y] += article[x]
+        kept = {-1}
+        base, inner = own[-1], article[-1]
+        for x in sorted(range(len(self.around)), key=lambda x: (-own[x], x)):
+            y = self.around[x]
+            if not own[x] or y not in kept:
+                continue
+            rest = own[y] - own[x] if y >= 0 else base
+            within = article[y] - article[x] if y >= 0 else inner
+            if x in self.holders and y < 0:
+                good = article[x] > OUTWEIGHS * within
             else:
-                base += plain
-        kept = self.lifted - self.strong
-        base += sum(own[r] for r in kept)
-        for r in sorted(own.keys() - kept - self.strong, key=lambda r: -own[r]):
-            if own[r] > OUTWEIGHS * base:
-                kept.add(r)
-                base += own[r]
+                good = within == 0 and (rest == 0 if x in self.strong else own[x] > OUTWEIGHS * rest)
+            if good:
+                kept.add(x)
+                if y < 0:
+                    base, inner = base + own[x], inner + article[x]
         found: list[tuple[str, int, bool]] = []
-        for text, plain, inside, path in self.out:
-            if text and kept.issuperset(path):
+        for text, plain, inside, mark in self.out:
+            if text and mark in kept:
                 found.append((text, plain, inside))
             elif found and found[-1][0]:
                 found.append(("", 0, inside))
         return found
 
 
-def spans(weights: np.ndarray) -> list[tuple[int, int]]:
+def blocks(weights: np.ndarray) -> np.ndarray:
+    """The sum of ``WIDTH`` lines from each on."""
+    total = np.concatenate([[0], np.cumsum(weights)])
+    return total[np.minimum(np.arange(len(weights)) + WIDTH, len(weights))] - total[:-1]
+
+
+def spans(weights: np.ndarray, least: float | None = None) -> list[tuple[int, int]]:
     """[surge, dive) line ranges: a block of lines rises to the surge and the text goes on; later two blocks hold nothing.
 
-    A surge is ``SURGE`` characters, on pages whose fullest block has fewer than twice that, half of it.
+    A surge is ``least`` characters: ``SURGE``, or on pages whose fullest block has fewer than twice that, half of it.
     """
     n = len(weights)
     if not n or not weights.any():
         return []
-    total = np.concatenate([[0], np.cumsum(weights)])
-    block = total[np.minimum(np.arange(n) + WIDTH, n)] - total[:-1]
-    least = min(SURGE, block.max() / 2)
+    block = blocks(weights)
+    least = min(SURGE, block.max() / 2) if least is None else least
     out, i = [], 0
     while i < n:
         if weights[i] and block[i] >= least:
@@ -236,12 +267,39 @@ def spans(weights: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def weigh(found: list[tuple[str, int, bool]]) -> np.ndarray:
-    """Characters outside links where they are half of a line at least; where an article holds its share, only its lines weigh."""
-    within = sum(plain for _, plain, inside in found if inside)
-    if within and within >= SHARE * sum(plain for _, plain, _ in found):
-        return np.array([max(plain, 1) if inside and text else 0 for text, plain, inside in found], int)
-    return np.array([plain if 2 * plain >= len(text) else 0 for text, plain, _ in found], int)
+def chosen(found: list[tuple[str, int, bool]]) -> list[int]:
+    """The lines that the distribution of text over lines keeps.
+
+    A line weighs its characters outside links, if they are half of it at least. Where articles hold their share,
+    any line outside weighs a quarter, and what is inside needs no more than a character for a surge: only where nothing but
+    links stands for a whole block does the text dive. At the edges of an article shorter runs of such lines stay.
+    """
+    inside = np.array([x for _, _, x in found], bool)
+    there = np.array([bool(text) for text, _, _ in found], bool)
+    plain = np.array([x for _, x, _ in found], int)
+    weights = np.where(2 * plain >= np.array([len(text) for text, _, _ in found], int), plain, 0)
+    within = plain[inside].sum()
+    if not within or within < SHARE * plain.sum():
+        if not weights.any():  # an article of links alone is an article
+            weights = np.where(inside & there, 1, 0)
+        return [i for a, b in spans(weights) for i in range(a, b) if there[i]]
+    surge = min(SURGE, blocks(np.where(inside, plain, 0)).max() / 2)
+    keep = []
+    for a, b in spans(np.where(inside, weights, 0), 1):
+        while a and b - a < len(found) and inside[a - 1] and there[a - 1] and not weights[a - 1] and not _long(inside, there, weights, a - 1, -1):
+            a -= 1
+        while b < len(found) and inside[b] and there[b] and not weights[b] and not _long(inside, there, weights, b, 1):
+            b += 1
+        keep += [i for i in range(a, b) if there[i] and inside[i]]
+    for a, b in spans(np.where(inside, 0, weights * OUTSIDE), surge):
+        keep += [i for i in range(a, b) if there[i] and not inside[i]]
+    return sorted(set(keep))
+
+
+def _long(inside: np.ndarray, there: np.ndarray, weights: np.ndarray, i: int, step: int) -> bool:
+    """Whether ``WIDTH`` weightless lines of an article stand in a row from line i on."""
+    run = [j for j in range(i, i + step * WIDTH, step) if 0 <= j < len(weights)]
+    return len(run) == WIDTH and all(inside[j] and there[j] and not weights[j] for j in run)
 
 
 def extract(html: str | None) -> str:
@@ -249,15 +307,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     found = Page(html).lines()
-    weights = weigh(found)
-    marked = len(weights) and bool(((weights > 0) <= np.array([x[2] for x in found])).all())
-    kept, end = [], 0
-    for a, b in spans(weights):
-        while marked and a > end and weights[a - 1]:  # short lines at an article's head
-            a -= 1
-        kept += [found[i][0] for i in range(a, b) if found[i][0] and (found[i][2] or not marked)]
-        end = b
-    return "\n".join(kept)
+    return "\n".join(found[i][0] for i in chosen(found)) if found else ""
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -266,17 +316,17 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Markup, scripts, styles, menus, headers, footers and fields of forms go by
     their elements. What is left are lines, one a block element, with character
     references decoded and white space turned into single spaces. Elements that
-    are marked as sidebars, notices, adverts and the like have no weight, unless
-    they hold an article or nearly all of the page's text; comments of readers and hidden parts
-    never have. Where ``article`` or ``main`` hold a third of the text, only their lines weigh.
+    are marked as sidebars, notices, adverts, comments, hidden and the like have no weight, unless
+    they hold most of what stands in articles or, on pages without an unmarked article, nearly all of the text.
 
     Weights summed over ``WIDTH`` lines form the distribution; what stands
-    between a surge and the following dive is the text, short lines included.
+    between a surge and the following dive is the text, short lines included. Being inside ``article`` or ``main``
+    only scales the weights (see ``chosen``): a list of links inside may dive, and a long text outside may rise.
 
     Null and empty pages give an empty text, pages cut off anywhere what stands
     before the cut. Every row gives one row, repeated and null ids too; other
     columns are not read; an empty table gives an empty result. Linear in the
-    page's length: tags look back over ``DEPTH`` open elements at most.
+    page's length, however deep its elements are nested.
     """
     short_batches(pages.sparkSession)
     a, b = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))

@@ -337,3 +337,32 @@ def test_word_hashes_follow_the_words():
     w = Words(["aB c\td".encode(), b"", "AB É".encode()])
     assert w.first.tolist() == [0, 3, 3, 5] and w.hash[0] == w.hash[3] and len(set(w.hash.tolist())) == 4
     assert zlib.crc32(b"") == 0
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f'<div class="post comments-open"><p>{SIXTY}</p></div>', SIXTY), (f'<div class="comments-open"><article><p>{SIXTY}</p></article></div>', SIXTY),
+    (f'<div id="app" class="cookie-banner-open"><main><p>{SIXTY}</p></main></div>', SIXTY), (f'<div class="page has-overlay"><p>{SIXTY}</p></div>', SIXTY),
+    (f'<section class="no-comments"><p>{SIXTY}</p></section>', SIXTY), (f'<article><p>a</p><p class="hidden-gem">{SIXTY}</p></article>', f"a\n{SIXTY}"),
+    (f'<div class="how-to-reply"><p>{SIXTY}</p></div>', SIXTY), (f'<div class="comments"><article><p>{SIXTY}</p></article></div>', SIXTY),
+    *[(f"<nav>{'<span>' * n}m</nav><article><p>{SIXTY}</p></article>", SIXTY) for n in (200, 300, 5000)], *[(f"<nav>{'<div>' * n}m</nav><article><p>{SIXTY}</p></article>", SIXTY) for n in (300, 5000)],
+    (f'<article><p>{SIXTY}</p></article><div class="sidebar"><p>{SIXTY} {SIXTY} {SIXTY}</p></div>', SIXTY),
+    (f'<article><p>ten words are here</p><div class="ad"><p>{SIXTY} {SIXTY}</p></div></article>', "ten words are here"),
+    (f'<article><p>{SIXTY}</p><div class="related"><article><p>teaser {SIXTY}</p></article></div></article>', SIXTY),
+    (f'<article><p>{SIXTY}</p></article><div class="related"><article>one</article><article>two</article></div>', SIXTY),
+    (f"<div>{'<div class=ad>' * 300}<div class=comments>{SIXTY}</div></div>" + "</div>" * 300 + f"<p>{SIXTY}</p>", SIXTY),
+])
+def test_marks_never_take_the_page_with_them(html, text):
+    assert extract(html) == text
+
+
+LINKS = "".join(f"<li><a href=x>see {i} there</a></li>" for i in range(5))
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<article><p>{SIXTY}</p><ul>{LINKS}</ul><p>Of.</p></article>", f"{SIXTY}\nOf."),  # links dive inside an article
+    (f"<article><p>{SIXTY}</p><p><a href=x>source</a></p></article>", f"{SIXTY}\nsource"), (f"<article><h1><a href=x>T</a></h1><p>{SIXTY}</p></article>", f"T\n{SIXTY}"),
+    (f"<article><p>{SIXTY}</p></article><div><p>{SIXTY}</p></div>", f"{SIXTY}\n{SIXTY}"),  # a full text outside rises
+    (f"<p>Posted today.</p><article><p>{SIXTY}</p><p>Of.</p></article><p>All rights.</p>", f"{SIXTY}\nOf."), (f"<article><ul>{LINKS}</ul></article>", "\n".join(f"see {i} there" for i in range(5))),
+])
+def test_the_distribution_decides_inside_articles_and_outside(html, text):
+    assert extract(html) == text
