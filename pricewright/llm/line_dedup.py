@@ -36,20 +36,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The first occurrence of a line never goes: what is deleted has an equal
     earlier line. Null and empty texts and texts without repeats come back as
     they are; a text of which all lines go comes back empty. Rows with a null
-    id come back unchanged. Rows that repeat an id are copies of one document:
-    their lines are read once. Returns (id, text, n_lines, n_removed).
+    id come back unchanged. Rows that repeat an id and its text are copies of one document:
+    their lines are read once. Rows of one id with other texts are documents of their own, in the order of the texts' hashes. Returns (id, text, n_lines, n_removed).
     """
     half = (min_words + 1) // 2
-    docs = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").alias("t"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("d"), F.xxhash64(F.col(f"`{text_col}`")).alias("x"), F.col(f"`{text_col}`").alias("t"))
     lines = docs.where("d IS NOT NULL AND t IS NOT NULL").select(
-        "d", F.posexplode(F.transform(F.split("t", "\n", -1), lambda x: F.struct(F.xxhash64(F.trim(F.regexp_replace(x, r"[\t\r ]+", " "))).alias("h"), F.size(F.filter(F.split(F.trim(F.regexp_replace(x, r"[\t\r ]+", " ")), " ", -1), lambda y: y != "")).alias("w")))).alias("p", "l")
-    ).where("l.w > 0").select("d", "p", "l.h", "l.w")
-    by = Window.partitionBy("d").orderBy("p")
-    ahead = Window.partitionBy("d").orderBy("s").rangeBetween(0, half - 1)
-    full = Window.partitionBy("d").orderBy("s").rangeBetween(0, min_words - 1)
-    back = Window.partitionBy("d").orderBy("e").rangeBetween(1 - min_words, 0)
+        "d", "x", F.posexplode(F.transform(F.split("t", "\n", -1), lambda x: F.struct(F.xxhash64(F.trim(F.regexp_replace(x, r"[\t\r ]+", " "))).alias("h"), F.size(F.filter(F.split(F.trim(F.regexp_replace(x, r"[\t\r ]+", " ")), " ", -1), lambda y: y != "")).alias("w")))).alias("p", "l")
+    ).where("l.w > 0").select("d", "x", "p", "l.h", "l.w")
+    by = Window.partitionBy("d", "x").orderBy("p")
+    ahead = Window.partitionBy("d", "x").orderBy("s").rangeBetween(0, half - 1)
+    full = Window.partitionBy("d", "x").orderBy("s").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy("d", "x").orderBy("e").rangeBetween(1 - min_words, 0)
     gram = (
-        lines.dropDuplicates(["d", "p"])
+        lines.dropDuplicates(["d", "x", "p"])
         .withColumn("e", F.sum("w").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("s", F.col("e") - F.col("w"))
         .withColumn("hs", F.collect_list("h").over(ahead))
@@ -62,30 +62,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     up = F.sum("w").over(back)
     till = F.when((up >= min_words) & (F.first("n").over(back) < up), F.struct(F.first("pick").over(back).alias("pick"), F.first("p").over(back).alias("a"), F.col("p").alias("b"), F.xxhash64(F.collect_list("h").over(back)).alias("k")))
     found = stage(
-        gram.select("d", "fore", till.alias("till"))
-        .select("d", F.explode(F.filter(F.array("fore", "till"), lambda x: x.isNotNull())).alias("x"))
-        .select("d", F.col("x.pick.g").alias("g"), F.col("x.pick.p").alias("i"), "x.a", "x.b", "x.k"),
+        gram.select("d", "x", "fore", till.alias("till"))
+        .select("d", "x", F.explode(F.filter(F.array("fore", "till"), lambda f: f.isNotNull())).alias("f"))
+        .select("d", "x", F.col("f.pick.g").alias("g"), F.col("f.pick.p").alias("i"), "f.a", "f.b", "f.k"),
         "windows",
     )
-    again = found.groupBy("g").agg(F.min(F.struct("d", "i")).alias("lo"), F.max(F.struct("d", "i")).alias("hi")).where("lo <> hi").select("g")
+    again = found.groupBy("g").agg(F.min(F.struct("d", "x", "i")).alias("lo"), F.max(F.struct("d", "x", "i")).alias("hi")).where("lo <> hi").select("g")
     windows = found.join(again, "g", "left_semi")
-    first = windows.groupBy("g", "k").agg(F.min(F.struct("d", "a")).alias("o"), F.count("*").alias("n")).where("n > 1").select("g", "k", "o")
-    later = windows.join(first, ["g", "k"]).where("o.d < d OR o.d = d AND o.a < a").select("d", "a", "b")
+    first = windows.groupBy("g", "k").agg(F.min(F.struct("d", "x", "a")).alias("o"), F.count("*").alias("n")).where("n > 1").select("g", "k", "o")
+    later = windows.join(first, ["g", "k"]).where(F.col("o") < F.struct("d", "x", "a")).select("d", "x", "a", "b")
     # windows that overlap become one run
-    inside = Window.partitionBy("d").orderBy("a", "b")
+    inside = Window.partitionBy("d", "x").orderBy("a", "b")
     dead = (
         later.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
         .withColumn("run", F.sum(F.col("new").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("d", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-        .groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("dead"))
+        .groupBy("d", "x", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        .groupBy("d", "x").agg(F.collect_list(F.struct("a", "b")).alias("dead"))
     )
     # a one-row generator, so that the lines are split once and then looked up by place
-    x = docs.join(dead, "d", "left").select("d", "t", "dead", F.inline(F.array(F.struct(F.split("t", "\n", -1).alias("ls")))))
+    y = docs.join(dead, ["d", "x"], "left").select("d", "t", "dead", F.inline(F.array(F.struct(F.split("t", "\n", -1).alias("ls")))))
     blank = lambda i: F.trim(F.regexp_replace(F.get("ls", i), r"[\t\r ]+", " ")) == ""
     gone = F.filter(F.flatten(F.transform("dead", lambda r: F.sequence(r["a"], r["b"]))), lambda i: ~blank(i))
-    x = x.select("d", "t", "ls", F.inline(F.array(F.struct(gone.alias("gone")))))
+    y = y.select("d", "t", "ls", F.inline(F.array(F.struct(gone.alias("gone")))))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone"), lambda i: F.get("ls", i)), "\n")
-    return x.select(
+    return y.select(
         F.col("d").alias(id_col), F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept).alias(text_col),
         F.when(F.col("t").isNull(), 0).otherwise(F.size("ls")).alias("n_lines"), F.coalesce(F.array_size("gone"), F.lit(0)).alias("n_removed"),
     )

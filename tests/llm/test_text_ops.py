@@ -99,6 +99,17 @@ def test_line_dedup_of_null_and_repeated_ids(spark):
     assert sorted(got, key=str) == sorted([(None, run, 6, 0), (4, run, 6, 0), (4, run, 6, 0), (9, "", 6, 6)], key=str)
 
 
+def test_line_dedup_of_other_texts_under_one_id(spark):
+    rng = random.Random(5)
+    run, other = ("\n".join(words(rng, 10) for _ in range(10)) for _ in range(2))
+    got = [tuple(r) for r in line_dedup(docs(spark, [run, run, "other text\nwith two lines"], [1, 2, 2])).collect()]
+    assert sorted(got) == [(1, run, 10, 0), (2, "", 10, 10), (2, "other text\nwith two lines", 2, 0)]
+    got = [tuple(r) for r in line_dedup(docs(spark, [run, other, other], [2, 2, 3])).collect()]
+    assert sorted(got) == sorted([(2, run, 10, 0), (2, other, 10, 0), (3, "", 10, 10)])
+    got = [tuple(r) for r in line_dedup(docs(spark, [run, run + "\nmore"], [2, 2])).collect()]  # one of the two keeps the run
+    assert sorted(len(r[1].split("\n")) for r in got) in ([1, 10], [0, 11], [1, 11]) and sum(r[3] for r in got) == 10
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup(docs(spark, ["a"]).limit(0)).count() == 0
 
