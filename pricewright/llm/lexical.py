@@ -202,5 +202,6 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "item long, d long, score long")
+    out = stage(out, "best")  # dealing by ranges reads its rows twice
     ranked = running(out, ["item"], [F.col("score").desc(), F.col("d").asc_nulls_last()], before=F.lit(1))
     return ranked.where(F.col("before") < k).select(F.col("item").alias(item_col), (F.col("before") + 1).cast("int").alias("rank"), F.col("d").alias(id_col), "score")
