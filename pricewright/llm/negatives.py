@@ -177,9 +177,21 @@ def _assigned(v: DataFrame, index: dict[int, Index], scale: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, n: int, extra: str | None = None, center: dict[int, np.ndarray] | None = None) -> DataFrame:
-    """(dim, c, piece, ids, labels, data, w, radius): runs of ``n`` rows or so of each cluster, in id order; ``w``: the rows' ``extra`` bytes."""
-    sizes = small(stage(rows.groupBy("dim", "c").agg(F.count("*").alias("n")), "sizes"))
-    dealt = rows.join(sizes, ["dim", "c"]).withColumn("piece", F.pmod(F.xxhash64("d"), F.ceil(F.col("n") / n)).cast("int"))
+    """(dim, c, piece, ids, labels, data, w, radius): runs of ``n`` rows or so, in id order; ``w``: the rows' ``extra`` bytes.
+
+    With centers a block holds rows of one cluster; without, clusters that follow each other share blocks (``c``: the first of them).
+    """
+    spark = rows.sparkSession
+    sizes = sorted((r.dim, r.c, r.n) for r in rows.groupBy("dim", "c").agg(F.count("*").alias("n")).collect())  # a row per centroid
+    deal, last = [], None
+    for dim, c, size in sizes:
+        if center is None and last and last[0] == dim and last[2] + size <= n:
+            last = (dim, last[1], last[2] + size)
+        else:
+            last = (dim, c, size)
+        deal.append((dim, c, last[1], -(-size // n)))
+    deal = F.broadcast(spark.createDataFrame(deal, "dim int, c int, into int, pieces int"))
+    dealt = rows.join(deal, ["dim", "c"]).withColumn("piece", F.pmod(F.xxhash64("d"), "pieces").cast("int")).drop("c").withColumnRenamed("into", "c")
 
     def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).sort_by("d")
