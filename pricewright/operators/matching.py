@@ -2,69 +2,261 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import makers
+from ..functions.fence import fix
 from ..functions.text import sku_loose, sku_lookup
 from . import structure
 from .dedup import best_per_key
-from .linkage import assign_in_order, base_similarity_udf
+from .linkage import assign_in_order, base_similarity, base_similarity_udf, similarity_with_parts_udf
+
+
+#: Rows of either side of a key that meet in one go.
+BLOCK = 2048
+# Words that stand for one another in names.
+ALIASES = {"нео": ("neo",), "экстра": ("extra",), "лонг": ("long", "пролонг"), "пролонг": ("лонг", "long"), "форте": ("forte",)}
 
 
-def prepared(rows: DataFrame, name: str, maker: str) -> DataFrame:
-    """``rows`` with ``struct`` and ``base`` of the name and ``maker_key``; computed once a row."""
-    x = rows.withColumn("struct", structure.structure(F.col(name)))
-    return x.withColumns({"base": F.col("struct.base"), "maker_key": F.lower(F.trim(F.coalesce(F.col(maker), F.lit(""))))})
+def prepared(rows: DataFrame, name: str, maker: str, aliases: Column | None = None) -> DataFrame:
+    """``rows`` with ``struct`` and ``base`` of the name and ``maker_key``, by the makers' ``aliases`` if they are given; computed once a row."""
+    x = fix(rows, struct=structure.structure(F.col(name)))
+    key = F.lower(F.trim(F.coalesce(F.col(maker), F.lit("")))) if aliases is None else makers.match_key(F.col(maker), aliases)
+    return fix(x, base=F.col("struct.base"), maker_key=key)
+
+
+def _maker_decision(a: str, b: str) -> Column:
+    return makers.required(F.col(a), F.col(b), makers.ratio(F.col(a), F.col(b)))
 
 
 def exact_composite(products: DataFrame, items: DataFrame) -> DataFrame:
-    """(product, item, score): the cheapest item that shares a composite key, has no other structure and no other maker.
+    """(product, item, price): items that share a composite key, whose structure is ok and whose maker is missing, the same or much alike.
 
     products: prepared with ``product``; items: prepared with ``item`` and ``price``. Keys are
     taken with the maker and without. An equi-join on keys; pairs meet once.
     """
     both = lambda rows: F.array_distinct(F.concat(structure.composite_keys(F.col("base"), F.col("maker_key"), F.col("struct")), structure.composite_keys(F.col("base"), F.lit(""), F.col("struct"))))
-    a = products.select("product", F.col("struct").alias("s1"), F.col("maker_key").alias("m1"), F.explode(both(products)).alias("k"))
-    b = items.select("item", "price", F.col("struct").alias("s2"), F.col("maker_key").alias("m2"), F.explode(both(items)).alias("k"))
-    pairs = a.join(b, "k").where((F.col("m1") == F.col("m2")) | (F.col("m1") == "") | (F.col("m2") == "")).drop("k").dropDuplicates(["product", "item"])
-    good = pairs.where(structure.decision(F.col("s1"), F.col("s2")) == "ok")
-    return good.select("product", "item", "price")
+    a = products.withColumn("k", both(products)).select("product", F.col("struct").alias("s1"), F.col("maker_key").alias("m1"), F.explode("k").alias("k"))
+    b = items.withColumn("k", both(items)).select("item", "price", F.col("struct").alias("s2"), F.col("maker_key").alias("m2"), F.explode("k").alias("k"))
+    good = a.join(b, "k").where(structure.decision(F.col("s1"), F.col("s2")) == "ok").select("product", "item", "price", "m1", "m2").dropDuplicates(["product", "item"])
+    return good.where(_maker_decision("m1", "m2").isin("missing", "alias_match", "similar_match")).select("product", "item", "price")
+
+
+def _shared_letters(a: np.ndarray, b: np.ndarray, la: int, lb: np.ndarray) -> np.ndarray:
+    """No two texts with these letter counts are more similar than this."""
+    return 200.0 * np.minimum(a[None, :], b).sum(1) / np.maximum(la + lb, 1)
+
+
+class _Names:
+    """Distinct names with what bounds their similarity to others: letter counts, plain and of the words as a set, and which names hold a word."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        sets = [" ".join(sorted(set(n.split()))) for n in names]
+        self.plain, self.sets = self.letters(names), self.letters(sets)
+        self.n_plain, self.n_sets = (np.array([len(x) for x in xs]) for xs in (names, sets))
+        self.holding: dict[str, list[int]] = {}
+        for i, n in enumerate(names):
+            for w in set(n.split()):
+                self.holding.setdefault(w, []).append(i)
+
+    @staticmethod
+    def letters(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), 64), np.int16)  # letters that share a place only widen the bound
+        for i, t in enumerate(texts):
+            np.add.at(out[i], np.fromiter(map(ord, t), int, len(t)) % 64, 1)
+        return out
+
+    def bound(self, name: str) -> np.ndarray:
+        """The largest that ``base_similarity`` with each name can be."""
+        words = set(name.split())
+        as_set = " ".join(sorted(words))
+        up = np.maximum(_shared_letters(self.letters([name])[0], self.plain, len(name), self.n_plain), _shared_letters(self.letters([as_set])[0], self.sets, len(as_set), self.n_sets))
+        common = np.zeros(len(self.names))
+        for w in words:
+            common[self.holding.get(w, [])] += len(w) + 1
+        common = np.maximum(common - 1, 0)
+        inside = 200.0 * common / np.maximum(common + np.minimum(self.n_sets, len(as_set)), 1)
+        return np.maximum(up, inside) + 1e-9
+
+
+def _best_names(name: str, names: _Names, rows: dict[int, int], most: int, least: float) -> dict[int, float]:
+    """Scores of those names, with ``rows`` of so many rows each, that can be among the best ``most`` rows and reach ``least``."""
+    which = np.fromiter(rows, int, len(rows))
+    up = names.bound(name)[which]
+    found: dict[int, float] = {}
+    have: list[float] = []
+    for i in np.argsort(-up, kind="stable"):
+        if up[i] < least or len(have) >= most and up[i] < have[most - 1]:
+            break
+        u = int(which[i])
+        found[u] = base_similarity(name, names.names[u])
+        if found[u] >= least:
+            have = sorted(have + [found[u]] * min(most, rows[u]), reverse=True)[:most]
+    return found
+
+
+def _meet(a: pd.DataFrame, b: pd.DataFrame, most: int) -> list[tuple]:
+    """(product, item, score, same_maker, price): of the items ``b`` the best ``most`` of each product in ``a``."""
+    distinct = dict.fromkeys(b["b"])
+    for i, n in enumerate(distinct):
+        distinct[n] = i
+    names, at = _Names(list(distinct)), b["b"].map(distinct).to_numpy()
+    item, price, maker = b["id"].to_numpy(), b["price"].to_numpy(np.float64), b["m"].to_numpy()
+    q, d = b["q"].to_numpy(np.float64), b["d"].to_numpy(np.float64)
+    out = []
+    for p in a.itertuples(index=False):
+        fits = (np.isnan(q) | (q == p.q) | (p.q != p.q)) & (np.isnan(d) | (d == p.d) | (p.d != p.d))
+        mine = maker == p.m
+        other = ~mine & (p.m != "") & (maker != "")
+        rows = []
+        # items of the same maker come first; among the rest other makers need a score of 90, unknown ones nothing
+        for group, floor in ((mine, 0.0), (~mine & ~other, 0.0), (other, 90.0)):
+            if group is mine or len(rows) < most:
+                part = np.flatnonzero(fits & group)
+                count = dict(zip(*(x.tolist() for x in np.unique(at[part], return_counts=True)))) if len(part) else {}
+                scores = _best_names(p.b, names, count, most, floor) if count else {}
+                rows += [(-int(mine[i]), -scores[at[i]], math.inf if price[i] != price[i] else price[i], item[i]) for i in part if at[i] in scores and scores[at[i]] >= floor]
+        out += [(p.id, r[3], -r[1], r[0] == -1, None if r[2] == math.inf else r[2]) for r in heapq.nsmallest(most, rows)]
+    return out
 
 
 def pool(products: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:
-    """(product, item, score, rank): the best ``most`` items that share the name, its first word, its first letters or the maker.
+    """(product, item, score, rank, same_maker, price): the best ``most`` items that share the name's first word, its first five letters or the maker.
 
+    Products that meet no item in this way take those that share a word or its alias.
     Other quantities and doses go; other makers need a name score of 90. Ranked by maker, name score and price.
+
+    Both sides of a key are cut into blocks, so that a maker of any size is dealt to many tasks. Where blocks meet, names (not rows) are
+    bounded from above by letter counts and shared words, and only those whose bound can still enter the best ``most`` are scored.
+    """
+    def side(rows: DataFrame, id_col: str, price: Column) -> DataFrame:
+        return rows.select(F.col(id_col).alias("id"), F.col("base").alias("b"), F.col("maker_key").alias("m"), F.col("struct.quantity").cast("double").alias("q"), F.col("struct.dosage").alias("d"), price.cast("double").alias("price"))
+
+    a, b = side(products, "product", F.lit(None)), side(items, "item", F.col("price"))
+    named = lambda label, c: F.when(c != "", F.concat(F.lit(label), c))
+    near = F.array(named("first:", F.substring_index("b", " ", 1)), named("prefix:", F.left("b", F.lit(5))), named("maker:", F.col("m")))
+    spelled = F.create_map(*[y for k, v in ALIASES.items() for y in (F.lit(k), F.array(*[F.lit(x) for x in v]))])
+    words = F.filter(F.split("b", " "), lambda w: w != "")
+    words = F.transform(F.concat(words, F.flatten(F.transform(words, lambda w: F.coalesce(spelled[w], F.array().cast("array<string>"))))), lambda w: F.concat(F.lit("word:"), w))
+    keyed = lambda rows, keys: rows.select("*", F.explode(F.array_distinct(F.filter(keys, lambda x: x.isNotNull()))).alias("k"))
+    wanted, offered = keyed(a, near), keyed(b, F.concat(near, words)).select("id", "b", "m", "q", "d", "price", "k")
+    have = offered.select("k").distinct()
+    met = wanted.join(have, "k", "left_semi").select("id").distinct()
+    by_word = keyed(a.join(met, "id", "left_anti"), words)
+    wanted = wanted.unionByName(by_word).select("id", "b", "m", "q", "d", "price", "k")
+
+    count = lambda rows, n: rows.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    sizes = count(wanted, "pa").join(count(offered, "pb"), "k")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = wanted.join(sizes, "k").withColumn("i", part("pa")).withColumn("j", each("pb")).withColumn("side", F.lit(0))
+    right = offered.join(sizes, "k").withColumn("j", part("pb")).withColumn("i", each("pa")).withColumn("side", F.lit(1))
+    kinds = products.schema["product"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in rows.groupby(["k", "i", "j"], sort=False):
+            mine, theirs = g[g["side"] == 0], g[g["side"] == 1]
+            if len(mine) and len(theirs):
+                out += _meet(mine, theirs, most)
+        return pd.DataFrame(out, columns=["product", "item", "score", "same_maker", "price"])
+
+    # some keys a group, as most are small; a group is some blocks at most
+    both = left.unionByName(right).withColumn("bucket", F.pmod(F.xxhash64("k", "i", "j"), F.lit(1024)))
+    found = both.groupBy("bucket", F.floor("i").alias("_i"), F.floor("j").alias("_j")).applyInPandas(meet, f"product {kinds[0]}, item {kinds[1]}, score double, same_maker boolean, price double")
+    order = Window.partitionBy("product").orderBy(F.desc("same_maker"), F.desc("score"), F.asc_nulls_last("price"), "item")
+    ranked = found.dropDuplicates(["product", "item"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return ranked.select("product", "item", "score", "rank", "same_maker", F.col("price").cast(items.schema["price"].dataType).alias("price"))
+
+
+def judged(pooled: DataFrame, products: DataFrame, items: DataFrame) -> DataFrame:
+    """The candidates of ``pool`` with their scores and decisions, and ``reject``: why a candidate can't be chosen; null if it can.
+
+    Checked in this order: a conflict of structures, another maker or none, a name score below 75, a name that isn't nearly the same
+    (97 and an equal first word, unless the bases are equal), below 88, and where the candidate lacks fields, below 95.
+    ``combined`` adds 15 for an alias and 10 for a similar maker, 100 at most, and takes 2 a field that one side lacks, 6 at most;
+    it has to reach ``threshold``.
+    """
+    p = products.select("product", F.col("base").alias("b1"), F.col("maker_key").alias("m1"), F.col("struct").alias("s1"))
+    i = items.select("item", F.col("base").alias("b2"), F.col("maker_key").alias("m2"), F.col("struct").alias("s2"))
+    x = pooled.select("product", "item", "price", "rank").join(p, "product").join(i, "item")
+    a, b = F.col("s1"), F.col("s2")
+    x = fix(x, name_score=similarity_with_parts_udf("b1", "b2"), base_score=base_similarity_udf("b1", "b2"), maker=_maker_decision("m1", "m2"), structure=structure.decision(a, b), why=structure.reason(a, b), n=structure.counts(a, b))
+    name, base, state = F.col("name_score"), F.col("base_score"), F.col("structure")
+    other_word = F.substring_index("b1", " ", 1) != F.substring_index("b2", " ", 1)
+    reject = (
+        F.when(state == "reject", F.col("why")).when(~F.col("maker").isin("alias_match", "similar_match"), "manufacturer_conflict").when(name < 75, "name_prefilter")
+        .when((base < 100) & ((name < 97) | other_word), "unsafe_name_fuzzy").when((state == "ok") & (name < 88), "low_score").when((state == "suspicious") & ((name < 95) | (base < 95)), F.col("why"))
+    )
+    combined = F.least(F.lit(100.0), name + F.when(F.col("maker") == "alias_match", 15).otherwise(10)) - F.least(F.lit(6), 2 * F.col("n.missing"))
+    return x.select(
+        "product", "item", "price", "rank", "name_score", "base_score", F.col("maker").alias("maker_decision"), state.alias("structure_decision"), reject.alias("reject"),
+        F.col("n.matched").alias("matched"), F.col("n.missing").alias("missing"), combined.alias("combined"), F.when(state == "suspicious", 95).otherwise(88).alias("threshold"),
+    )
+
+
+def preference() -> list[Column]:
+    """The order in which a product takes judged candidates: fields that agree, combined score, name score, maker, price, place in the pool."""
+    return [F.desc("matched"), F.desc("combined"), F.desc("name_score"), F.desc(F.col("maker_decision") == "alias_match"), F.asc_nulls_last("price"), F.asc("rank")]
+
+
+def below_threshold() -> Column:
+    return (F.col("name_score") < F.col("threshold")) | (F.col("combined") < F.col("threshold"))
+
+
+def best_supplier(products: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(product, item, score, outcome, and how many candidates fell to what): for each product its best judged candidate, in one aggregation.
+
+    ``outcome``: ok, low_score for a best one below its threshold, else why there is none: the reason of the best name among those that
+    fell to their scores, else of the first that fell to its structure or maker, else no_candidate. ``top``: the three best candidates with their reasons.
     """
-    keys = lambda: F.filter(F.array(
-        F.when(F.col("base") != "", F.concat(F.lit("base:"), "base")), F.when(F.col("base") != "", F.concat(F.lit("first:"), F.substring_index("base", " ", 1))),
-        F.when(F.col("base") != "", F.concat(F.lit("prefix:"), F.left("base", F.lit(5)))), F.when(F.col("maker_key") != "", F.concat(F.lit("manufacturer:"), "maker_key"))), lambda x: x.isNotNull())
-    cols = lambda i, rest: [F.col("base").alias(f"b{i}"), F.col("maker_key").alias(f"m{i}"), F.col("struct.quantity").alias(f"q{i}"), F.col("struct.dosage").alias(f"d{i}"), *rest]
-    a = products.select("product", *cols(1, []), F.explode(keys()).alias("k"))
-    b = items.select("item", "price", *cols(2, []), F.explode(keys()).alias("k"))
-    fits = (F.col("q1").isNull() | F.col("q2").isNull() | (F.col("q1") == F.col("q2"))) & (F.col("d1").isNull() | F.col("d2").isNull() | (F.col("d1") == F.col("d2")))
-    pairs = a.join(b, "k").where(fits).drop("k").dropDuplicates(["product", "item"]).withColumn("score", base_similarity_udf("b1", "b2"))
-    other = (F.col("m1") != "") & (F.col("m2") != "") & (F.col("m1") != F.col("m2"))
-    order = Window.partitionBy("product").orderBy((F.col("m1") == F.col("m2")).desc(), F.desc("score"), F.asc_nulls_last("price"), "item")
-    return pairs.where(~other | (F.col("score") >= 90)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("product", "item", "score", "rank", (F.col("m1") == F.col("m2")).alias("same_maker"), "price")
-
-
-def cascade(passes: list[tuple[str, DataFrame]], *order: Column) -> DataFrame:
+    free, hard = F.col("reject").isNull(), F.col("structure_decision") == "reject"
+    other, early = F.col("reject") == "manufacturer_conflict", F.col("reject") == "name_prefilter"
+    weak = ~free & ~hard & ~other & ~early
+    count = lambda c, n: F.count(F.when(c, 1)).alias(n)
+    cost = F.coalesce(F.col("price").cast("double"), F.lit(999999999.0))
+    found = candidates.groupBy("product").agg(
+        F.max(F.when(free, F.struct("matched", "combined", "name_score", (F.col("maker_decision") == "alias_match").alias("alias"), (-cost).alias("cost"), (-F.col("rank")).alias("place"), "item", below_threshold().alias("low")))).alias("best"),
+        F.max(F.when(weak, F.struct("name_score", (-F.col("rank")).alias("place"), "reject"))).alias("weak"), F.min(F.when(hard | other, F.struct("rank", "reject"))).alias("hard"),
+        count(F.lit(True), "candidates"), count(hard, "structure_rejects"), count(other, "maker_rejects"), count(early, "name_rejects"), count(weak, "weak_rejects"), count(F.col("structure_decision") == "suspicious", "suspicious"),
+        F.slice(F.array_sort(F.collect_list(F.struct((~free).alias("rejected"), F.when(free, -F.col("matched")).otherwise(0).alias("order"), (-F.when(free, F.col("combined")).otherwise(F.col("name_score"))).alias("down"), "rank", "item", "name_score", F.coalesce("reject", F.lit("")).alias("reject")))), 1, 3).alias("top"),
+    )
+    x = products.select("product").join(found, "product", "left")
+    outcome = F.when(F.col("best").isNotNull(), F.when(F.col("best.low"), "low_score").otherwise("ok")).otherwise(F.coalesce("weak.reject", "hard.reject", F.lit("no_candidate")))
+    numbers = ["candidates", "structure_rejects", "maker_rejects", "name_rejects", "weak_rejects", "suspicious"]
+    return x.select("product", "best.item", F.round("best.combined", 2).alias("score"), outcome.alias("outcome"), *[F.coalesce(n, F.lit(0)).alias(n) for n in numbers], F.transform("top", lambda t: F.struct(t["item"].alias("item"), F.round(t["name_score"], 2).alias("name_score"), t["reject"].alias("reject"))).alias("top"))
+
+
+def cascade(passes: list[tuple], *order: Column) -> DataFrame:
     """(product, item, method): one pass of candidates (product, item, ...) after the other; each product and item is used once.
 
-    Within a pass products go in the order of their ids, each to its best free item by ``order``.
+    A pass is (method, candidates), or with its own order and what blocks a candidate: (method, candidates, order, blocked).
+    Within a pass products go in the order of their ids, each to its best free item.
     """
     out = None
-    for method, pairs in passes:
+    for method, pairs, *own in passes:
         if out is not None:
             pairs = pairs.join(out.select("product"), "product", "left_anti").join(out.select("item"), "item", "left_anti")
-        found = assign_in_order(pairs, "product", "item", *order).select("product", "item", F.lit(method).alias("method"))
-        out = found if out is None else out.unionByName(found)
+        by, blocked = own if own else (order, None)
+        found = assign_in_order(pairs, "product", "item", *by, blocked=blocked).select("product", "item", F.lit(method).alias("method"))
+        out = (found if out is None else out.unionByName(found)).checkpoint()
     return out
 
 
+def fuzzy_pass(products: DataFrame, items: DataFrame, most: int = 20) -> tuple:
+    """The last pass of ``cascade``: what ``judged`` leaves of the pools; a product whose best free candidate is below its threshold takes none."""
+    good = judged(pool(products, items, most), products, items).where("reject IS NULL")
+    return "fuzzy", good, preference(), below_threshold()
+
+
 def manual_score(name: Column, matches: Column, lacks: Column, quantity: Column, forms: Column, maker: Column) -> Column:
     """0.6 of the name score, +18 for a shared strength or -6 for a missing one, 8 for the quantity and 6 for the form either way, 0.08 of the maker's; null below 55."""
     s = name * 0.6 + F.when(matches > 0, 18).when(lacks, -6).otherwise(0) + F.coalesce(F.when(quantity, 8).when(~quantity, -8), F.lit(0)) + F.coalesce(F.when(forms, 6).when(~forms, -6), F.lit(0)) + F.coalesce(maker, F.lit(0)) * 0.08

@@ -13,15 +13,16 @@ _CENTS = "CAST(round(p_retailprice * 100) AS BIGINT)"
 
 
 def _products(t: Tables) -> DataFrame:
+    """Parts as products; their makers have unlike names, so that no two are taken for one."""
     name = F.concat("p_name", F.lit(" "), "p_size", F.lit("мг таб N10"))
-    return matching.prepared(t.part.select(F.col("p_partkey").alias("product"), name.alias("name"), F.col("p_brand").alias("maker")), "name", "maker")
+    return matching.prepared(t.part.select(F.col("p_partkey").alias("product"), name.alias("name"), F.md5("p_brand").alias("maker")), "name", "maker")
 
 
 def _items(t: Tables) -> DataFrame:
     """Every part but each tenth, in another spelling, with a price."""
     name = F.concat(F.upper("p_name"), F.lit(" "), "p_size", F.lit(" MG таблетки №10"))
     price = F.round(F.col("p_retailprice") * 100).cast("bigint")
-    return matching.prepared(t.part.select((F.col("p_partkey") + 1000000).alias("item"), name.alias("name"), F.col("p_brand").alias("maker"), price.alias("price"), "p_partkey"), "name", "maker")
+    return matching.prepared(t.part.select((F.col("p_partkey") + 1000000).alias("item"), name.alias("name"), F.md5("p_brand").alias("maker"), price.alias("price"), "p_partkey"), "name", "maker")
 
 
 _MATCH = f"""WITH manual AS (SELECT p_partkey AS product, p_partkey + 1000000 AS item FROM part WHERE p_size = 7),
@@ -136,3 +137,26 @@ def q_maker_aliases(t: Tables) -> DataFrame:
 def q_candidate_pool(t: Tables) -> DataFrame:
     """The best 20 items of each part, by name similarity; names have no SQL form, a test holds it against brute force."""
     return matching.pool(_products(t), _items(t)).select("product", "item", "rank", "same_maker")
+
+
+def _variants(t: Tables) -> DataFrame:
+    """Every part as an item: in another spelling, some without a count, some with another form or maker."""
+    k, n = F.col("p_partkey") % 5, F.upper("p_name")
+    name = F.when(k == 0, F.concat(n, F.lit(" "), F.col("p_size"), F.lit(" MG таблетки"))).when(k == 1, F.concat(n, F.lit(" "), F.col("p_size"), F.lit("мг сироп №10"))).when(k == 2, F.concat(n, F.lit(" форте "), F.col("p_size"), F.lit("мг таб N10"))).otherwise(F.concat(n, F.lit(" "), F.col("p_size"), F.lit("мг таб N10")))
+    maker = F.when(F.col("p_partkey") % 7 == 0, F.md5("p_container")).otherwise(F.md5("p_brand"))
+    return matching.prepared(t.part.select((F.col("p_partkey") + 1000000).alias("item"), name.alias("name"), maker.alias("maker"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("price")), "name", "maker").checkpoint()
+
+
+@query(None)
+def q_best_supplier(t: Tables) -> DataFrame:
+    """Each part's best item by the decision cascade, or why it has none; name scores have no SQL form, a test holds them against a plain walk."""
+    products, items = _products(t).checkpoint(), _variants(t)
+    found = matching.best_supplier(products, matching.judged(matching.pool(products, items), products, items))
+    return found.select("product", "item", "score", "outcome", "candidates", "structure_rejects", "maker_rejects", "name_rejects", "weak_rejects", "suspicious")
+
+
+@query(None)
+def q_match_fuzzy(t: Tables) -> DataFrame:
+    """Composite keys first, then names: each part and each item once, in the order of the parts."""
+    products, items = _products(t).checkpoint(), _variants(t)
+    return matching.cascade([("composite", matching.exact_composite(products, items)), matching.fuzzy_pass(products, items)], F.col("price"))
