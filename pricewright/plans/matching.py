@@ -143,7 +143,7 @@ def _variants(t: Tables) -> DataFrame:
     """Every part as an item: in another spelling, some without a count, some with another form or maker."""
     k, n = F.col("p_partkey") % 5, F.upper("p_name")
     name = F.when(k == 0, F.concat(n, F.lit(" "), F.col("p_size"), F.lit(" MG таблетки"))).when(k == 1, F.concat(n, F.lit(" "), F.col("p_size"), F.lit("мг сироп №10"))).when(k == 2, F.concat(n, F.lit(" форте "), F.col("p_size"), F.lit("мг таб N10"))).otherwise(F.concat(n, F.lit(" "), F.col("p_size"), F.lit("мг таб N10")))
-    maker = F.when(F.col("p_partkey") % 7 == 0, F.md5("p_container")).otherwise(F.md5("p_brand"))
+    maker = F.when(F.col("p_partkey") % 7 == 0, F.md5("p_type")).otherwise(F.md5("p_brand"))
     return matching.prepared(t.part.select((F.col("p_partkey") + 1000000).alias("item"), name.alias("name"), maker.alias("maker"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("price")), "name", "maker").checkpoint()
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from .json_array import read_json_array
+
 CP1251 = "windows-1251"
-#: Where a feed keeps its rows.
-WRAPPERS = ("items", "data", "result", "rows")
 
 
 def _head(spark: SparkSession, path: str, n: int = 4096) -> bytes:
@@ -76,22 +76,13 @@ def read_ndjson(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return raw.select(F.from_json("value", schema).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """An array of objects, or an object that holds the array under one of ``WRAPPERS``."""
-    text = spark.read.text(path, wholetext=True)
-    element = schema.simpleString()
-    ways = [F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{element}>"))]
-    ways += [F.from_json(F.get_json_object("value", f"$.{w}"), f"array<{element}>") for w in WRAPPERS]
-    return text.select(F.explode(F.coalesce(*ways)).alias("r")).where("r IS NOT NULL").select("r.*")
-
-
 def read_feed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     kind = sniff(spark, path)
     if kind == "csv":
         return read_csv(spark, path)
     if kind == "xlsx":
         return read_xlsx(spark, path)
-    return read_ndjson(spark, path, schema) if kind == "ndjson" else read_json(spark, path, schema)
+    return read_ndjson(spark, path, schema) if kind == "ndjson" else read_json_array(spark, path, schema)
 
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
