@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..sinks import versions
+
 
 def deliver(spark: SparkSession, landing: str, schema: StructType, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], source_key: str = "source_key") -> StreamingQuery:
     """Read what has landed, transform it and replace the partitions of the sources that it holds.
@@ -23,6 +25,20 @@ def deliver(spark: SparkSession, landing: str, schema: StructType, target: str,
     return spark.readStream.schema(schema).json(landing).writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def deliver_versions(spark: SparkSession, landing: str, schema: StructType, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], source_key: str = "source_key", **guards) -> StreamingQuery:
+    """As ``deliver``, into a table of versions: a micro-batch replaces all its sources at once after the guards of ``versions.publish``, or none.
+
+    A batch that is repeated after a failure is applied once. One that is rejected ends the stream with the reasons; the version before stays the one that is read.
+    """
+
+    def replace(batch: DataFrame, number: int) -> None:
+        rows = transform(batch)
+        if not rows.isEmpty():
+            versions.publish(rows, target, source_key, (f"stream {checkpoint}", number), **guards)
+
+    return spark.readStream.schema(schema).json(landing).writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stale(jobs: DataFrame, heartbeat: str, as_of, seconds: int) -> DataFrame:
     """Running jobs whose heartbeat is older than ``seconds`` at ``as_of``."""
     age = F.unix_timestamp(as_of) - F.unix_timestamp(F.col(heartbeat).cast("timestamp"))
