@@ -28,3 +28,10 @@ def days_old(c: Column, as_of: Column) -> Column:
 
 def list_status(active: Column, start: Column, end: Column, as_of: Column) -> Column:
     return F.when(~active, "inactive").when(start > as_of, "not_started").when(end < as_of, "expired").otherwise("active")
+
+
+def cell_date(c: Column) -> Column:
+    """A sheet's date: year first, or day first with points or slashes, or the number of days that workbooks store; else null."""
+    t = F.trim(c)
+    days = F.when(t.rlike(r"^\d{4,6}(\.0+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), t.cast("double").cast("int")))
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)).cast("date") for p in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy")], days)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # Alias families (canonical, shown, legal prefix), regions, branches, aliases of branches and of list types, markers.
 FAMILIES = (("аманат", "Аманат", None), ("медсервис", "Медсервис", None), ("атамирас", "Атамирас", "атамирас тоо"), ("зерде", "Зерде", "зерде тоо нпо"), ("стофарм", "Стофарм", None))
 REGIONS = ("актау", "актобе", "алматы", "астана", "атырау", "караганда", "костанай", "кызылорда", "павлодар", "семей", "тараз", "уральск", "усть-каменогорск", "шымкент")
-BRANCHES = {"1": "Алматы", "2": "Астана", "17": "Шымкент", "3": "Актау", "4": "Актобе", "5": "Атырау", "6": "Караганда", "8": "Костанай", "9": "Кызылорда", "10": "Павлодар", "11": "Петропавловск", "13": "Талдыкорган", "15": "Уральск", "16": "Усть-Каменогорск"}
+BRANCHES = {"1": "Алматы", "2": "Астана", "3": "Актау", "4": "Актобе", "5": "Атырау", "6": "Караганда", "8": "Костанай", "9": "Кызылорда", "10": "Павлодар", "11": "Петропавловск", "13": "Талдыкорган", "15": "Уральск", "16": "Усть-Каменогорск", "17": "Шымкент"}
+# Other names of cities.
+CITIES = {"Нур-Султан": "2", "Нурсултан": "2", "Орал": "15"}
 BRANCH_ALIASES = {
     "almaty": "1", "astana": "2", "nur-sultan": "2", "nursultan": "2", "aktau": "3", "aktobe": "4", "atyrau": "5", "karaganda": "6", "kostanay": "8", "kyzylorda": "9",
     "pavlodar": "10", "petropavlovsk": "11", "taldykorgan": "13", "uralsk": "15", "oral": "15", "ust-kamenogorsk": "16", "shymkent": "17",
@@ -65,7 +67,7 @@ def branch_id(c: Column) -> Column:
 
 
 def city_id(name: Column) -> Column:
-    return _map({v: k for k, v in BRANCHES.items()}, F.trim(name)).cast("int")
+    return _map({**{v: k for k, v in BRANCHES.items()}, **CITIES}, F.trim(name)).cast("int")
 
 
 def list_type(c: Column) -> Column:

@@ -188,6 +188,9 @@ SHEETS = {
     "price_formats": (("цф", "price_format", "format", "код цф"), ("филиал", "branch", "наименование", "name")),
     "markup_ranges": (("стоимость от", "cost_from", "нижняя граница"), ("наценка", "markup", "markup_percent")),
     "universal_lists": (("тип", "type"), ("статус", "status"), ("название", "name")),
+    "list_items": (("product_code", "код", "код товара"), ("value", "значение")),
+    "competitor_prices": (("source_name", "источник"), ("source_price", "цена"), ("product_code", "код")),
+    "competitor_sources": (("source_name", "источник"), ("coefficient", "коэффициент")),
 }
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import makers
 from ..functions.fence import fix
-from ..functions.text import sku_loose, sku_lookup
+from ..functions.text import name_key, sku_loose, sku_lookup
 from . import structure
 from .dedup import best_per_key
 from .linkage import assign_in_order, base_similarity, base_similarity_udf, similarity_with_parts_udf
@@ -103,7 +103,7 @@ def _best_names(name: str, names: _Names, rows: dict[int, int], most: int, least
     return found
 
 
-def _meet(a: pd.DataFrame, b: pd.DataFrame, most: int) -> list[tuple]:
+def _meet(a: pd.DataFrame, b: pd.DataFrame, most: int, strict: bool) -> list[tuple]:
     """(product, item, score, same_maker, price): of the items ``b`` the best ``most`` of each product in ``a``."""
     distinct = dict.fromkeys(b["b"])
     for i, n in enumerate(distinct):
@@ -113,9 +113,9 @@ def _meet(a: pd.DataFrame, b: pd.DataFrame, most: int) -> list[tuple]:
     q, d = b["q"].to_numpy(np.float64), b["d"].to_numpy(np.float64)
     out = []
     for p in a.itertuples(index=False):
-        fits = (np.isnan(q) | (q == p.q) | (p.q != p.q)) & (np.isnan(d) | (d == p.d) | (p.d != p.d))
+        fits = (np.isnan(q) | (q == p.q) | (p.q != p.q)) & (np.isnan(d) | (d == p.d) | (p.d != p.d)) if strict else np.ones(len(q), bool)
         mine = maker == p.m
-        other = ~mine & (p.m != "") & (maker != "")
+        other = ~mine & (p.m != "") & (maker != "") & strict
         rows = []
         # items of the same maker come first; among the rest other makers need a score of 90, unknown ones nothing
         for group, floor in ((mine, 0.0), (~mine & ~other, 0.0), (other, 90.0)):
@@ -128,11 +128,11 @@ def _meet(a: pd.DataFrame, b: pd.DataFrame, most: int) -> list[tuple]:
     return out
 
 
-def pool(products: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:
+def pool(products: DataFrame, items: DataFrame, most: int = 20, words_too: bool = False, strict: bool = True) -> DataFrame:
     """(product, item, score, rank, same_maker, price): the best ``most`` items that share the name's first word, its first five letters or the maker.
 
-    Products that meet no item in this way take those that share a word or its alias.
-    Other quantities and doses go; other makers need a name score of 90. Ranked by maker, name score and price.
+    Products that meet no item in this way (``words_too``: all) take those that share a word or its alias.
+    ``strict``: other quantities and doses go, other makers need a name score of 90. Ranked by maker, name score and price.
 
     Both sides of a key are cut into blocks, so that a maker of any size is dealt to many tasks. Where blocks meet, names (not rows) are
     bounded from above by letter counts and shared words, and only those whose bound can still enter the best ``most`` are scored.
@@ -150,7 +150,7 @@ def pool(products: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:
     wanted, offered = keyed(a, near), keyed(b, F.concat(near, words)).select("id", "b", "m", "q", "d", "price", "k")
     have = offered.select("k").distinct()
     met = wanted.join(have, "k", "left_semi").select("id").distinct()
-    by_word = keyed(a.join(met, "id", "left_anti"), words)
+    by_word = keyed(a if words_too else a.join(met, "id", "left_anti"), words)
     wanted = wanted.unionByName(by_word).select("id", "b", "m", "q", "d", "price", "k")
 
     count = lambda rows, n: rows.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
@@ -166,7 +166,7 @@ def pool(products: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:
         for _, g in rows.groupby(["k", "i", "j"], sort=False):
             mine, theirs = g[g["side"] == 0], g[g["side"] == 1]
             if len(mine) and len(theirs):
-                out += _meet(mine, theirs, most)
+                out += _meet(mine, theirs, most, strict)
         return pd.DataFrame(out, columns=["product", "item", "score", "same_maker", "price"])
 
     # some keys a group, as most are small; a group is some blocks at most
@@ -198,7 +198,7 @@ def judged(pooled: DataFrame, products: DataFrame, items: DataFrame) -> DataFram
     )
     combined = F.least(F.lit(100.0), name + F.when(F.col("maker") == "alias_match", 15).otherwise(10)) - F.least(F.lit(6), 2 * F.col("n.missing"))
     return x.select(
-        "product", "item", "price", "rank", "name_score", "base_score", F.col("maker").alias("maker_decision"), state.alias("structure_decision"), reject.alias("reject"),
+        "product", "item", "price", "rank", "name_score", "base_score", F.col("maker").alias("maker_decision"), F.when(F.col("maker") == "alias_match", 100.0).otherwise(100 * makers.ratio(F.col("m1"), F.col("m2"))).alias("maker_score"), state.alias("structure_decision"), reject.alias("reject"),
         F.col("n.matched").alias("matched"), F.col("n.missing").alias("missing"), combined.alias("combined"), F.when(state == "suspicious", 95).otherwise(88).alias("threshold"),
     )
 
@@ -235,6 +235,91 @@ def best_supplier(products: DataFrame, candidates: DataFrame) -> DataFrame:
     return x.select("product", "best.item", F.round("best.combined", 2).alias("score"), outcome.alias("outcome"), *[F.coalesce(n, F.lit(0)).alias(n) for n in numbers], F.transform("top", lambda t: F.struct(t["item"].alias("item"), F.round(t["name_score"], 2).alias("name_score"), t["reject"].alias("reject"))).alias("top"))
 
 
+def item_candidates(items: DataFrame, products: DataFrame, most: int = 20) -> DataFrame:
+    """(item, product, score, outcome, runner_up, margin): the other direction, for each item its product.
+
+    A product of the same whole name and maker is taken at 100, the smallest id of several, unless the structures conflict. Else the best judged candidate
+    counts, by fields that agree, combined score and name score; its final score is 0.92 of the name's and 0.08 of the maker's less 2 a
+    missing field, 6 at most, and has to reach the threshold. ``margin``: how far its combined score lies above the second best candidate's.
+    """
+    whole = lambda rows, i: rows.select(F.col(i), name_key(F.col("name")).alias("n"), F.col("maker_key").alias("m"), F.col("struct"))
+    known = whole(products, "product").where("n <> ''").groupBy("n", "m").agg(F.min(F.struct("product", "struct")).alias("p"))
+    same = whole(items, "item").join(known, ["n", "m"])
+    exact = same.where(structure.decision(F.col("struct"), F.col("p.struct")) != "reject").select("item", F.col("p.product").alias("_exact"))
+    rest = items.join(exact, "item", "left_anti")
+    # items ask, products are asked
+    asked, offered = rest.withColumnRenamed("item", "product"), products.withColumnRenamed("product", "item").withColumn("price", F.lit(None).cast("double"))
+    x = judged(pool(asked, offered, most, True, False), asked, offered).select(F.col("product").alias("item"), F.col("item").alias("product"), "rank", "reject", "name_score", "maker_score", "structure_decision", "matched", "missing", "combined", "threshold")
+    free, hard = F.col("reject").isNull(), (F.col("structure_decision") == "reject") | (F.col("reject") == "manufacturer_conflict")
+    weak = ~free & ~hard & (F.col("reject") != "name_prefilter")
+    final = F.col("name_score") * 0.92 + F.col("maker_score") * 0.08 - F.least(F.lit(6), 2 * F.col("missing"))
+    found = x.groupBy("item").agg(
+        F.slice(F.sort_array(F.collect_list(F.when(free, F.struct("matched", "combined", "name_score", (-F.col("rank")).alias("place"), "product", final.alias("final"), "threshold"))), False), 1, 2).alias("best"),
+        F.max(F.when(weak, F.struct("name_score", (-F.col("rank")).alias("place"), "reject"))).alias("weak"), F.min(F.when(hard, F.struct("rank", "reject"))).alias("hard"),
+    )
+    first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
+    low = (first["name_score"] < first["threshold"]) | (first["final"] < first["threshold"])
+    outcome = F.when(F.col("_exact").isNotNull(), "exact_normalized_name").when(first.isNotNull(), F.when(low, "low_score").otherwise("ok")).otherwise(F.coalesce("weak.reject", "hard.reject", F.lit("no_candidate")))
+    return items.select("item").join(exact, "item", "left").join(found, "item", "left").select(
+        "item", F.coalesce("_exact", first["product"]).alias("product"), F.when(F.col("_exact").isNotNull(), 100.0).otherwise(F.round(first["final"], 2)).alias("score"), outcome.alias("outcome"),
+        second["product"].alias("runner_up"), F.round(first["combined"] - second["combined"], 2).alias("margin"),
+    )
+
+
+def signature_candidates(wanted: DataFrame, offered: DataFrame, least: int = 5, most: int = 500) -> DataFrame:
+    """(product, item, score, rank): items whose words hold one of the brand's words and whose signature doesn't contradict.
+
+    wanted: (product, brand, dosage, count, forms, volume); offered: (item, tokens, dosage, count, forms, volume); all but the ids and counts are arrays.
+    Where both sides say something, counts are equal, doses all there, forms and volumes share one. 3 for each shared word of the brand, 2 for each dose and form
+    and for an equal count, 1 for each volume; ``least`` is needed, the best ``most`` stay, equal ones by item. Words meet by an equi-join; the counts of
+    shared words of a pair combine before its arrays are joined to it.
+    """
+    a = wanted.select("product", F.explode(F.array_distinct("brand")).alias("w"))
+    b = offered.select("item", F.explode(F.array_distinct("tokens")).alias("w"))
+    met = a.join(b, "w").groupBy("product", "item").agg(F.count("*").alias("shared"))
+    both = met.join(wanted.select("product", *[F.col(c).alias(f"_{c}") for c in ("dosage", "count", "forms", "volume")]), "product").join(offered.select("item", "dosage", "count", "forms", "volume"), "item")
+    shared = lambda c: F.size(F.array_intersect(F.coalesce(f"_{c}", F.array()), F.coalesce(c, F.array())))
+    said = lambda c: (F.size(F.coalesce(f"_{c}", F.array())) > 0) & (F.size(F.coalesce(c, F.array())) > 0)
+    counts = F.coalesce(F.col("_count") == F.col("count"), F.lit(False))
+    against = (said("forms") & (shared("forms") == 0)) | (said("dosage") & (shared("dosage") < F.size(F.array_distinct("_dosage")))) | (said("volume") & (shared("volume") == 0)) | (F.col("_count").isNotNull() & F.col("count").isNotNull() & ~counts)
+    score = 3 * F.col("shared") + 2 * shared("dosage") + 2 * counts.cast("int") + 2 * shared("forms") + shared("volume")
+    order = Window.partitionBy("product").orderBy(F.desc("score"), "item")
+    good = both.where(~against).withColumn("score", score).where(F.col("score") >= least)
+    return good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("product", "item", "score", "rank")
+
+
+def risks(found: DataFrame) -> DataFrame:
+    """``found`` (of ``audit``'s chosen rows) with ``risk``: why a match should be looked at; empty for one that is safe."""
+    close = F.coalesce(F.abs(F.col("margin")) < 5, F.lit(False))
+    sure = (F.col("name_score") >= 98) & F.col("maker_decision").isin("alias_match", "similar_match") & (F.col("structure_decision") == "ok") & ~close
+    lacks = F.concat_ws(",", *[F.when(F.col(f"s1.{f}").isNotNull() & F.col(f"s2.{f}").isNull(), f) for f in ("dosage", "quantity", "volume", "weight")], F.when((F.size("s1.forms") > 0) & (F.size("s2.forms") == 0), "form"))
+    why = F.array(
+        F.when(~F.col("maker_decision").isin("alias_match", "similar_match"), F.concat(F.lit("manufacturer_"), "maker_decision")), F.when(F.col("structure_decision") != "ok", F.concat(F.lit("structure_"), "structure_decision")),
+        F.when(F.col("name_score") < 95, "name_score_lt_95"), F.when(lacks != "", F.concat(F.lit("missing_candidate_"), lacks)), F.when(F.col("combined") < 95, "final_score_lt_95"),
+        F.when(F.col("base_score") < 100, "base_name_differs"), F.when(close, "top1_top2_close"),
+    )
+    return found.withColumn("risk", F.when(sure, F.array().cast("array<string>")).otherwise(F.filter(why, lambda x: x.isNotNull())))
+
+
+def audit(products: DataFrame, items: DataFrame, candidates: DataFrame, sample: int = 100) -> dict[str, DataFrame]:
+    """Four tables on what matching did: ``selected`` with risks, ``unmatched`` with reasons (a sample of ``sample`` per reason), ``makers`` that look
+    like aliases to be confirmed, and ``summary``, whose counts add up to all products.
+    """
+    best = best_supplier(products, candidates)
+    free = candidates.where("reject IS NULL")
+    second = free.withColumn("_r", F.row_number().over(Window.partitionBy("product").orderBy(*preference()))).where("_r = 2").select("product", F.col("combined").alias("_second"))
+    x = best.where("outcome = 'ok'").select("product", "item", "top").join(candidates, ["product", "item"]).join(second, "product", "left").withColumn("margin", F.col("combined") - F.col("_second"))
+    x = x.join(products.select("product", F.col("struct").alias("s1")), "product").join(items.select("item", F.col("struct").alias("s2")), "item")
+    selected = risks(x).select("product", "item", "name_score", "base_score", F.round("combined", 2).alias("final_score"), "maker_decision", "structure_decision", "risk", "top")
+    none = best.where("outcome <> 'ok'").withColumn("_r", F.row_number().over(Window.partitionBy("outcome").orderBy("product")))
+    unmatched = none.where(F.col("_r") <= sample).select("product", F.col("outcome").alias("reason"), "candidates", "top")
+    alike = candidates.where("structure_decision = 'ok' AND name_score >= 97 AND reject = 'manufacturer_conflict' AND maker_decision IN ('manufacturer_reject', 'hard_reject')")
+    pairs = alike.join(products.select("product", F.col("maker_key").alias("maker")), "product").join(items.select("item", F.col("maker_key").alias("other")), "item")
+    aliases = pairs.groupBy("maker", "other").agg(F.count("*").alias("pairs"), F.max("name_score").alias("score"), F.min("product").alias("example"))
+    summary = best.groupBy(F.col("outcome").alias("reason")).agg(F.count("*").alias("products"), *[F.sum(c).alias(c) for c in ("candidates", "structure_rejects", "maker_rejects", "name_rejects", "weak_rejects", "suspicious")])
+    return {"selected": selected, "unmatched": unmatched, "makers": aliases, "summary": summary}
+
+
 def cascade(passes: list[tuple], *order: Column) -> DataFrame:
     """(product, item, method): one pass of candidates (product, item, ...) after the other; each product and item is used once.
 

@@ -160,3 +160,26 @@ def q_match_fuzzy(t: Tables) -> DataFrame:
     """Composite keys first, then names: each part and each item once, in the order of the parts."""
     products, items = _products(t).checkpoint(), _variants(t)
     return matching.cascade([("composite", matching.exact_composite(products, items)), matching.fuzzy_pass(products, items)], F.col("price"))
+
+
+@query("WITH w AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 3 AS c, p_type AS f, list_distinct(string_split(p_name, ' ')) AS t FROM part), x AS (SELECT a.k AS product, b.k AS item, 3 * len(list_intersect(a.t, b.t)) + 2 + CASE WHEN a.c > 0 AND a.c = b.c THEN 2 ELSE 0 END + 2 AS score FROM w AS a JOIN w AS b ON a.f = b.f AND (a.s = b.s OR a.s = b.s + 1) AND (a.c = 0 OR b.c = 0 OR a.c = b.c) WHERE len(list_intersect(a.t, b.t)) > 0) SELECT product, item, score, row_number() OVER (PARTITION BY product ORDER BY score DESC, item) AS rank FROM x WHERE score >= 5 QUALIFY rank <= 500")
+def q_signature_candidates(t: Tables) -> DataFrame:
+    """Parts that share a word of the name; sizes are doses, types forms."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    count, words, none = F.when(k % 3 > 0, k % 3).cast("int"), F.split("p_name", " "), F.array().cast("array<string>")
+    wanted = t.part.select(k.alias("product"), words.alias("brand"), F.array(size.cast("string")).alias("dosage"), count.alias("count"), F.array("p_type").alias("forms"), none.alias("volume"))
+    offered = t.part.select(k.alias("item"), words.alias("tokens"), F.array(size.cast("string"), (size + 1).cast("string")).alias("dosage"), count.alias("count"), F.array("p_type").alias("forms"), none.alias("volume"))
+    return matching.signature_candidates(wanted, offered)
+
+
+@query(None)
+def q_item_candidates(t: Tables) -> DataFrame:
+    """Each item's product, how sure that is and who comes second; a test holds it against a plain walk."""
+    return matching.item_candidates(_variants(t), _products(t).checkpoint())
+
+
+@query(None)
+def q_match_audit(t: Tables) -> DataFrame:
+    """How many parts found an item, or why not; with the sums of what their candidates fell to."""
+    products, items = _products(t).checkpoint(), _variants(t)
+    return matching.audit(products, items, matching.judged(matching.pool(products, items), products, items).checkpoint())["summary"]

@@ -6,6 +6,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
+from itertools import chain
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,50 +90,82 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def sheets(content: bytes) -> Iterator[tuple[str, list[tuple[int, list[str | None]]]]]:
-    """(name, [(row number, cells)]) of each sheet of a workbook, by the standard library alone."""
+def sheets(content: bytes) -> Iterator[tuple[str, Iterator[tuple[int, list[str | None]]]]]:
+    """(name, (row number, cells) one after the other) of each sheet of a workbook, by the standard library alone; a sheet isn't held as a whole."""
     with zipfile.ZipFile(BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, si in ElementTree.iterparse(f):
+                    if si.tag == f"{_MAIN}si":
+                        shared.append("".join(t.text or "" for t in si.iter(f"{_MAIN}t")))
+                        si.clear()
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
             target = links[s.get(f"{_REL}id")].lstrip("/")
-            rows = []
-            for row in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_MAIN}row"):
-                cells: list[str | None] = []
-                for c in row.iter(f"{_MAIN}c"):
-                    at = 0
-                    for ch in re.match(r"[A-Z]+", c.get("r", "A"))[0]:
-                        at = at * 26 + ord(ch) - 64
-                    cells += [None] * (at - len(cells))
-                    v = c.find(f"{_MAIN}v")
-                    text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
-                    cells[at - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
-                rows.append((int(row.get("r", len(rows) + 1)), cells))
-            yield s.get("name"), rows
-
-
-def read_xlsx(spark: SparkSession, path: str, header_rows: int = 30) -> DataFrame:
-    """Workbook rows as (file, sheet, _row, cells map by header); the header is the first row that isn't blank.
-
-    Files are read by Spark's binary source, so any store will do; a workbook is one task's work.
+            with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
+                yield s.get("name"), _rows_of(f, shared)
+
+
+def _rows_of(f, shared: list[str]) -> Iterator[tuple[int, list[str | None]]]:
+    n = 0
+    for _, row in ElementTree.iterparse(f):
+        if row.tag != f"{_MAIN}row":
+            continue
+        n = int(row.get("r", n + 1))
+        cells: list[str | None] = []
+        for c in row.iter(f"{_MAIN}c"):
+            at = 0
+            for ch in re.match(r"[A-Z]*", c.get("r", ""))[0]:
+                at = at * 26 + ord(ch) - 64
+            at = at or len(cells) + 1
+            cells += [None] * (at - len(cells))
+            v = c.find(f"{_MAIN}v")
+            text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
+            cells[at - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
+        row.clear()
+        yield n, cells
+
+
+def _header(rows: Iterator[tuple[int, list[str | None]]], known: frozenset[str], scan: int) -> tuple[list[str], list[tuple[int, list[str | None]]]]:
+    """The header's cells and the rows looked at that follow it: of the first ``scan`` rows the one with most known words, two at least; else the first that isn't blank."""
+    seen = []
+    for i, c in rows:
+        if any((x or "").strip() for x in c):
+            seen.append((i, c))
+        if i >= scan and seen:
+            break
+    words = [sum(" ".join((x or "").lower().split()) in known for x in c) for _, c in seen]
+    if not seen:
+        return [], []
+    best = words.index(max(words)) if max(words) >= 2 else 0
+    return [(x or "").strip() or f"column_{k + 1}" for k, x in enumerate(seen[best][1])], seen[best + 1 :]
+
+
+def read_xlsx(spark: SparkSession, path: str, known: frozenset[str] = frozenset(), scan: int = 25) -> DataFrame:
+    """Workbook rows as (file, sheet, _row, cells map by header, sheet_no, headers); ``known``: lower case words by which a header row is told from what stands above it.
+
+    Files are read by Spark's binary source, so any store will do; a workbook is one task's work, its sheets are read row by row.
     """
 
     def run(batches):
         import pandas as pd
 
+        cols = ["file", "sheet", "_row", "cells", "sheet_no", "headers"]
         for pdf in batches:
-            out = []
             for path_, content in zip(pdf["path"], pdf["content"]):
-                for name, rows in sheets(content):
-                    full = [(i, c) for i, c in rows if any((x or "").strip() for x in c)]
-                    if full:
-                        head = [(x or "").strip() or f"column_{k + 1}" for k, x in enumerate(full[0][1])]
-                        out += [(path_, name, i, {h: v for h, v in zip(head, c) if v is not None}) for i, c in full[1:]]
-            yield pd.DataFrame(out, columns=["file", "sheet", "_row", "cells"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, sheet string, _row int, cells map<string,string>")
+                for no, (name, rows) in enumerate(sheets(content)):
+                    head, first = _header(rows, known, scan)
+                    out = []
+                    for i, c in chain(first, rows):
+                        if any((x or "").strip() for x in c):
+                            out.append((path_, name, i, {h: v for h, v in zip(head, c) if v is not None}, no, head))
+                        if len(out) == 1000:
+                            yield pd.DataFrame(out, columns=cols)
+                            out = []
+                    yield pd.DataFrame(out, columns=cols)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, sheet string, _row int, cells map<string,string>, sheet_no int, headers array<string>")
 
 
 class PagedJson(DataSource):
