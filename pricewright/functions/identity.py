@@ -151,14 +151,16 @@ def source_type(c: Column) -> Column:
     return F.substring_index(c, ":", 1)
 
 
-def calculation_log(reason: Column, rivals: Column, source: Column, rank: Column, markup: Column, overridden: Column) -> Column:
-    """Why a product has its price, in a sentence. ``rivals``: how many competitor prices there were; ``markup``: a fraction."""
+def calculation_log(reason: Column, rivals: Column, source: Column, rank: Column, markup: Column, overridden: Column, first: Column | None = None) -> Column:
+    """Why a product has its price, in a sentence. ``rivals``: how many competitor prices there were; ``markup``: a fraction; ``first``: the source of the lowest price."""
     none = F.when(overridden, "Нет цен выбранных конкурентов. Применена шкала маржи для товаров без конкурентов с учетом Lists Management.").otherwise("Нет цен выбранных конкурентов. Применена глобальная шкала маржи для товаров без конкурентов.")
     percent = F.concat(F.lit("Цена рассчитана по основной шкале наценки: "), (markup * 100).cast("decimal(18,2)").cast("string"), F.lit("%."))
     return (
         F.when(F.coalesce(rivals, F.lit(0)) == 0, none)
         .when(reason.isin("competitor", "competitor_bend", "competitor_bend_c1"), F.concat(F.lit("Цена рассчитана относительно "), F.coalesce(rank, F.lit(1)).cast("string"), F.lit("-й цены конкурента "), pretty_source(source), F.lit(".")))
         .when(reason == "all_competitors_failed_mdc", "Ни одна цена конкурентов не прошла условие минимальной допустимой цены. Применена минимальная наценка.")
+        .when(reason == "no_competitor_markup_bumped_to_mdc", "Нет цен выбранных конкурентов. Цена по шкале без конкурентов ниже МДЦ, применена МДЦ.")
+        .when(reason == "mdc_floor_after_competitor", F.concat(F.lit("Цена установлена по минимальной наценке, так как первая цена конкурента "), pretty_source(source if first is None else first), F.lit(" не прошла условие минимальной допустимой цены.")))
         .when(reason == "mdc_floor_after_rounding", "Цена поднята до МДЦ после округления или ограничений.")
         .when(reason == "min_margin_floor", "Цена поднята до минимальной наценки.").when(reason == "max_margin_cap", "Цена ограничена максимальной наценкой.")
         .when(reason == "fixed_price_list", "Финальная цена установлена напрямую из фиксированной цены; выбор конкурента и прогиб не применялись.").otherwise(percent)

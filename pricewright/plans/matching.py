@@ -19,8 +19,9 @@ def _products(t: Tables) -> DataFrame:
 
 
 def _items(t: Tables) -> DataFrame:
-    """Every part but each tenth, in another spelling, with a price."""
-    name = F.concat(F.upper("p_name"), F.lit(" "), "p_size", F.lit(" MG таблетки №10"))
+    """Every part in another spelling, with a price; each tenth has a dose that no product has."""
+    dose = F.when((F.col("p_partkey") % 10 == 0) & (F.col("p_size") != 7), F.col("p_size") + 1000).otherwise(F.col("p_size"))
+    name = F.concat(F.upper("p_name"), F.lit(" "), dose, F.lit(" MG таблетки №10"))
     price = F.round(F.col("p_retailprice") * 100).cast("bigint")
     return matching.prepared(t.part.select((F.col("p_partkey") + 1000000).alias("item"), name.alias("name"), F.md5("p_brand").alias("maker"), price.alias("price"), "p_partkey"), "name", "maker")
 
@@ -35,7 +36,7 @@ _MATCH = f"""WITH manual AS (SELECT p_partkey AS product, p_partkey + 1000000 AS
 @query(_MATCH + "SELECT product, item, 'manual' AS method FROM manual UNION ALL SELECT product, item, 'composite' FROM c UNION ALL SELECT product, item, 'name' FROM q JOIN f USING (p_name, p_size, r)")
 def q_match_cascade(t: Tables) -> DataFrame:
     """Manual links, then composite keys, then equal names of any maker; each product and item once."""
-    products, items = _products(t), _items(t).where("p_partkey % 10 <> 0 OR struct.dosage = 7")
+    products, items = _products(t), _items(t)
     sevens = t.part.where("p_size = 7").select(F.col("p_partkey").alias("product"), (F.col("p_partkey") + 1000000).alias("item"), F.lit(0).cast("bigint").alias("price"))
     by_name = products.select("product", "base", F.col("struct.dosage").alias("d")).join(items.select("item", "price", "base", F.col("struct.dosage").alias("d")), ["base", "d"]).select("product", "item", "price")
     return matching.cascade([("manual", sevens), ("composite", matching.exact_composite(products, items)), ("name", by_name)], F.col("price"))
@@ -107,7 +108,7 @@ def q_sku_overlap(t: Tables) -> DataFrame:
 
 @query("WITH b AS (SELECT p_name AS k, min(p_size) AS g, count(DISTINCT p_size) AS n FROM part WHERE p_brand < 'Brand#2' GROUP BY 1) SELECT DISTINCT p_name AS name, CASE WHEN n = 1 THEN g END AS goods_id, CASE WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'absent' END AS status FROM part LEFT JOIN b ON p_name = k")
 def q_name_bridge(t: Tables) -> DataFrame:
-    return matching.name_bridge(t.part.select(F.col("p_name").alias("name")), t.part.where("p_brand < 'Brand#2'").select(F.col("p_name").alias("name"), F.col("p_size").alias("goods_id")), "name", "goods_id")
+    return matching.name_bridge(t.part.select(F.col("p_name").alias("name")), t.part.select(F.col("p_name").alias("name"), F.when(F.col("p_brand") < "Brand#2", F.col("p_size")).alias("goods_id")), "name", "goods_id")
 
 
 @query("WITH p AS (SELECT c_custkey AS product, CASE WHEN c_nationkey < 5 THEN c_custkey END AS goods_id FROM customer), l AS (SELECT o_custkey AS product, min(g) AS g, count(DISTINCT g) AS n FROM (SELECT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 1000000 + o_custkey // 6 ELSE 2000000 + o_custkey END AS g FROM orders) GROUP BY 1), x AS (SELECT p.*, g, n, count(*) OVER (PARTITION BY CASE WHEN n = 1 THEN g END) AS c FROM p LEFT JOIN l USING (product)) "

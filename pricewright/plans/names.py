@@ -159,3 +159,22 @@ def q_calculation_log(t: Tables) -> DataFrame:
     k = F.col("p_size") % 3
     log = identity.calculation_log(F.when(k == 1, "competitor").otherwise("markup"), F.when(k != 0, 3), F.concat(F.lit("provisor:"), "p_size"), F.lit(2), F.lit(0.15), F.lit(False))
     return t.part.select("p_partkey", log.alias("log"), F.round(numbers.margin_percent(F.col("p_size"), F.col("p_retailprice")), 4).alias("margin"))
+
+
+_SENTENCES = {
+    "competitor_bend": "'Цена рассчитана относительно ' || (o_orderkey % 4 + 1) || '-й цены конкурента Provisor ' || o_custkey || '.'", "competitor_bend_c1": "'Цена рассчитана относительно ' || (o_orderkey % 4 + 1) || '-й цены конкурента Provisor ' || o_custkey || '.'",
+    "all_competitors_failed_mdc": "'Ни одна цена конкурентов не прошла условие минимальной допустимой цены. Применена минимальная наценка.'", "mdc_floor_after_rounding": "'Цена поднята до МДЦ после округления или ограничений.'",
+    "no_competitor_markup_bumped_to_mdc": "'Нет цен выбранных конкурентов. Цена по шкале без конкурентов ниже МДЦ, применена МДЦ.'",
+    "mdc_floor_after_competitor": "'Цена установлена по минимальной наценке, так как первая цена конкурента list ' || (o_custkey % 7) || ' не прошла условие минимальной допустимой цены.'",
+    "min_margin_floor": "'Цена поднята до минимальной наценки.'", "max_margin_cap": "'Цена ограничена максимальной наценкой.'", "fixed_price_list": "'Финальная цена установлена напрямую из фиксированной цены; выбор конкурента и прогиб не применялись.'",
+    "markup": "'Цена рассчитана по основной шкале наценки: ' || printf('%.2f', (o_custkey % 50)::DOUBLE) || '%.'",
+}
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'Нет цен выбранных конкурентов. Применена шкала маржи для товаров без конкурентов с учетом Lists Management.' ELSE 'Нет цен выбранных конкурентов. Применена глобальная шкала маржи для товаров без конкурентов.' END ELSE CASE o_custkey % 10 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(_SENTENCES.values())) + " END END AS log FROM orders")
+def q_calculation_sentences(t: Tables) -> DataFrame:
+    """Every reason that a price can have, over all orders."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    reason = F.element_at(F.array(*map(F.lit, _SENTENCES)), (c % 10 + 1).cast("int"))
+    log = identity.calculation_log(reason, F.when(k % 3 == 0, 0).otherwise(2), F.concat(F.lit("provisor:"), c), k % 4 + 1, (c % 50).cast("decimal(18,4)") / 100, c % 2 == 0, F.concat(F.lit("manual:list "), c % 7))
+    return t.orders.select("o_orderkey", log.alias("log"))

@@ -20,7 +20,7 @@ def q_scoped_rows(t: Tables) -> DataFrame:
 @query("SELECT s_suppkey AS k, count(l_orderkey) AS items, count(*) FILTER (l_quantity > 48) AS counted, CASE WHEN count(l_orderkey) = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'failed_empty' ELSE 'empty' END WHEN s_suppkey % 3 > 0 THEN 'not_assigned' END AS hidden FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND s_suppkey % 5 > 0 GROUP BY s_suppkey")
 def q_lists_with_counts(t: Tables) -> DataFrame:
     k = F.col("k")
-    items = t.lineitem.where("l_suppkey % 5 > 0").select(F.col("l_suppkey").alias("k"), "l_quantity")
+    items = t.lineitem.select(F.when(F.col("l_suppkey") % 5 > 0, F.col("l_suppkey")).otherwise(-1).alias("k"), "l_quantity")  # items of no list are there too
     x = reports.item_counts(t.supplier.select(F.col("s_suppkey").alias("k")), items, "k", F.col("l_quantity") > 48)
     return x.select("k", "items", "counted", reports.hidden_reason(F.col("items"), F.when(k % 2 == 0, "Failed").otherwise("ok"), k % 3 == 0).alias("hidden"))
 
@@ -128,7 +128,7 @@ def q_contractors(t: Tables) -> DataFrame:
 @query("SELECT s_suppkey AS k, count(l_orderkey) AS items, count(*) FILTER (l_quantity > 49) AS counted, CASE WHEN count(l_orderkey) = 0 THEN 'no_items' WHEN s_suppkey % 5 = 1 THEN 'no_assignment' WHEN s_suppkey % 5 = 2 THEN 'inactive' WHEN count(*) FILTER (l_quantity > 49) = 0 THEN 'nothing_matched' ELSE 'in_use' END AS verdict FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND s_suppkey % 5 > 0 GROUP BY s_suppkey")
 def q_feed_diagnostics(t: Tables) -> DataFrame:
     s = t.supplier.select(F.col("s_suppkey").alias("k"))
-    items = t.lineitem.where("l_suppkey % 5 > 0").select(F.col("l_suppkey").alias("k"), F.when(F.col("l_quantity") > 49, F.col("l_partkey")).alias("product"))
+    items = t.lineitem.select(F.when(F.col("l_suppkey") % 5 > 0, F.col("l_suppkey")).otherwise(-1).alias("k"), F.when(F.col("l_quantity") > 49, F.col("l_partkey")).alias("product"))
     return reports.diagnostics(s, items, s.where("k % 5 <> 1").withColumn("is_active", F.col("k") % 5 != 2), "k")
 
 
@@ -159,10 +159,10 @@ def q_upsert(t: Tables) -> DataFrame:
     return uploads.upsert(old, t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"), "o_orderkey"), ["k"], F.desc("o_orderkey"))
 
 
-@query("WITH b AS (SELECT l_suppkey AS branch FROM lineitem WHERE l_suppkey < 50 GROUP BY 1 HAVING count(*) FILTER (l_quantity = 50 AND l_linenumber = 7) = 0) SELECT l_suppkey AS branch, l_partkey AS product, max(l_quantity) AS v FROM lineitem WHERE l_suppkey IN (SELECT branch FROM b) GROUP BY ALL UNION ALL SELECT s_suppkey, -1, 0 FROM supplier WHERE s_suppkey NOT IN (SELECT branch FROM b)")
+@query("WITH b AS (SELECT l_suppkey AS branch FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_quantity = 50 AND l_linenumber = 7) = 0) SELECT l_suppkey AS branch, l_partkey AS product, max(l_quantity) AS v FROM lineitem WHERE l_suppkey IN (SELECT branch FROM b) GROUP BY ALL UNION ALL SELECT s_suppkey, -1, 0 FROM supplier WHERE s_suppkey NOT IN (SELECT branch FROM b)")
 def q_snapshot_import(t: Tables) -> DataFrame:
     """A branch's snapshot is replaced as a whole, unless one of its new rows is bad."""
-    rows = t.lineitem.where("l_suppkey < 50").groupBy(F.col("l_suppkey").alias("branch"), F.col("l_partkey").alias("product")).agg(F.max("l_quantity").alias("v"), F.bool_or((F.col("l_quantity") == 50) & (F.col("l_linenumber") == 7)).alias("bad"))
+    rows = t.lineitem.groupBy(F.col("l_suppkey").alias("branch"), F.col("l_partkey").alias("product")).agg(F.max("l_quantity").alias("v"), F.bool_or((F.col("l_quantity") == 50) & (F.col("l_linenumber") == 7)).alias("bad"))
     old = t.supplier.select(F.col("s_suppkey").alias("branch"), F.lit(-1).cast("bigint").alias("product"), F.lit(0.0).alias("v"))
     return uploads.replace_snapshots(old, rows, "branch", F.col("bad")).select("branch", "product", "v")
 
