@@ -74,23 +74,24 @@ class _Names:
             np.add.at(out[i], np.fromiter(map(ord, t), int, len(t)) % 64, 1)
         return out
 
-    def bound(self, name: str) -> np.ndarray:
-        """The largest that ``base_similarity`` with each name can be."""
+    def bound(self, name: str, which: np.ndarray) -> np.ndarray:
+        """The largest that ``base_similarity`` with each of these names can be."""
         words = set(name.split())
         as_set = " ".join(sorted(words))
-        up = np.maximum(_shared_letters(self.letters([name])[0], self.plain, len(name), self.n_plain), _shared_letters(self.letters([as_set])[0], self.sets, len(as_set), self.n_sets))
+        n_sets = self.n_sets[which]
+        up = np.maximum(_shared_letters(self.letters([name])[0], self.plain[which], len(name), self.n_plain[which]), _shared_letters(self.letters([as_set])[0], self.sets[which], len(as_set), n_sets))
         common = np.zeros(len(self.names))
         for w in words:
             common[self.holding.get(w, [])] += len(w) + 1
-        common = np.maximum(common - 1, 0)
-        inside = 200.0 * common / np.maximum(common + np.minimum(self.n_sets, len(as_set)), 1)
+        common = np.maximum(common[which] - 1, 0)
+        inside = 200.0 * common / np.maximum(common + np.minimum(n_sets, len(as_set)), 1)
         return np.maximum(up, inside) + 1e-9
 
 
 def _best_names(name: str, names: _Names, rows: dict[int, int], most: int, least: float) -> dict[int, float]:
     """Scores of those names, with ``rows`` of so many rows each, that can be among the best ``most`` rows and reach ``least``."""
     which = np.fromiter(rows, int, len(rows))
-    up = names.bound(name)[which]
+    up = names.bound(name, which)
     found: dict[int, float] = {}
     have: list[float] = []
     for i in np.argsort(-up, kind="stable"):
