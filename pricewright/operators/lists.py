@@ -84,3 +84,56 @@ def supplier_keys(goods: Column, own: Column, expiry: Column, branch: Column) ->
     one = F.filter(one, lambda x: (x["kind"] != "goods_id_shelf_life") | filled(expiry))
     mine = F.when(branch.isin(*REFERENCE_BRANCHES) & o.isNotNull(), F.transform(sku_variants(own), lambda v: F.struct(F.lit("reference_sku").alias("kind"), key("reference_sku", v).alias("key"))))
     return F.concat(one, F.coalesce(mine, F.array().cast("array<struct<kind:string,key:string>>")))
+
+
+def telling(c: Column) -> Column:
+    """A coefficient that says something: above 0 and not 1."""
+    return F.coalesce((c > 0) & (c != 1), F.lit(False))
+
+
+def backfill_coefficients(lists: DataFrame, assignments: DataFrame) -> DataFrame:
+    """``lists`` whose ``price_coefficient``, where it is null or 1, is filled from the list's own older ``coefficient``, else from its newest active assignment (by date, then id) that has one."""
+    newest = assignments.where(F.col("is_active") & telling(F.col("coefficient"))).groupBy("list_id").agg(F.max_by("coefficient", F.struct("updated_at", "id")).alias("_given"))
+    own = F.when(telling(F.col("coefficient")), F.col("coefficient"))
+    blank = F.col("price_coefficient").isNull() | (F.col("price_coefficient") == 1)
+    return lists.join(newest, "list_id", "left").withColumn("price_coefficient", F.when(blank, F.coalesce(own, F.col("_given"), F.col("price_coefficient"))).otherwise(F.col("price_coefficient"))).drop("_given")
+
+
+#: Outcomes of a check after which a list counts as read.
+READ = ("checked_unchanged", "updated", "success_zero_items")
+
+
+def mark_checked(lists: DataFrame, checks: DataFrame) -> DataFrame:
+    """``lists`` after checks of their sources; items aren't touched.
+
+    Lists have list_id, source_type, source_key, account, external_id, source_updated_at, updated_at, checked_at, success_at, status, message; checks the like. A check's list is the newest of its type
+    and key; a provisor's with an account may also be the one last read under the same account and external id, whose key then changes. Of several checks of one list the last counts.
+    """
+    numbered = checks.withColumn("_check", F.monotonically_increasing_id())
+    by_key = lists.groupBy("source_type", "source_key").agg(F.max_by("list_id", F.struct("updated_at", "list_id")).alias("_a"))
+    place = F.struct(F.coalesce("success_at", F.lit("0001-01-01").cast("timestamp")), "updated_at", "list_id")
+    by_account = lists.where("source_type = 'provisor' AND trim(account) <> '' AND trim(external_id) <> ''").groupBy(F.trim("account").alias("account"), F.trim("external_id").alias("external_id")).agg(F.max_by("list_id", place).alias("_b"))
+    found = numbered.join(by_key, ["source_type", "source_key"], "left").withColumns({"account": F.trim("account"), "external_id": F.trim("external_id")}).join(by_account, ["account", "external_id"], "left")
+    found = found.withColumn("list_id", F.coalesce("_a", F.when(F.col("source_type") == "provisor", F.col("_b")))).where("list_id IS NOT NULL")
+    last = found.groupBy("list_id").agg(F.max_by(F.struct("source_key", "source_updated_at", "checked_at", "status", "message"), F.struct("checked_at", "_check")).alias("c"))
+    x = lists.join(last, "list_id", "left")
+    seen = F.col("c").isNotNull()
+    new = {
+        "source_key": F.col("c.source_key"), "source_updated_at": F.coalesce(F.nullif(F.col("c.source_updated_at"), F.lit("")), F.col("source_updated_at")), "checked_at": F.col("c.checked_at"),
+        "success_at": F.when(F.col("c.status").isin(*READ), F.col("c.checked_at")).otherwise(F.col("success_at")), "status": F.col("c.status"), "message": F.left(F.coalesce("c.message", F.lit("")), F.lit(512)),
+    }
+    return x.withColumns({k: F.when(seen, v).otherwise(F.col(k)) for k, v in new.items()}).drop("c")
+
+
+def percentile_settings(settings: DataFrame, chosen: DataFrame, formats: DataFrame) -> DataFrame:
+    """``settings`` (format_id, product, source, supplier, coefficient) in which the percentile sources of ``formats`` are exactly the chosen ones.
+
+    ``chosen``: format_id, id, name, coefficient (text), enabled; a bad coefficient is 1. Prices and other sources' settings stay.
+    """
+    cols = ["format_id", "product", "source", "supplier", "coefficient"]
+    old = F.col("product").isNull() & F.col("source").startswith("percentile:")
+    kept = settings.where(~old).unionByName(settings.where(old).join(formats.select("format_id").distinct(), "format_id", "left_anti").select(settings.columns))
+    x = chosen.where("coalesce(enabled, true)").select("format_id", F.concat(F.lit("percentile:"), F.trim("id")).alias("source"), F.nullif(F.trim("name"), F.lit("")).alias("name"), F.col("coefficient").try_cast("double").alias("c")).where("source <> 'percentile:'")
+    x = x.join(formats.select("format_id").distinct(), "format_id", "left_semi").groupBy("format_id", "source").agg(F.max("name").alias("name"), F.max("c").alias("c"))
+    new = x.select("format_id", F.lit(None).cast(settings.schema["product"].dataType).alias("product"), "source", F.coalesce("name", "source").alias("supplier"), F.coalesce(F.nullif(F.col("c"), F.lit(0.0)), F.lit(1.0)).alias("coefficient"))
+    return kept.select(cols).unionByName(new.select(cols))

@@ -36,3 +36,9 @@ def write_csv(rows: DataFrame, path: str, sep: str = ";", bom: bool = True, mode
     first, *rest = rows.columns
     named = rows.withColumnRenamed(first, BOM + first) if bom else rows
     safe(named).write.options(header=True, sep=sep, encoding="UTF-8", quote='"', escape='"', emptyValue="").mode(mode).csv(path)
+
+
+def priced_rows(products: DataFrame, run: DataFrame, key: str, price: str = "price", log: str = "log") -> DataFrame:
+    """Products that a run has priced, with the price and the run's remarks (an array of texts) as one text; blank remarks are left out."""
+    said = F.array_join(F.filter(log, lambda x: F.trim(x) != ""), "; ")
+    return products.join(run.select(key, price, said.alias(log)), key)

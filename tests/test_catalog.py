@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from pricewright.plans import catalog, feeds, lists, matching, more, names, reports, versions  # noqa: F401
+from pricewright.plans import catalog, feeds, lists, matching, more, names, portals, reports, versions  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
