@@ -40,11 +40,19 @@ def exact_composite(products: DataFrame, items: DataFrame) -> DataFrame:
     """(product, item, price): items that share a composite key, whose structure is ok and whose maker is missing, the same or much alike.
 
     products: prepared with ``product``; items: prepared with ``item`` and ``price``. Keys are
-    taken with the maker and without. An equi-join on keys; pairs meet once.
+    taken with the maker and without. An equi-join on keys; pairs meet once. An item that lacks a product's quantity or
+    dose or has another one can't be ok, so both are part of the key: a product asks with what it has, an
+    item answers with each of its own and without. Products of one name that come in many doses hence don't all meet.
     """
-    both = lambda rows: F.array_distinct(F.concat(structure.composite_keys(F.col("base"), F.col("maker_key"), F.col("struct")), structure.composite_keys(F.col("base"), F.lit(""), F.col("struct"))))
-    a = products.withColumn("k", both(products)).select("product", F.col("struct").alias("s1"), F.col("maker_key").alias("m1"), F.explode("k").alias("k"))
-    b = items.withColumn("k", both(items)).select("item", "price", F.col("struct").alias("s2"), F.col("maker_key").alias("m2"), F.explode("k").alias("k"))
+    both = lambda: F.array_distinct(F.concat(structure.composite_keys(F.col("base"), F.col("maker_key"), F.col("struct")), structure.composite_keys(F.col("base"), F.lit(""), F.col("struct"))))
+    any_, q, d = F.lit("*"), F.col("struct.quantity").cast("string"), F.col("struct.dosage").cast("double")
+    cent = lambda c: F.floor(c * 100).cast("string")
+    # doses are equal to a thousandth: in one of two neighbouring hundredths
+    asked = F.when(d.isNull(), F.array(any_)).otherwise(F.array_distinct(F.array(cent(d - 0.0011), cent(d + 0.0011))))
+    has = lambda c: F.when(c.isNull(), F.array(any_)).otherwise(F.array(any_, c))
+    cross = lambda k, qs, ds: F.flatten(F.transform(k, lambda x: F.flatten(F.transform(qs, lambda y: F.transform(ds, lambda z: F.concat_ws("\x01", x, y, z))))))
+    a = products.withColumn("k", cross(both(), F.array(F.coalesce(q, any_)), asked)).select("product", F.col("struct").alias("s1"), F.col("maker_key").alias("m1"), F.explode("k").alias("k"))
+    b = items.withColumn("k", cross(both(), has(q), has(cent(d)))).select("item", "price", F.col("struct").alias("s2"), F.col("maker_key").alias("m2"), F.explode("k").alias("k"))
     good = a.join(b, "k").where(structure.decision(F.col("s1"), F.col("s2")) == "ok").select("product", "item", "price", "m1", "m2").dropDuplicates(["product", "item"])
     return good.where(_maker_decision("m1", "m2").isin("missing", "alias_match", "similar_match")).select("product", "item", "price")
 
