@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, short_batches, stage
+from .common import BATCH_ROWS, partitions, shared_path, short_batches
 from .hashing import mix
-from .token_words import tokenizers_memo
+from .token_words import forget_words, tokenizers_memo
 
 #: Ids that the rolling hash sees; mean, least and largest chunk in ids.
 WINDOW, MEAN, LEAST, MOST = 8, 256, 64, 1024
@@ -65,6 +65,22 @@ _MANIFEST = "shard int, n_docs long, n_tokens long, start long, root binary"
 _STORED = "d long, r long, shard int, block int, pos long, n long, root binary, digests array<binary>, ends array<int>, own binary, own_index array<int>, given array<int>, taken array<struct<i:int,r:long,j:int>>"
 
 
+#: Files hold ids that are compressed by document already: the codec's small contexts do, and a writer's row group is bounded.
+_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.block.size": str(16 << 20)}
+
+
+def _short_reads(spark: SparkSession) -> None:
+    """A scan holds few rows at once too, as they hold whole texts or all their ids."""
+    short_batches(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
+
+
+def _stage(df: DataFrame, what: str) -> DataFrame:
+    at = shared_path(df.sparkSession, what)
+    df.write.options(**_FILES).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches):
         memo, squeeze = tokenizers_memo(tokenizer), zstandard.ZstdCompressor(level=1)
@@ -107,12 +123,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     gives empty files. Chunks are found by digest, a 128-bit BLAKE2b.
     """
     spark = docs.sparkSession
-    short_batches(spark)
+    _short_reads(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.monotonically_increasing_id().alias("r"), F.col(f"`{text_col}`").alias("t"))
-    made = stage(_encoded(rows, tokenizer, end_id), "encoded")
+    made = _stage(_encoded(rows, tokenizer, end_id), "encoded")
     refs = made.select("d", "r", F.posexplode("digests").alias("i", "g"))
     shared = refs.groupBy("g").agg(F.min(F.struct(F.col("d").isNotNull().alias("x"), "d", "r", "i")).alias("o"), F.count("*").alias("m")).where("m > 1")
-    shared = stage(shared.select("g", F.col("o.d").alias("od"), F.col("o.r").alias("or"), F.col("o.i").alias("oi")), "shared")
+    shared = _stage(shared.select("g", F.col("o.d").alias("od"), F.col("o.r").alias("or"), F.col("o.i").alias("oi")), "shared")
     taken = refs.join(shared, "g").where("r <> or OR i <> oi").select("d", "r", F.lit(1).alias("kind"), "i", F.col("or").alias("s"), F.col("oi").alias("j"))
     given = shared.select(F.col("od").alias("d"), F.col("or").alias("r"), F.lit(0).alias("kind"), F.col("oi").alias("i"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("int").alias("j"))
     notes = given.unionByName(taken)
@@ -123,6 +139,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     ordered = whole.unionByName(notes).repartitionByRange(partitions(spark), "d", "r").sortWithinPartitions("d", "r", "kind", "i").withColumn("shard", F.spark_partition_id())
 
     def run(batches):
+        forget_words()
         pos, rank, gives, takes = 0, 0, [], []
         for batch in batches:
             out = []
@@ -144,7 +161,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _SCHEMA)], names=_SCHEMA.names)
 
-    ordered.mapInArrow(run, _STORED).write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/documents")
+    ordered.mapInArrow(run, _STORED).write.options(**_FILES).mode("overwrite").parquet(f"{path}/documents")
     _drop(made)
     # one row per shard
     held = _shards(spark.read.schema(_STORED).parquet(f"{path}/documents"))
@@ -179,13 +196,14 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     The manifest's counts and shard roots are checked at once, by the documents' roots; when the rows are
     computed, every chunk's digest and every document's Merkle root is. A difference raises. ``ids``: little-endian uint32 bytes.
     """
-    short_batches(spark)
+    _short_reads(spark)
     store = spark.read.schema(_STORED).parquet(f"{path}/documents")
     manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
     if broken := [r.shard for r in verify_shards(spark, path).limit(9).collect()]:
         raise ValueError(f"shards that differ from the manifest: {broken}")
 
     def give(batches):
+        forget_words()
         for batch in batches:
             out = []
             for r, ends, own, index, given in zip(*(batch.column(c).to_pylist() for c in range(5))):
@@ -210,6 +228,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     mixed = mixed.unionByName(got.select(*fields)).repartition("r").sortWithinPartitions("r", "kind", "i")
 
     def build(batches):
+        forget_words()
         held: dict[int, bytes] = {}
         for batch in batches:
             out = []

@@ -3,43 +3,65 @@
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 
-#: Words that a worker remembers; beyond them the ones not seen of late are forgotten, which changes no result.
-MEMORY = 400_000
+#: Words, and bytes of words and their ids, that a worker remembers; beyond either the words not seen of late are forgotten, which changes no result.
+MEMORY, ROOM = 400_000, 64_000_000
+#: A word of more letters is encoded each time that it turns up.
+LONGEST = 1_000
+#: Letters of a text that are split into words at once.
+PIECE = 1_000_000
 
 
 class Memo(dict):
-    """word -> bytes of its ids (little-endian uint32), filled as words turn up."""
+    """word -> bytes of its ids (little-endian uint32), filled as words turn up; holds twice ``MEMORY`` words and ``ROOM`` bytes at most."""
 
     def __init__(self, encode: Callable[[str], bytes], split: Callable[[str], list[str]]):
         super().__init__()
-        self.encode, self.split, self.old = encode, split, {}
+        self.encode, self.split, self.old, self.size = encode, split, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
             got = self.encode(word)
-        self[word] = got
+        if len(word) > LONGEST:
+            return got
+        size = getsizeof(word) + getsizeof(got)
+        if len(self) >= MEMORY or self.size + size > ROOM:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self[word], self.size = got, self.size + size
         return got
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, by its words."""
         known = self.__getitem__
         for text in texts:
-            yield b"".join(map(known, self.split(text))) if text else b""
-            if len(self) > MEMORY:
-                self.old = dict(self)
-                self.clear()
+            if not text or len(text) <= PIECE:
+                yield b"".join(map(known, self.split(text))) if text else b""
+            else:
+                yield b"".join([b"".join(map(known, self.split(p))) for p in pieces(text)])
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
 
 
 _memos: dict[str, Memo] = {}
 
 
+def forget_words() -> None:
+    """Leave the memory of all words to the tasks that follow in this worker; the tokenizers stay."""
+    for memo in _memos.values():
+        memo.forget()
+
+
 #: Signs that are one pre-token with their like; what contractions and special tokens are made of is left out.
 _SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Letters beyond this one, which a tokenizer's tables may not know, go through the library whole.
@@ -101,3 +123,15 @@ def lowered(text: str) -> str:
 def split_words(text: str) -> list[str]:
     """At spaces and line ends alone; other white space stays for the tokenizer to see to."""
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+_WHITE = re.compile("[ \n\t\r]")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text cut at white space after each ``PIECE`` letters, so that its words don't all stand in memory beside it."""
+    at = 0
+    while len(text) - at > PIECE and (cut := _WHITE.search(text, at + PIECE)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text

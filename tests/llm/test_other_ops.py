@@ -150,6 +150,42 @@ def test_ids_of_all_kinds_of_characters_equal_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_words_in_memory_are_bounded_by_number_and_bytes():
+    from sys import getsizeof
+
+    from pricewright.llm import token_words
+    from pricewright.llm.token_words import Memo, split_words
+
+    memo = Memo(lambda w: w[:8].encode(), split_words)
+    held = lambda: [*memo.items(), *memo.old.items()]
+    one = " ".join(map(str, range(1_000_000)))  # one text of many words, cut at white space
+    assert list(memo.texts([one])) == ["".join(map(str, range(1_000_000))).encode()]
+    assert len(held()) <= 2 * 400_000
+    long = [" ".join(f"{i:07d}{j:07d}".ljust(n, "x") for j in range(200)) for i, n in enumerate([900] * 900 + [100_000] * 8)]
+    assert all(len(raw) == 1600 for raw in memo.texts(long))
+    assert sum(getsizeof(w) + getsizeof(raw) for w, raw in held()) <= 2 * 64_000_000
+    memo.forget()
+    assert not held() and list(memo.texts(["a b", None, "a"])) == [b"ab", b"", b"a"] and len(held()) == 2
+    path = public_tokenizers.path("word_bpe_49k.json")
+    used = token_words.tokenizers_memo(path)
+    before = list(used.texts(["Some words, again and again"]))
+    token_words.forget_words()
+    assert not used and not used.old and list(used.texts(["Some words, again and again"])) == before
+
+
+def test_long_texts_are_encoded_by_pieces_with_the_same_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from pricewright.llm import token_words
+
+    monkeypatch.setattr(token_words, "PIECE", 7)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    memo, library = token_words.tokenizers_memo(path), Tokenizer.from_file(path)
+    some = ["a  b\n\nlonger words, ΣΟΦΟΣ and É́ x ́y " * 3, " " * 30, "onewordwithoutanywhitespace" * 5, "tab\tand\rline\nends " * 9 + "x", "İstanbul Straße ünï " * 4, *filter(None, texts())]
+    for text, raw in zip(some, memo.texts(some)):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)[:200]
+
+
 def test_cuts_depend_on_content_alone():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 40_000, 20_000).astype(np.uint32)
