@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from .common import BATCH_ROWS, partitions, shared_path, short_batches
 from .hashing import mix
-from .token_words import forget_words, tokenizers_memo
+from .token_words import STEP, forget_words, tokenizers_memo
 
 #: Ids that the rolling hash sees; mean, least and largest chunk in ids.
 WINDOW, MEAN, LEAST, MOST = 8, 256, 64, 1024
@@ -59,6 +59,8 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 _STAGED = "d long, r long, n long, digests array<binary>, ends array<int>, z binary"
+#: Rows whose texts are encoded together.
+TOGETHER = 4_000
 #: Documents of a shard whose roots are hashed together, so that no group grows with the shard.
 BLOCK = 4096
 _MANIFEST = "shard int, n_docs long, n_tokens long, start long, root binary"
@@ -81,19 +83,36 @@ def _stage(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches whose texts are encoded together: ``STEP`` bytes, or ``TOGETHER`` rows, or one batch beyond."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        more = batch.column(2).nbytes
+        if held and (size + more > STEP or sum(b.num_rows for b in held) + batch.num_rows > TOGETHER):
+            yield held
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield held
+
+
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches):
         memo, squeeze = tokenizers_memo(tokenizer), zstandard.ZstdCompressor(level=1)
         tail = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for some in _runs(batches):
             rows = []
-            for raw in memo.texts(batch.column(2).to_pylist()):
+            for raw in memo.texts([t for b in some for t in b.column(2).to_pylist()]):
                 raw += tail
                 ids = np.frombuffer(raw, "<u4")
                 ends = cuts(ids)
                 rows.append((len(ids), [digest(raw[4 * a : 4 * b]) for a, b in zip([0, *ends], ends)], ends, squeeze.compress(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\0" + raw)))
             n, g, e, z = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(g, pa.list_(pa.binary())), pa.array(e, pa.list_(pa.int32())), pa.array(z, pa.binary())], ["d", "r", "n", "digests", "ends", "z"])
+            d, r = (pa.concat_arrays([b.column(c) for b in some]) for c in range(2))
+            yield pa.RecordBatch.from_arrays([d, r, pa.array(n, pa.int64()), pa.array(g, pa.list_(pa.binary())), pa.array(e, pa.list_(pa.int32())), pa.array(z, pa.binary())], ["d", "r", "n", "digests", "ends", "z"])
 
     return docs.mapInArrow(run, _STAGED)
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,87 @@ def test_long_texts_are_encoded_by_pieces_with_the_same_ids(monkeypatch):
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)[:200]
 
 
+def test_distinct_words_of_texts_are_encoded_once_and_together():
+    from pricewright.llm.token_words import Memo, split_words
+
+    calls = []
+
+    def many(words):
+        calls.append(sorted(words.to_pylist()))
+        return pa.array([w.encode() for w in words.to_pylist()], pa.large_binary())
+
+    memo = Memo(str.encode, split_words, many=many)
+    assert list(memo.texts(["b a b", None, "a\tc  a", "b"])) == [b"bab", b"", b"aca", b"b"]
+    assert list(memo.texts(["d a", "c d"])) == [b"da", b"cd"]
+    assert [[w for w in c if w] for c in calls] == [["a", "b", "c"], ["d"]]
+
+
+def test_words_and_signs_that_the_memory_knows_do_not_go_to_the_model_again():
+    from pricewright.llm.token_words import tokenizers_memo
+
+    memo = tokenizers_memo(public_tokenizers.path("word_bpe_49k.json"))
+    memo.forget()
+    many, new = memo.many, []
+    try:
+        memo.many = lambda words: (new.append(sorted(w for w in words.to_pylist() if w)), many(words))[1]
+        first = b"".join(memo.texts(["größe zxqwv, zxqwv. größe"] * 3))
+        assert first == b"".join(memo.texts(["größe zxqwv, zxqwv.", "größe"] * 3))
+        list(memo.texts(["zxqwv größe., zxqwv"]))
+    finally:
+        memo.many = many
+    assert new == [sorted(["größe", "zxqwv", ",", "."]), [], [".,"]]
+
+
+@pytest.mark.parametrize("memory, step, together", [(400_000, 4_000_000, 3), (3, 40, 2000), (50, 1, 1)])
+def test_ids_do_not_depend_on_memory_or_steps(monkeypatch, memory, step, together):
+    from tokenizers import Tokenizer
+
+    from pricewright.llm import token_words
+
+    for k, v in (("MEMORY", memory), ("STEP", step), ("TOGETHER", together), ("PIECE", 500)):
+        monkeypatch.setattr(token_words, k, v)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    memo, library = token_words.tokenizers_memo(path), Tokenizer.from_file(path)
+    memo.forget()
+    some = [*texts(), "</w> a</w> w> </", "été, ÉTÉ. e\u0301te\u0301 straße... œuvre ľahký привет, мир!", "don't x'll 's a'", "\x0b\x0c a\x0bb \u00a0 c\u2003d", ".,;!", "١٢ ²x ǅ ªb"]
+    for _ in range(2):
+        for text, raw in zip(some, memo.texts(some), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, ascii(text)[:200]
+        assert len(memo) <= memory and len(memo.old) <= memory
+    memo.forget()
+
+
+@pytest.mark.parametrize("ending", ["</w>", None])
+def test_other_tokenizers_and_models_that_miss_letters(tmp_path, ending):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    from pricewright.llm.token_words import tokenizers_memo
+
+    end = ending or ""
+    vocab = {t: i for i, t in enumerate(dict.fromkeys(["a", "b", f"a{end}", f"b{end}", "ab", f"ab{end}"]))}
+    t = Tokenizer(models.BPE(vocab, [("a", "b"), ("a", "b</w>")], end_of_word_suffix=end) if ending else models.BPE(vocab, [("a", "b")]))
+    t.normalizer, t.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.Whitespace()
+    t.save(f"{tmp_path}/t.json")
+    some = ["ab ba abab", "a c b", "", None, "AB, ab. abc cab", "ccc c"]
+    for text, raw in zip(some, tokenizers_memo(f"{tmp_path}/t.json").texts(some), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_runs_of_batches_are_bounded_and_lose_no_row(monkeypatch):
+    from pricewright.llm import token_store
+
+    monkeypatch.setattr(token_store, "TOGETHER", 5)
+    monkeypatch.setattr(token_store, "STEP", 1000)
+    sizes = [2, 0, 2, 3, 1, 9, 1, 1, 0]
+    batches, at = [], 0
+    for i, n in enumerate(sizes):
+        batches.append(pa.record_batch([pa.array(range(at, at + n), pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(["x" * (2000 if i == 6 else 10)] * n, pa.string())], ["d", "r", "t"]))
+        at += n
+    runs = list(token_store._runs(iter(batches)))
+    assert [[b.num_rows for b in run] for run in runs] == [[2, 2], [3, 1], [9], [1], [1]]
+    assert [d for run in runs for b in run for d in b.column(0).to_pylist()] == list(range(at))
+
+
 def test_cuts_depend_on_content_alone():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 40_000, 20_000).astype(np.uint32)
