@@ -73,23 +73,40 @@ def variant_key(row: Row) -> Column:
     return F.coalesce(*[F.nullif(text.sku_key(row.lookup(n)), F.lit("")) for n in VARIANT], F.lit(""))
 
 
-def pack_signature(row: Row, name_key: Column) -> Column:
-    """The first four filled pack fields as ``field:value``; without any, what the name's text key says."""
+def pack_signature(row: Row, packs: Column) -> Column:
+    """The first four filled pack fields as ``field:value``; without any, the name's ``packs``."""
     there = [n for n in PACK if n in row.have or f"{row.nested}.{n}" in row.have]
     given = [F.concat(F.lit(f"{n}:"), F.when(row.lookup(n).isNotNull(), text.text_key(row.lookup(n)))) for n in there]
     filled = F.array_join(F.slice(F.filter(F.array(*given), lambda x: x.isNotNull()), 1, 4), "|") if given else F.lit("")
-    return F.coalesce(F.nullif(filled, F.lit("")), text.packs_in(name_key))
+    return F.coalesce(F.nullif(filled, F.lit("")), packs)
 
 
-def normalize(rows: DataFrame, filial_id: Column, filial_name: Column, aliases: Column) -> DataFrame:
+#: Letters of distinct names and makers that may be broadcast with what they become.
+TEXTS = 4_000_000
+
+
+def _texts(rows: DataFrame, aliases: Column) -> DataFrame:
+    """What ``_name`` and ``_maker_raw`` become."""
+    x = fix(makers.with_maker(rows, "_maker_raw", "_name", aliases, "_found", ""), _maker=F.col("_found"), _key=text.text_key(F.col("_name")))
+    return fix(x.drop("_found"), _packs=text.packs_in(F.col("_key")), _producer=text.text_key(F.col("_maker")), _plain=text.without_price_noise(F.col("_name")))
+
+
+def normalize(rows: DataFrame, filial_id: Column, filial_name: Column, aliases: Column, repeated: bool = False) -> DataFrame:
     """A row for each raw row: the normalised fields, and ``skip_reason`` for what a feed has to leave out.
 
     The reason is missing_price, invalid_price or missing_name; null for good rows. One projection, no shuffle.
+    ``repeated``: for tables whose names and makers come again and again, these are cleaned once each, in a pass of its own, and
+    joined to the rows by broadcast; where they have more than ``TEXTS`` letters they are cleaned row by row all the same.
     """
     row = Row(rows)
     cost, reason = price(row)
-    x = rows.withColumns({"_name": F.trim(row.first(*NAME)), "_maker_raw": row.first(*MAKER), "_cost": cost, "_reason": reason})
-    x = fix(makers.with_maker(x, "_maker_raw", "_name", aliases, "_found", ""), _maker=F.col("_found"), _key=text.text_key(F.col("_name")))
+    x = fix(rows, _name=F.trim(row.first(*NAME)), _maker_raw=row.first(*MAKER), _cost=cost, _reason=reason)
+    known = x.select("_name", "_maker_raw").distinct() if repeated else None
+    if repeated and (known.agg(F.sum(F.coalesce(F.length("_name"), F.lit(0)) + F.coalesce(F.length("_maker_raw"), F.lit(0)) + 8)).first()[0] or 0) <= TEXTS:
+        t = _texts(known, aliases).withColumnsRenamed({"_name": "_n", "_maker_raw": "_m"})
+        x = x.join(F.broadcast(t), x["_name"].eqNullSafe(t["_n"]) & x["_maker_raw"].eqNullSafe(t["_m"]))
+    else:
+        x = _texts(x, aliases)
     name, cost, maker = F.col("_name"), F.col("_cost"), F.col("_maker")
     small = F.to_json(F.struct(row.get("id").alias("id"), row.first(*GOODS_ID).alias("goodsId"), row.first(*DISTRIBUTOR_ID).alias("distributorGoodsId"), name.alias("distributorGoodsName"), cost.cast("string").alias("price")))
     x = x.withColumn("_json", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
@@ -99,8 +116,8 @@ def normalize(rows: DataFrame, filial_id: Column, filial_name: Column, aliases:
         whole(row.first(*GOODS_ID, "goods.id", "goods.goodsId")).alias("goods_id"), F.coalesce(whole(row.first("filialId", "filial_id")), filial_id.cast("bigint")).alias("filial_id"), filial_name.alias("filial_name"),
         name.alias("name"), blank(row.first("goods.regNumber", "regNumber")).alias("reg_number"), blank(row.first(*DISTRIBUTOR_ID)).alias("distributor_goods_id"), cost.cast("double").alias("price"),
         amount(row.first(*STOCK)).cast("double").alias("stock"), amount(row.first(*COUNT)).cast("double").alias("package_count"), blank(row.first(*EXPIRY)).alias("expiry_date"), maker.alias("manufacturer"),
-        F.when(F.length("_json") > 4000, small).otherwise(F.col("_json")).alias("raw_json"), variant_key(row).alias("variant_key"), pack_signature(row, F.col("_key")).alias("pack_signature"), text.text_key(maker).alias("producer_key"),
-        text.without_price_noise(name).alias("name_key"), blank(row.first(*UPDATED)).alias("source_timestamp"), negative_price(row).alias("negative_price"),
+        F.when(F.length("_json") > 4000, small).otherwise(F.col("_json")).alias("raw_json"), variant_key(row).alias("variant_key"), pack_signature(row, F.col("_packs")).alias("pack_signature"), F.col("_producer").alias("producer_key"),
+        F.col("_plain").alias("name_key"), blank(row.first(*UPDATED)).alias("source_timestamp"), negative_price(row).alias("negative_price"),
     )
 
 
@@ -138,12 +155,12 @@ def quality() -> Column:
     )
 
 
-def best_offers(normalized: DataFrame) -> DataFrame:
-    """One row per identity, the one of the best quality; of equals the one with the smallest source id. One aggregation."""
+def best_offers(normalized: DataFrame, *also: Column) -> DataFrame:
+    """One row per identity, the one of the best quality; of equals the one with the smallest source id; with ``also`` of all its rows. One aggregation."""
     rest = [c for c in normalized.columns if c not in ("skip_reason", "negative_price")]
     score = F.struct(quality().alias("q"), (-F.col("source_item_id")).alias("first"))
-    best = normalized.groupBy(identity().alias("identity")).agg(F.max_by(F.struct(*rest), score).alias("b"), F.count("*").alias("rows_seen"))
-    return best.select("identity", "rows_seen", *[F.col(f"b.{c}").alias(c) for c in rest])
+    best = normalized.groupBy(identity().alias("identity")).agg(F.max_by(F.struct(*rest), score).alias("b"), F.count("*").alias("rows_seen"), *also)
+    return best.select("identity", "rows_seen", *[F.col(f"b.{c}").alias(c) for c in rest], *[c for c in best.columns if c not in ("identity", "b", "rows_seen")])
 
 
 def as_items(staged: DataFrame, price_list_id: Column) -> DataFrame:

@@ -42,8 +42,8 @@ def raw(t: Tables) -> DataFrame:
     )
 
 
-def _normalized(t: Tables) -> DataFrame:
-    return feed_rows.normalize(raw(t), F.lit(1), F.lit("main"), makers.alias_array(ALIASES))
+def _normalized(t: Tables, repeated: bool = False) -> DataFrame:
+    return feed_rows.normalize(raw(t), F.lit(1), F.lit("main"), makers.alias_array(ALIASES), repeated)
 
 
 @query(_RAW + "SELECT id AS source_item_id, reason AS skip_reason, goods_id, supp AS filial_id, round(price, 2) AS price, q AS stock, maker AS manufacturer, variant AS variant_key, CASE WHEN name IS NULL AND ln % 3 <> 0 THEN '' ELSE pack END AS pack_signature, lower(maker) AS producer, coalesce(own < 0, false) OR coalesce(discounted < 0, false) AS negative_price FROM k")
@@ -62,10 +62,9 @@ _ID = "CASE WHEN goods_id IS NOT NULL AND variant <> '' THEN 'goodsId+variant|'
 @query(_RAW + f", i AS (SELECT *, {_ID} AS identity FROM k WHERE reason IS NULL) SELECT identity, count(*) AS rows_seen, min(price) AS price, arg_min(id, (CASE WHEN maker <> '' THEN 0 ELSE 1 END, price, -epoch(day), id)) AS source_item_id FROM (SELECT *, CASE WHEN maker <> '' THEN 1 ELSE 0 END AS m, max(CASE WHEN maker <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY identity) AS mm FROM i) WHERE TRUE GROUP BY identity, mm HAVING TRUE")
 def q_feed_best(t: Tables) -> DataFrame:
     """The best offer of each identity: with a maker before without, then the cheapest, then the newest."""
-    good = feed_rows.accepted(_normalized(t))
-    best = feed_rows.best_offers(good)
-    lowest = good.groupBy(feed_rows.identity().alias("identity")).agg(F.min("price").alias("lowest"))
-    return best.join(lowest, "identity").select(F.array_join("identity", "|").alias("identity"), "rows_seen", F.col("lowest").alias("price"), "source_item_id")
+    good = feed_rows.accepted(_normalized(t, True))
+    offers = good.select("source_item_id", "goods_id", "name", "price", "manufacturer", "variant_key", "pack_signature", "producer_key", "name_key", "source_timestamp")
+    return feed_rows.best_offers(offers, F.min("price").alias("lowest")).select(F.array_join("identity", "|").alias("identity"), "rows_seen", F.col("lowest").alias("price"), "source_item_id")
 
 
 @query(_RAW + "SELECT supp AS filial_id, count(*) AS rows_seen, count(DISTINCT (id, price, q, day)) AS observations, count(*) FILTER (goods_id IS NULL) AS without_goods FROM (SELECT * FROM k WHERE reason IS NULL UNION ALL SELECT * FROM k WHERE reason IS NULL) GROUP BY supp")
